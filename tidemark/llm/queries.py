@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
