@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets
+from . import bpe, exact_dedup, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_bpe": bpe.op8_bpe,
 }
 
 ORACLE_SQL = {
