@@ -83,10 +83,10 @@ class Encoder:
         self.key, self.rank, self.made = key[by_key], by_key.astype(np.int64), made[by_key]
         self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.forget()
-
-    def forget(self) -> None:
+        #: Words met lately, and those met before them: when the first are too many they take the place of the second.
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+
 
     def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the pieces, and how many each has."""
@@ -118,41 +118,55 @@ class Encoder:
         ids, word = np.concatenate([*done_ids, ids]), np.concatenate([*done_word, word])
         return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(pieces))
 
+    def pieces(self, word: str) -> list[bytes]:
+        """The word, normalised and split as the tokenizer does before merging."""
+        if word.isascii():
+            word = word.lower()
+            if word.isalpha():
+                return [word.encode()]
+        else:
+            word = unicodedata.normalize("NFC", word)
+            word = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()
+            if word.isalpha():
+                return [word.encode()]
+        return [p.encode("utf-8", "surrogatepass") for p in self.piece.findall(word)]
+
     def learn(self, words: list[str]) -> None:
         """Encode words that are not kept yet."""
-        pieces: list[bytes | int] = []
-        counts = []
+        pieces: list[bytes] = []
+        plain, stops = [], []
         for w in words:
-            before = len(pieces)
-            for part in self.cut.split(w) if self.cut and "<" in w else (w,):
-                if part in self.special:
-                    pieces.append(self.special[part])
-                elif part:
-                    if not part.isascii():
-                        part = unicodedata.normalize("NFC", part)
-                    part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-                    pieces += [p.encode("utf-8", "surrogatepass") for p in self.piece.findall(part)]
-            counts.append(len(pieces) - before)
-        plain = [p for p in pieces if not isinstance(p, int)]
-        ids, n = self.merged(plain) if plain else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        parts = iter(np.split(ids.astype("<u4"), np.cumsum(n)[:-1])) if plain else iter(())
-        whole = [np.array([p], "<u4") if isinstance(p, int) else next(parts) for p in pieces]
-        at = 0
-        for w, k in zip(words, counts, strict=True):
-            own = whole[at] if k == 1 else np.concatenate(whole[at : at + k]) if k else np.zeros(0, "<u4")
-            at += k
-            self.known[w] = own.tobytes(), " ".join([self.token[x] for x in own.tolist()]).encode()
+            if self.cut and "<" in w and self.cut.search(w):
+                parts = [p for p in self.cut.split(w) if p]
+                self.learn([p for p in parts if p not in self.special])
+                each = [(self.special[p].to_bytes(4, "little"), p.encode()) if p in self.special else self.known[p] for p in parts]
+                self.known[w] = b"".join([x[0] for x in each]), b" ".join([x[1] for x in each if x[1]])
+            else:
+                pieces += self.pieces(w)
+                plain.append(w)
+                stops.append(len(pieces))
+        if not pieces:
+            self.known.update((w, (b"", b"")) for w in plain)
+            return
+        ids, n = self.merged(pieces)
+        stops = np.append(0, np.cumsum(n))[stops].tolist()
+        raw, tokens, a = ids.astype("<u4").tobytes(), [*map(self.token.__getitem__, ids.tolist())], 0
+        for w, b in zip(plain, stops, strict=True):
+            self.known[w] = raw[4 * a : 4 * b], " ".join(tokens[a:b]).encode()
+            a = b
 
     def parts(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes]]]:
         """For each text its words' ids and decoded tokens, in order."""
         if len(self.known) > CACHED_WORDS:
-            self.forget()
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         split = [words_of(t) for t in texts]
         out = [[*map(known.get, ws)] for ws in split]
         gaps = [i for i, found in enumerate(out) if None in found]
         if gaps:
-            self.learn([*set().union(*[[w for w, x in zip(split[i], out[i], strict=True) if x is None] for i in gaps])])
+            missing = set().union(*[[w for w, x in zip(split[i], out[i], strict=True) if x is None] for i in gaps])
+            known.update([(w, older[w]) for w in missing if w in older])
+            self.learn([w for w in missing if w not in known])
             for i in gaps:
                 out[i] = [*map(known.__getitem__, split[i])]
         return out
