@@ -24,22 +24,21 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import documents, small_batches
 
 #: Words a worker keeps before it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+#: Controls at which str.split parts a text although they are not Unicode white space.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The maximal runs without Unicode white space. (str.split also parts at U+001C to U+001F.)"""
-    if not text:
-        return []
+def words_of(text: str) -> list[str]:
+    """The maximal runs without Unicode white space."""
     return [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
 
 
@@ -53,16 +52,17 @@ def _byte_symbols() -> list[str]:
 class Encoder:
     """One vocabulary file, and the words encoded so far."""
 
-    loaded: dict[str, Encoder] = {}
+    loaded: dict[tuple[str, bool], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """The worker's encoder of this file."""
-        if path not in cls.loaded:
-            cls.loaded[path] = cls(path)
-        return cls.loaded[path]
-
-    def __init__(self, path: str):
+    def of(cls, path: str, texts: bool = True) -> Encoder:
+        """The worker's encoder of this file. texts: keep decoded words beside the ids."""
+        if (path, texts) not in cls.loaded:
+            cls.loaded[path, texts] = cls(path, texts)
+        return cls.loaded[path, texts]
+
+    def __init__(self, path: str, texts: bool = True):
+        self.texts = texts
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -81,82 +81,105 @@ class Encoder:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         by_key = np.argsort(key)
         self.key, self.rank, self.made = key[by_key], by_key.astype(np.int64), made[by_key]
-        self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
+        self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|\n|[^\n\p{L}\p{N}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        # the pairs of single bytes, which every word starts with, are looked up once for all
+        firsts = np.concatenate((self.inner, self.last))
+        self.byte_at, self.byte_rank = self.find((self.inner[:, None] * size + firsts[None, :]).ravel())
         #: Words met lately, and those met before them: when the first are too many they take the place of the second.
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict = {}
+        self.older: dict = {}
+
 
+    def find(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the sorted merge table, and rank, of pair keys; rank len(key) where there is none."""
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return at, np.where(self.key[at] == pair, self.rank[at], len(self.key))
 
     def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the pieces, and how many each has."""
-        n = np.array([len(p) for p in pieces], np.int64)
+        n = np.array([*map(len, pieces)], np.int64)
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         ids = self.inner[raw]
         end = np.cumsum(n)
         ids[end - 1] = self.last[raw[end - 1]]
         word = np.repeat(np.arange(len(pieces)), n)
-        done_ids, done_word = [], []
         none = len(self.key)
+
+        done_ids, done_word = [], []
+        final = np.zeros(len(raw), bool)
+        final[end - 1] = True
+        pair = raw[:-1].astype(np.int64) * 512 + raw[1:] + 256 * final[1:]
+        at, rank = np.append(self.byte_at[pair], 0), np.append(self.byte_rank[pair], none)
+        rank[final] = none
         while len(ids):
-            pair = ids[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(self.key, pair), none - 1)
-            rank = np.where((self.key[at] == pair) & (word[:-1] == word[1:]), self.rank[at], none)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             # the lowest rank of each word, at its leftmost place
-            best = np.append(rank, none) * len(ids) + np.arange(len(ids))
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            low = np.minimum.reduceat(best, first)
+            low = np.minimum.reduceat(rank * len(ids) + np.arange(len(ids)), first)
             live = low < none * len(ids)
-            place = (low % len(ids))[live]
             over = np.repeat(~live, np.diff(np.append(first, len(ids))))
             done_ids.append(ids[over])
             done_word.append(word[over])
+            place = low[live] % len(ids)
             ids[place] = self.made[at[place]]
             stay = ~over
             stay[place + 1] = False
-            ids, word = ids[stay], word[stay]
-        ids, word = np.concatenate([*done_ids, ids]), np.concatenate([*done_word, word])
+            ids, word, at, rank = ids[stay], word[stay], at[stay], rank[stay]
+            place = (np.cumsum(stay) - 1)[place]
+            changed = np.concatenate((place, place[place > 0] - 1))
+            if len(changed):
+                right = np.minimum(changed + 1, len(ids) - 1)
+                at[changed], ranks = self.find(ids[changed] * self.size + ids[right])
+                rank[changed] = np.where((word[changed] == word[right]) & (right > changed), ranks, none)
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
         return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(pieces))
 
-    def pieces(self, word: str) -> list[bytes]:
-        """The word, normalised and split as the tokenizer does before merging."""
-        if word.isascii():
-            word = word.lower()
-            if word.isalpha():
-                return [word.encode()]
-        else:
-            word = unicodedata.normalize("NFC", word)
-            word = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()
-            if word.isalpha():
-                return [word.encode()]
-        return [p.encode("utf-8", "surrogatepass") for p in self.piece.findall(word)]
-
     def learn(self, words: list[str]) -> None:
         """Encode words that are not kept yet."""
-        pieces: list[bytes] = []
-        plain, stops = [], []
-        for w in words:
-            if self.cut and "<" in w and self.cut.search(w):
-                parts = [p for p in self.cut.split(w) if p]
-                self.learn([p for p in parts if p not in self.special])
-                each = [(self.special[p].to_bytes(4, "little"), p.encode()) if p in self.special else self.known[p] for p in parts]
-                self.known[w] = b"".join([x[0] for x in each]), b" ".join([x[1] for x in each if x[1]])
-            else:
-                pieces += self.pieces(w)
-                plain.append(w)
-                stops.append(len(pieces))
+        if not words:
+            return
+        if self.cut:
+            for w in words:
+                if "<" in w and self.cut.search(w):
+                    parts = [p for p in self.cut.split(w) if p]
+                    self.learn([p for p in parts if p not in self.special])
+                    each = [self.entry(self.special[p].to_bytes(4, "little"), [p]) if p in self.special else self.known[p] for p in parts]
+                    self.known[w] = self.joined(each)
+            words = [w for w in words if w not in self.known]
+        # all words at once, a line each: normalised, and split as the tokenizer does before merging
+        text = "\n".join(words)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+        found = self.piece.findall(text + "\n")
+        pieces = [p.encode() for p in found if p != "\n"]
         if not pieces:
-            self.known.update((w, (b"", b"")) for w in plain)
+            self.known.update((w, self.entry(b"", [])) for w in words)
             return
         ids, n = self.merged(pieces)
-        stops = np.append(0, np.cumsum(n))[stops].tolist()
-        raw, tokens, a = ids.astype("<u4").tobytes(), [*map(self.token.__getitem__, ids.tolist())], 0
-        for w, b in zip(plain, stops, strict=True):
-            self.known[w] = raw[4 * a : 4 * b], " ".join(tokens[a:b]).encode()
-            a = b
-
-    def parts(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes]]]:
-        """For each text its words' ids and decoded tokens, in order."""
+        ends = np.flatnonzero(np.array([p == "\n" for p in found]))
+        stops = np.append(0, np.cumsum(n))[ends - np.arange(len(ends))].tolist()
+        raw, a = ids.astype("<u4").tobytes(), 0
+        if self.texts:
+            tokens = [*map(self.token.__getitem__, ids.tolist())]
+            for w, b in zip(words, stops, strict=True):
+                self.known[w] = raw[4 * a : 4 * b], " ".join(tokens[a:b]).encode()
+                a = b
+        else:
+            for w, b in zip(words, stops, strict=True):
+                self.known[w] = raw[4 * a : 4 * b]
+                a = b
+
+    def entry(self, ids: bytes, tokens: list[str]):
+        return (ids, " ".join(tokens).encode()) if self.texts else ids
+
+    def joined(self, each: list):
+        if not self.texts:
+            return b"".join(each)
+        return b"".join([x[0] for x in each]), b" ".join([x[1] for x in each if x[1]])
+
+    def parts(self, texts: list[str]) -> list[list]:
+        """For each text what is kept of its words, in order; new words are learnt together."""
         if len(self.known) > CACHED_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
@@ -168,17 +191,16 @@ class Encoder:
             known.update([(w, older[w]) for w in missing if w in older])
             self.learn([w for w in missing if w not in known])
             for i in gaps:
-                out[i] = [*map(known.__getitem__, split[i])]
+                out[i] = [known[w] if x is None else x for w, x in zip(split[i], out[i], strict=True)]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        return [b"".join([x[0] for x in found]) for found in self.parts(texts)]
+        return [b"".join([x[0] for x in found] if self.texts else found) for found in self.parts(texts)]
 
-    def both(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+    def both(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids, as `encode` gives them, and the UTF-8 of the decoded ids."""
-        for found in self.parts(texts):
-            yield b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[1]])
+        return map(self.joined, self.parts(texts))
 
 
 def decode_ids(ids: np.ndarray, path: str) -> str:
@@ -191,30 +213,33 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, n_tokens, ids (array<int>), decoded (the text of the ids)."""
     small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder.of(path)
         for b in batches:
-            rows = [(np.frombuffer(ids, "<i4"), decoded.decode()) for ids, decoded in own.both(b["text"].tolist())]
-            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x, _ in rows], "ids": [x for x, _ in rows], "decoded": [y for _, y in rows]})
+            rows = [*own.both(b["text"].to_pylist())]
+            ids = [np.frombuffer(x, "<i4") for x, _ in rows]
+            cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([y.decode() for _, y in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([b["id"], *cols], ["id", "n", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     thin = df.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
-    return thin.mapInPandas(run, f"id {kind}, n long, ids array<int>, decoded string").toDF(id_col, "n_tokens", "ids", "decoded")
+    return thin.mapInArrow(run, f"id {kind}, n long, ids array<int>, decoded string").toDF(id_col, "n_tokens", "ids", "decoded")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As `encode`, with SHA-256 digests in place of ids and text, made where the ids are."""
     small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = Encoder.of(path), hashlib.sha256
         for b in batches:
-            rows = [(len(ids) // 4, sha(ids).hexdigest(), sha(decoded).hexdigest()) for ids, decoded in own.both(b["text"].tolist())]
-            yield pd.DataFrame({"id": b["id"], "n": [r[0] for r in rows], "a": [r[1] for r in rows], "b": [r[2] for r in rows]})
+            rows = [(len(x) // 4, sha(x).hexdigest(), sha(y).hexdigest()) for x, y in own.both(b["text"].to_pylist())]
+            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b["id"], *cols], ["id", "n", "a", "b"])
 
     kind = df.schema[id_col].dataType.simpleString()
     thin = df.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
-    return thin.mapInPandas(run, f"id {kind}, n long, a string, b string").toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+    return thin.mapInArrow(run, f"id {kind}, n long, a string, b string").toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

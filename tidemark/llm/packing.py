@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,19 +39,22 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     """The pieces of every document: id, start, length, ids_crc32, doc_tokens."""
     small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, end, crc = Encoder.of(path), end_id.to_bytes(4, "little"), zlib.crc32
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, end, crc = Encoder.of(path, texts=False), end_id.to_bytes(4, "little"), zlib.crc32
         for b in batches:
-            rows = []
-            for doc, ids in zip(b["id"].tolist(), own.encode(b["text"].tolist()), strict=True):
+            row, rows = [], []
+            for i, ids in enumerate(own.encode(b["text"].to_pylist())):
                 ids += end
                 n = len(ids) // 4
-                rows += [(doc, at, min(capacity, n - at), crc(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
-            yield pd.DataFrame(rows, columns=["id", "start", "length", "crc", "n"])
+                for start in range(0, n, capacity):
+                    row.append(i)
+                    rows.append((start, min(capacity, n - start), crc(ids[4 * start : 4 * (start + capacity)]), n))
+            cols = [b["id"].take(pa.array(row, pa.int32())), *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)]]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "crc", "n"])
 
     kind = df.schema[id_col].dataType.simpleString()
     thin = df.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
-    made = thin.mapInPandas(run, f"id {kind}, start long, length long, crc long, n long")
+    made = thin.mapInArrow(run, f"id {kind}, start long, length long, crc long, n long")
     return made.toDF(id_col, "start", "length", "ids_crc32", "doc_tokens")
 
 
