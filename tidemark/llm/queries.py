@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality, secrets, toxicity
+from . import bpe, exact_dedup, minhash, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
+    "op6_minhash": minhash.op6_minhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality": quality.op9_quality,
