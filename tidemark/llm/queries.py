@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, minhash, packing, quality, secrets, syncmers, toxicity
+from . import bpe, exact_dedup, langid, minhash, packing, quality, secrets, syncmers, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_language": langid.op2_language,
     "op3_syncmers": syncmers.op3_syncmers,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
