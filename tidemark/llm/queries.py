@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, minhash, packing, quality, secrets, syncmers, toxicity
+from . import bpe, exact_dedup, langid, minhash, packing, quality, secrets, substrings, syncmers, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality": quality.op9_quality,
+    "op10_suffix_dedup": substrings.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
