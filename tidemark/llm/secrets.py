@@ -205,7 +205,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: t
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """df with every span of its texts replaced by `mask`; overlapping spans count as one."""
-    found = scan(df, id_col, text_col, carry=tuple(df.columns))
+    found = scan(df, id_col, text_col, carry=tuple(c for c in df.columns if c != id_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(
