@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, minhash, packing, secrets, toxicity
 from tidemark.llm.common import documents, materialize
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity, learnt from `labels`, scores 0.5 or more go."""
+    return toxicity.drop_toxic(docs, documents(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_exact_duplicates(docs, keep="largest")
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 over shingles of five words the one with the smallest doc_id stays."""
+    return minhash.drop_near_duplicates(docs, words=5, percent=80)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; n_chars follows. All documents stay."""
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("toxicity", not_toxic), ("exact_dedup", exact), ("minhash", near), ("secrets", redacted), ("packing", packed)]
 
-#: Classifiers and greedy packing are beyond SQL; the tests hold the pipeline against a brute-force version.
+#: Classifiers and packing are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
