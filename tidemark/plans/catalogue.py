@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, special
+from . import analysis, quality, special
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: block.spark for name, block in analysis.BLOCKS.items()} | special.QUERIES
+    return {name: block.spark for name, block in analysis.BLOCKS.items()} | special.QUERIES | quality.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: block.sql() for name, block in analysis.BLOCKS.items()} | special.ORACLE
+    return {name: block.sql() for name, block in analysis.BLOCKS.items()} | special.ORACLE | quality.ORACLE
