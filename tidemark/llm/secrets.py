@@ -177,7 +177,7 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
     return out
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), fdr: float = FDR) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), fdr: float = FDR, spans_as: str = "spans") -> DataFrame:
     """One row per input row: id, the carried columns, and spans: array<struct(start, stop, kind)>.
 
     Spans of the battery (kind "random") never overlap those of known forms.
@@ -186,7 +186,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: t
     secret = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8
     base = F.concat(_spans(text, ASSIGN, "assign", secret), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))
     slim = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    thin = df.select(F.col(id_col).alias("__tm_id"), *[F.col(c).alias(f"__tm_{c}") for c in carry], slim.alias("base"), _spans(text, TOKEN, "random").alias("found"))
+    thin = df.select(F.col(id_col).alias("__tm_id"), *[F.col(f"`{c}`").alias(f"__tm_c_{c}") for c in carry], slim.alias("base"), _spans(text, TOKEN, "random").alias("found"))
     free = F.filter("found", lambda t: ~F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
     plain = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["token"].alias("token")))
     thin = materialize(thin.withColumn("found", plain))
@@ -200,20 +200,20 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: t
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ranked = F.array_sort(F.transform(F.concat("base", extra), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     spans = F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    return scanned.select(F.col("__tm_id").alias(id_col), *[F.col(f"__tm_{c}").alias(c) for c in carry], spans.alias("spans"))
+    return scanned.select(F.col("__tm_id").alias(id_col), *[F.col(f"`__tm_c_{c}`").alias(c) for c in carry], spans.alias(spans_as))
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """df with every span of its texts replaced by `mask`; overlapping spans count as one."""
-    found = scan(df, id_col, text_col, carry=tuple(c for c in df.columns if c != id_col))
+    found = scan(df, id_col, text_col, carry=tuple(c for c in df.columns if c != id_col), spans_as="__tm_spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["stop"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
     )
-    cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text_col))).select(*df.columns)
+    cleaned = F.aggregate("__tm_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size("__tm_spans") > 0, cleaned).otherwise(F.col(text_col))).select(*df.columns)
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
