@@ -78,12 +78,12 @@ def typing_errors(spark, sf_dir) -> DataFrame:
 
 @query("p10_statistics", f"""WITH v AS (SELECT DISTINCT client_id, {AMOUNT} AS v FROM bronze), s AS (SELECT {big('count(v)')} AS n, {big('count(DISTINCT v)')} AS distinct_values, min(v) AS lowest, max(v) AS highest, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,
   quantile_cont(v, 0.01) AS p01, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.99) AS p99 FROM v)
-SELECT n, distinct_values, lowest, highest, mean, std, round(p01, 4) AS p01, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(p99, 4) AS p99, round(q1 - 1.5 * (q3 - q1), 4) AS fence_low, round(q3 + 1.5 * (q3 - q1), 4) AS fence_high, round(q1 - 3 * (q3 - q1), 4) AS far_low, round(q3 + 3 * (q3 - q1), 4) AS far_high FROM s""")
+SELECT n, distinct_values, lowest, highest, mean, std, round(p01, 6) AS p01, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(p99, 6) AS p99, round(q1 - 1.5 * (q3 - q1), 6) AS fence_low, round(q3 + 1.5 * (q3 - q1), 6) AS fence_high, round(q1 - 3 * (q3 - q1), 6) AS far_low, round(q3 + 3 * (q3 - q1), 6) AS far_high FROM s""")
 def statistics(spark, sf_dir) -> DataFrame:
     return profile.statistics(bronze(spark, sf_dir), ["client_id"], T.number(F.col("amount")))
 
 
-@query("p11_outliers", "WITH q AS (SELECT quantile_cont(CAST(net AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(net AS DOUBLE), 0.75) AS q3 FROM (SELECT DISTINCT order_id, net FROM item) x), f AS (SELECT round(q1 - 1.5 * (q3 - q1), 4) AS a, round(q3 + 1.5 * (q3 - q1), 4) AS b, round(q1 - 3 * (q3 - q1), 4) AS c, round(q3 + 3 * (q3 - q1), 4) AS d FROM q) SELECT order_id, CAST(net AS DOUBLE) AS value, CASE WHEN CAST(net AS DOUBLE) < c OR CAST(net AS DOUBLE) > d THEN 'EXTREMO' ELSE 'MODERADO' END AS kind FROM item, f WHERE CAST(net AS DOUBLE) < a OR CAST(net AS DOUBLE) > b", STAR_SQL)
+@query("p11_outliers", "WITH q AS (SELECT quantile_cont(CAST(net AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(net AS DOUBLE), 0.75) AS q3 FROM (SELECT DISTINCT order_id, net FROM item) x), f AS (SELECT round(q1 - 1.5 * (q3 - q1), 6) AS a, round(q3 + 1.5 * (q3 - q1), 6) AS b, round(q1 - 3 * (q3 - q1), 6) AS c, round(q3 + 3 * (q3 - q1), 6) AS d FROM q) SELECT order_id, CAST(net AS DOUBLE) AS value, CASE WHEN CAST(net AS DOUBLE) < c OR CAST(net AS DOUBLE) > d THEN 'EXTREMO' ELSE 'MODERADO' END AS kind FROM item, f WHERE CAST(net AS DOUBLE) < a OR CAST(net AS DOUBLE) > b", STAR_SQL)
 def outlier_rows(spark, sf_dir) -> DataFrame:
     i = item(spark, sf_dir)
     return profile.outliers(i, profile.statistics(i, ["order_id"], F.col("net")), "net", ["order_id"])
@@ -182,23 +182,26 @@ def recoverability(spark, sf_dir) -> DataFrame:
     return recover_age(spark, sf_dir).groupBy(F.lit("age").alias("analysis"), "recovery").agg(F.count("*").alias("rows"))
 
 
-RULES = (
-    Rule("Q_AGE", F.expr("TRY_CAST(age AS INT) NOT BETWEEN 16 AND 80"), "client", "alta"),
-    Rule("Q_AMOUNT", T.number(F.col("amount")) <= 1, "row", "alta"),
-    Rule("Q_TIME", T.time_of_day(F.col("bought_at")).isNull(), "row", "media"),
-    Rule("Q_COUPON", F.col("coupon").isNull(), "order", "baixa"),
-)
+def rules() -> tuple[Rule, ...]:
+    return (
+        Rule("Q_AGE", F.expr("TRY_CAST(age AS INT) NOT BETWEEN 16 AND 80"), "client", "alta"),
+        Rule("Q_AMOUNT", T.number(F.col("amount")) <= 1, "row", "alta"),
+        Rule("Q_TIME", T.time_of_day(F.col("bought_at")).isNull(), "row", "media"),
+        Rule("Q_COUPON", F.col("coupon").isNull(), "order", "baixa"),
+    )
+
+
 RULES_SQL = (("Q_AGE", "client", "alta", "TRY_CAST(age AS INT) NOT BETWEEN 16 AND 80"), ("Q_AMOUNT", "row", "alta", f"{AMOUNT} <= 1"), ("Q_TIME", "row", "media", "bought_at = '24:00'"), ("Q_COUPON", "order", "baixa", "coupon IS NULL"))
 
 
 @query("q1_rule_summary", union([f"SELECT '{i}' AS rule_id, '{lv}' AS level, '{sv}' AS severity, {big('count(*)')} AS rows, {nn(c)} AS violations, {pct(f'count(CASE WHEN {c} THEN 1 END)', 'count(*)')} AS percent, CASE WHEN count(CASE WHEN {c} THEN 1 END) = 0 THEN 'CONFORME' ELSE 'DIVERGENTE' END AS status FROM bronze" for i, lv, sv, c in RULES_SQL]))
 def rule_summary(spark, sf_dir) -> DataFrame:
-    return checks.rule_summary(bronze(spark, sf_dir), RULES)
+    return checks.rule_summary(bronze(spark, sf_dir), rules())
 
 
 @query("q1_rule_violations", union([f"SELECT row_id, order_id, '{i}' AS rule_id FROM bronze WHERE {c}" for i, _, _, c in RULES_SQL]))
 def rule_violations(spark, sf_dir) -> DataFrame:
-    return checks.rule_violations(bronze(spark, sf_dir), RULES, ("row_id", "order_id"))
+    return checks.rule_violations(bronze(spark, sf_dir), rules(), ("row_id", "order_id"))
 
 
 @query("t2_dedup_plan", f"WITH w AS (SELECT row_id, min(row_id) OVER p AS group_first, {big('count(*) OVER p')} AS group_size, CAST(row_number() OVER (PARTITION BY {LISTED} ORDER BY row_id) AS INT) AS place FROM bronze WINDOW p AS (PARTITION BY {LISTED})) SELECT *, CASE WHEN place = 1 THEN 'MANTER' ELSE 'REMOVER' END AS action FROM w WHERE group_size > 1")

@@ -69,7 +69,7 @@ st AS (SELECT unit, variable, CAST(count(*) AS BIGINT) AS n, CAST(count(value) A
 fr AS (SELECT unit, variable, value, count(*) AS k FROM long WHERE value IS NOT NULL GROUP BY ALL),
 mo AS (SELECT unit, variable, value AS mode FROM fr QUALIFY row_number() OVER (PARTITION BY unit, variable ORDER BY k DESC, value) = 1),
 ou AS (SELECT l.unit, l.variable, CAST(count(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 END) AS BIGINT) AS outliers FROM long l JOIN st ON l.unit = st.unit AND l.variable = st.variable GROUP BY l.unit, l.variable)
-SELECT st.unit, st.variable, n, valid, lowest, highest, mean, std, round(p01, 4) AS p01, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(p99, 4) AS p99, mode, round(q3 - q1, 4) AS iqr, outliers, CASE WHEN q3 - q1 = 0 THEN 'NAO_APLICAVEL' ELSE 'APLICAVEL' END AS iqr_rule
+SELECT st.unit, st.variable, n, valid, lowest, highest, mean, std, round(p01, 6) AS p01, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(p99, 6) AS p99, mode, round(q3 - q1, 6) AS iqr, outliers, CASE WHEN q3 - q1 = 0 THEN 'NAO_APLICAVEL' ELSE 'APLICAVEL' END AS iqr_rule
 FROM st JOIN mo ON st.unit = mo.unit AND st.variable = mo.variable JOIN ou ON st.unit = ou.unit AND st.variable = ou.variable""")
 def univariate(spark, sf_dir) -> DataFrame:
     long = _long(spark, sf_dir, NUMERIC, "double")
@@ -81,7 +81,7 @@ def univariate(spark, sf_dir) -> DataFrame:
     mode = often.groupBy(*key).agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
     fences = stats.select(*key, (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))
     out = often.join(fences, key).groupBy(*key).agg(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), F.col("count")).otherwise(0)).alias("outliers"))
-    shown = stats.withColumns({c: F.round(c, 4) for c in ("p01", "q1", "median", "q3", "p99", "iqr")})
+    shown = stats.withColumns({c: F.round(c, 6) for c in ("p01", "q1", "median", "q3", "p99", "iqr")})
     return shown.join(mode, key).join(out, key).withColumn("iqr_rule", F.when(F.col("iqr") == 0, "NAO_APLICAVEL").otherwise("APLICAVEL"))
 
 
