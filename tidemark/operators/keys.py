@@ -18,7 +18,7 @@ def identifiers(df: DataFrame, names: Sequence[str]) -> DataFrame:
         n = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
         gone, many = T.missing(F.col("v")), ~T.missing(F.col("v")) & (F.col("n") > 1)
         total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-        top = F.max_by("v", F.when(~gone, F.struct(F.col("n"), (-F.xxhash64("v")).alias("t"))))
+        top = F.min_by("v", F.when(~gone, F.struct(-F.col("n"), F.col("v"))))
         parts.append(n.agg(F.sum("n").alias("rows"), total(gone).alias("missing"), F.count_if(~gone).alias("distinct_values"), total(many).alias("repeated_rows"), F.max(F.when(~gone, F.col("n"))).alias("most"), top.alias("most_frequent")).select(F.lit(c).alias("identifier"), "*"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -121,6 +121,42 @@ def candidate_keys(spark, sf_dir) -> DataFrame:
     return keys.test_keys(bronze(spark, sf_dir), _KEYS, COLUMNS)
 
 
+_IDS = ("order_id", "client_id", "payment")
+
+
+@query("k1_identifiers", union([f"""SELECT '{c}' AS identifier, {big('sum(n)')} AS rows, {big(f'coalesce(sum(CASE WHEN {gone("v")} THEN n END), 0)')} AS missing, {nn(f'NOT {gone("v")}')} AS distinct_values, {big(f'coalesce(sum(CASE WHEN NOT {gone("v")} AND n > 1 THEN n END), 0)')} AS repeated_rows,
+  {big(f'max(CASE WHEN NOT {gone("v")} THEN n END)')} AS most, arg_min(v, (-n, v)) FILTER (WHERE NOT {gone("v")}) AS most_frequent FROM (SELECT {c} AS v, count(*) AS n FROM bronze GROUP BY {c}) x""" for c in _IDS]))
+def identifiers(spark, sf_dir) -> DataFrame:
+    return keys.identifiers(bronze(spark, sf_dir), _IDS)
+
+
+@query("k7_orders_per_client", f"WITH g AS (SELECT client_id, count(*) AS n FROM ord GROUP BY client_id) SELECT {big('count(*)')} AS clients, CAST(sum(n) AS DOUBLE) / count(*) AS mean, quantile_cont(CAST(n AS DOUBLE), 0.5) AS median, round(quantile_cont(CAST(n AS DOUBLE), 0.95), 6) AS p95, {big('max(n)')} AS most, {nn('n > 1')} AS repurchasing, {pct('count(CASE WHEN n > 1 THEN 1 END)', 'count(*)')} AS repurchase_percent FROM g", STAR_SQL)
+def orders_per_client(spark, sf_dir) -> DataFrame:
+    g = order(spark, sf_dir).groupBy("client_id").agg(F.count("*").alias("n"))
+    again = F.count_if(F.col("n") > 1)
+    return g.agg(F.count("*").alias("clients"), T.ratio(F.sum("n"), F.count("*")).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95"), F.max("n").alias("most"), again.alias("repurchasing"), T.percent(again, F.count("*")).alias("repurchase_percent"))
+
+
+@query("k8_order_item_combinations", f"SELECT order_id, product_id, {big('count(*)')} AS rows, {big('count(DISTINCT line_no)')} AS lines, {big('count(DISTINCT net)')} AS net_values FROM item GROUP BY order_id, product_id HAVING count(*) > 1", STAR_SQL)
+def order_item_combinations(spark, sf_dir) -> DataFrame:
+    g = item(spark, sf_dir).groupBy("order_id", "product_id").agg(F.count("*").alias("rows"), F.countDistinct("line_no").alias("lines"), F.countDistinct("net").alias("net_values"))
+    return g.filter("rows > 1")
+
+
+@query("k11_dedup_impact", f"WITH slim AS (SELECT DISTINCT {LISTED} FROM bronze), a AS (SELECT 'bruto' AS universe, {big('count(*)')} AS rows, {big('count(DISTINCT order_id)')} AS orders, {big('count(DISTINCT client_id)')} AS clients FROM bronze), b AS (SELECT 'sem_excedente', {big('count(*)')}, {big('count(DISTINCT order_id)')}, {big('count(DISTINCT client_id)')} FROM slim) SELECT * FROM a UNION ALL SELECT * FROM b")
+def dedup_impact(spark, sf_dir) -> DataFrame:
+    b = bronze(spark, sf_dir)
+    of = lambda df, name: df.agg(F.count("*").alias("rows"), F.countDistinct("order_id").alias("orders"), F.countDistinct("client_id").alias("clients")).select(F.lit(name).alias("universe"), "*")
+    return of(b, "bruto").unionByName(of(b.select(*COLUMNS).distinct(), "sem_excedente"))
+
+
+@query("p14_client_recalculation", "SELECT client_id, CAST(count(*) AS BIGINT) AS orders, CAST(count(DISTINCT order_date) AS BIGINT) AS purchase_days, CAST(date_diff('day', max(order_date), DATE '2001-12-31') AS INT) AS recency, CASE WHEN count(DISTINCT order_date) > 1 THEN CAST(date_diff('day', min(order_date), max(order_date)) AS DOUBLE) / (count(DISTINCT order_date) - 1) END AS mean_interval, CAST(sum(net) AS DOUBLE) / count(*) AS ticket FROM ord GROUP BY client_id", STAR_SQL)
+def client_recalculation(spark, sf_dir, as_of: str = "2001-12-31") -> DataFrame:
+    days = F.countDistinct("order_date")
+    gap = F.when(days > 1, F.datediff(F.max("order_date"), F.min("order_date")).cast("double") / (days - 1))
+    return order(spark, sf_dir).groupBy("client_id").agg(F.count("*").alias("orders"), days.alias("purchase_days"), F.datediff(F.lit(as_of).cast("date"), F.max("order_date")).alias("recency"), gap.alias("mean_interval"), T.ratio(F.sum("net"), F.count("*")).alias("ticket"))
+
+
 @query("k5_order_distribution", f"SELECT order_id, {big('count(*)')} AS rows, min(line_no) AS first_row, max(line_no) AS last_row, {big('count(DISTINCT client_id)')} AS n_client_id, {big('count(DISTINCT product_id)')} AS n_product_id, {big('count(DISTINCT category)')} AS n_category FROM item GROUP BY order_id", STAR_SQL)
 def order_distribution(spark, sf_dir) -> DataFrame:
     return keys.group_distribution(item(spark, sf_dir), "order_id", "line_no", ("client_id", "product_id", "category"))
