@@ -31,17 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small_batches
+from .common import documents, materialize, packed, small_batches
 from .components import smallest_reachable
 from .shingles import mixed, shingles
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Members of one hub that a block holds on either side.
-BLOCK = 4096
+BLOCK = 1024
 #: Pairs of one hub that one task checks.
 SALTED = 2048
 
@@ -115,13 +116,13 @@ def _checked(pairs: DataFrame, texts: DataFrame, planes: DataFrame, words: int)
     both = mine.join(hubs, ["hub", "salt"]).select("x", "hub", "text", "hub_text", "planes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, hub_set = None, None
+        last, hub_set, unpack = None, None, zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
             for x, hub, text, hub_text, bits in b[["x", "hub", "text", "hub_text", "planes"]].itertuples(index=False, name=None):
                 if hub != last:
-                    last, hub_set = hub, shingles(hub_text.encode(), words)
-                s = shingles(text.encode(), words)
+                    last, hub_set = hub, shingles(unpack(hub_text), words)
+                s = shingles(unpack(text), words)
                 at = np.minimum(np.searchsorted(hub_set, s), len(hub_set) - 1)
                 inside = hub_set[at] == s
                 held = np.zeros(len(hub_set), bool)
@@ -204,7 +205,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(classes)
     pairs = materialize(candidate_pairs(classes))
     wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
-    texts = materialize(docs.join(wanted, "id").dropDuplicates(["id"]))
+    # the wanted ids grow with the documents: the same join at every size, never a broadcast
+    texts = materialize(docs.select("id", packed(F.col("text")).alias("text")).join(wanted.hint("shuffle_hash"), "id").dropDuplicates(["id"]))
     checked = materialize(_checked(pairs, texts, classes.select("id", "planes"), words))
     links = checked.filter(_linked(F.col("both"), F.col("n_x"), F.col("n_hub"), percent)).select(F.col("x").alias("a"), F.col("hub").alias("b"))
     rest = materialize(_leftover_links(checked, smallest_reachable(links), percent))
