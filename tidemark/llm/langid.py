@@ -1,26 +1,26 @@
 """Language identification of spans by Viterbi over per-word scores.
 
-Training counts, over all training rows, how often each word occurs in each language, and turns the
-counts into log probabilities of letter n-grams (1 to 3 letters, with marks for the ends of a word).
-A word's score for a language is its mean log probability, times the root of its length, against the
-best other language at most `CLIP`. Before that, the script of its first letter (by Unicode range)
-narrows the candidates to the languages seen in that script in training; others get `-CLIP`.
+Words are runs of letters. Training counts, over all training rows, how often each three-letter
+window (with a mark beyond a word's ends) and each pair of letters occurs in each language; windows
+are hashed into 2^BITS places. A word's score for a language is the sum of its windows' log
+probabilities, over the root of its length, against the best language, at least `-CLIP`. Before that,
+the script of its first letter (by Unicode range) narrows the candidates to the languages seen in
+that script in training; others get `-CLIP`.
 
 A text is labelled word by word: the best path through the word scores with a penalty for every
 change of language (Viterbi). Where no stretch of words favours another language than the text's
 best by more than the penalty, the constant path is the best one, and the recursion isn't run.
 Neighbouring words of one label form a span.
 
-Null texts and texts without a letter have no span and the language `und` with score 0. Tokens
-without letters score 0 for all. Prediction reads the text alone. The model is a table of n-grams
-by language, at most `GRAMS` rows (the most frequent ones), collected once and sent to all tasks.
+Null texts and texts without a letter have no span and the language `und` with score 0. Prediction
+reads the text alone, and all of it. The model holds the `GRAMS` most frequent windows at most; it
+is collected once and sent to all tasks.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, remainder, small_batches
 
-#: Bounds: n-grams of the model, and words a worker keeps.
-GRAMS, CACHED_WORDS = 60_000, 500_000
+BITS = 18
+#: Bound on the windows of a model.
+GRAMS = 60_000
 CLIP = 3.0
 PENALTY = 6.0
 
@@ -43,100 +44,83 @@ SCRIPTS = (
 )
 
 
-def script_of(word: str) -> str | None:
-    """Script of the first letter; None without letters."""
-    for c in word:
-        if c.isalpha():
-            p = ord(c)
-            return next((name for name, a, b in SCRIPTS if a <= p <= b), "other")
-    return None
+_NAMES = ["other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 
 
-def bare(word: str) -> str:
-    """The word's letters, in lower case, without what stands around them."""
-    if word.isalpha():
-        return word
-    letters = [i for i, c in enumerate(word) if c.isalpha()]
-    return word[letters[0] : letters[-1] + 1] if letters else ""
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter, and its script's place in _NAMES."""
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    script = np.zeros(0x110000, np.uint8)
+    for name, a, b in SCRIPTS:
+        script[a : b + 1] = _NAMES.index(name)
+    return letter, script
 
 
-def grams(word: str) -> list[str]:
-    w = f"<{word}>"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the letters; for each letter the places of its three-letter window and of its
+    pair; and where each word starts among the letters."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter, _ = _letters()
+    is_letter = letter[points]
+    at = np.flatnonzero(is_letter)
+    c = np.zeros(len(points) + 2, np.uint32)
+    c[1:-1] = np.where(is_letter, points, 0)
+    left, own, right = c[at], c[at + 1], c[at + 2]
+    pair = own * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)
+    three = (pair ^ (pair >> np.uint32(15))) * np.uint32(0xC2B2AE3D) + left * np.uint32(0x27D4EB2F)
+    shift = np.uint32(32 - BITS)
+    return own, (three ^ (three >> np.uint32(13))) * np.uint32(0x165667B1) >> shift, pair * np.uint32(0x165667B1) >> shift, np.flatnonzero(left == 0)
 
 
-def counted(rows: DataFrame, flush: int = 200_000) -> DataFrame:
-    """(lang, gram, n, script words) over all rows: lang, text. Counting starts where the texts are read."""
+def counted(rows: DataFrame) -> DataFrame:
+    """(lang, place, n) over all rows (lang, text); places below 0 are scripts. Each task adds up its rows first."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-
-        def out() -> pd.DataFrame:
-            sums: Counter = Counter()
-            for (lang, word), n in words.items():
-                w = bare(word)
-                if w:
-                    sums[lang, "script:" + script_of(w)] += n
-                    for g in grams(w):
-                        sums[lang, g] += n
-            words.clear()
-            return pd.DataFrame([(a, g, n) for (a, g), n in sums.items()], columns=["lang", "gram", "n"])
-
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b["lang"].tolist(), b["text"].tolist(), strict=True):
-                for w, n in Counter(text.lower().split()).items():
-                    words[lang, w] += n
-            if len(words) > flush:
-                yield out()
-        yield out()
-
-    partial = rows.mapInPandas(run, "lang string, gram string, n long")
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                letters, three, pair, _ = windows(text)
+                if lang not in sums:
+                    sums[lang] = np.zeros(len(_NAMES) + (2 << BITS), np.int64)
+                if len(letters):
+                    n = sums[lang]
+                    n[: len(_NAMES)] += np.bincount(_letters()[1][letters], minlength=len(_NAMES))
+                    np.add.at(n, len(_NAMES) + three.astype(np.int64), 1)
+                    np.add.at(n, len(_NAMES) + (1 << BITS) + pair.astype(np.int64), 1)
+        for lang, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": lang, "place": at - len(_NAMES), "n": n[at]})
+
+    partial = rows.mapInPandas(run, "lang string, place long, n long")
+    return partial.groupBy("lang", "place").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Log probabilities of n-grams by language, and which languages a script may hold."""
-
-    def __init__(self, langs: list[str], gram: list[str], counts: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.scripts = langs, scripts
-        total = counts.sum(axis=0, keepdims=True) + 0.5 * (len(gram) + 1)
-        log = np.log((counts + 0.5) / total)
-        self.row = {g: i for i, g in enumerate(gram)}
-        self.log = log - log.mean(axis=1, keepdims=True) if len(gram) else log
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.langs)), np.float32)
-        self.weight = np.zeros(1024, np.int64)
-
-    def score(self, word: str) -> tuple[np.ndarray, int]:
-        """Scores of a token for each language, and the number of its letters."""
-        w = bare(word)
-        if not w:
-            return np.zeros(len(self.langs)), 0
-        rows = [self.row[g] for g in grams(w) if g in self.row]
-        s = self.log[rows].sum(axis=0) / math.sqrt(3 * len(w)) if rows else np.zeros(len(self.langs))
-        s = np.maximum(s - s.max(), -CLIP)
-        fits = self.scripts.get(script_of(w))
-        if fits is not None and fits.any():
-            s = np.where(fits, s, -CLIP)
-        return s, sum(c.isalpha() for c in w)
-
-    def places(self, words: list[str]) -> list[int]:
-        known = self.known
-        out = [*map(known.get, words)]
-        if None in out:
-            for w in set(words):
-                if w not in known:
-                    i = known[w] = len(known)
-                    if i >= len(self.weight):
-                        self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-                        self.weight = np.concatenate((self.weight, np.zeros_like(self.weight)))
-                    self.scores[i], self.weight[i] = self.score(w)
-            out = [*map(known.__getitem__, words)]
-        return out
+    """Log probabilities of windows by language, and which languages a script may hold."""
+
+    def __init__(self, langs: list[str], places: np.ndarray, counts: np.ndarray, scripts: np.ndarray):
+        """counts: (places, languages); scripts: letters of each script, (scripts, languages)."""
+        self.langs = langs
+        self.log = np.zeros((2 << BITS, len(langs)), np.float32)
+        for half in (places < 1 << BITS, places >= 1 << BITS):
+            n = counts[half] + 0.5
+            log = np.log(n / n.sum(axis=0, keepdims=True)) if half.any() else n
+            self.log[places[half]] = log - log.mean(axis=1, keepdims=True)
+        seen = scripts > 0.001 * np.maximum(scripts.sum(axis=0, keepdims=True), 1)
+        self.fits = np.where(seen.any(axis=1, keepdims=True), seen, True)
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (words, languages), and letters of each word."""
+        letters, three, pair, first = windows(text)
+        if not len(letters):
+            return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(letters)))
+        s = np.add.reduceat(self.log[three] + self.log[(1 << BITS) + pair.astype(np.int64)], first, axis=0)
+        s /= np.sqrt(2 * n, dtype=np.float32)[:, None]
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -CLIP)
+        return np.where(self.fits[_letters()[1][letters[first]]], s, np.float32(-CLIP)), n
 
     def path(self, s: np.ndarray, penalty: float) -> np.ndarray:
         """The label of each word on the best path; s: (words, languages)."""
@@ -159,24 +143,17 @@ class Model:
             out[t - 1] = back[t][out[t]]
         return out
 
-    def label(self, text: str, penalty: float = PENALTY) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, the label of each, their numbers of letters, their scores."""
-        if len(self.known) > CACHED_WORDS:
-            self.reset()
-        words = text.lower().split()
-        if not words or not self.langs:
-            return words, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.langs)))
-        at = np.array(self.places(words))
-        s = self.scores[at]
-        return words, self.path(s, penalty), self.weight[at], s
+    def label(self, text: str, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+        """The language of each word on the best path, and its number of letters."""
+        s, n = self.words(text)
+        return (self.path(s, penalty), n) if len(s) and self.langs else (np.zeros(0, np.int64), n[:0])
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language of most letters on the best path, and its share of them."""
-        _, path, letters, _ = self.label(text)
-        total = letters.sum() if len(letters) else 0
-        if not total:
+        path, letters = self.label(text)
+        if not len(path):
             return "und", 0.0
-        share = np.bincount(path, letters, len(self.langs)) / total
+        share = np.bincount(path, letters, len(self.langs)) / letters.sum()
         top = int(share.argmax())
         return self.langs[top], float(share[top])
 
@@ -184,24 +161,21 @@ class Model:
 def train(rows: DataFrame, most: int = GRAMS) -> Model:
     """A model of rows (lang, text). Null languages and texts are left out."""
     counts = counted(rows.filter("lang IS NOT NULL AND text IS NOT NULL"))
-    by_lang = F.collect_list(F.struct("lang", "n"))
-    whole = counts.groupBy("gram").agg(F.sum("n").alias("total"), by_lang.alias("by"))
-    top = whole.orderBy(F.col("total").desc(), "gram").limit(most).collect()  # at most `most` rows
+    whole = counts.groupBy("place").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    top = whole.orderBy((F.col("place") < 0).desc(), F.col("total").desc(), "place").limit(most).collect()  # at most `most` rows
     langs = sorted({x["lang"] for r in top for x in r["by"]})
-    place = {a: i for i, a in enumerate(langs)}
-    gram = sorted(r["gram"] for r in top if not r["gram"].startswith("script:"))
-    row = {g: i for i, g in enumerate(gram)}
-    table, scripts = np.zeros((len(gram), len(langs))), {}
+    column = {a: i for i, a in enumerate(langs)}
+    places, table, scripts = [], [], np.zeros((len(_NAMES), len(langs)))
     for r in top:
         n = np.zeros(len(langs))
         for x in r["by"]:
-            n[place[x["lang"]]] = x["n"]
-        if r["gram"] in row:
-            table[row[r["gram"]]] = n
+            n[column[x["lang"]]] = x["n"]
+        if r["place"] < 0:
+            scripts[r["place"] + len(_NAMES)] = n
         else:
-            scripts[r["gram"].removeprefix("script:")] = n
-    words = sum(scripts.values()) if scripts else np.ones(len(langs))
-    return Model(langs, gram, table, {k: n > 0.001 * words for k, n in scripts.items()})
+            places.append(r["place"])
+            table.append(n)
+    return Model(langs, np.array(places, np.int64), np.array(table).reshape(len(places), len(langs)), scripts)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,8 +204,8 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             rows = []
             for doc, text in zip(b["id"].tolist(), b["text"].tolist(), strict=True):
-                _, path, letters, _ = own.label(text)
-                if len(path) and letters.sum():
+                path, _ = own.label(text)
+                if len(path):
                     cut = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1], [True])))
                     rows += [(doc, int(a), int(z - a), own.langs[path[a]]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
             yield pd.DataFrame(rows, columns=["id", "first_word", "n_words", "lang"])
