@@ -24,8 +24,10 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in this session, since single texts can be megabytes long."""
+    """Keep Arrow batches small in this session, since single texts can be megabytes long; and let
+    shuffle files go when their query has ended, since what later queries read is written by `materialize`."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def scratch_dir(spark: SparkSession) -> str:

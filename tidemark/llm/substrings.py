@@ -23,6 +23,7 @@ unique; rows with a null id are neither compared nor cut. Matches never cross do
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import least_owner
-from .common import documents, materialize, partitions, small_batches
+from .common import documents, materialize, packed, partitions, small_batches
 from .shingles import _BYTE, _power_tables, mixed
 
-WIDTH, K = 50, 20
+WIDTH, K = 50, 30
 #: Anchors that a task holds before it passes them on; bytes of segments in a group; classes of one anchor in a group.
 HELD, GROUP_BYTES, CROWDED = 1_000_000, 1_500_000, 50_000
 
@@ -145,10 +146,8 @@ def segments(docs: DataFrame, bits: int, width: int, k: int) -> DataFrame:
                     else:
                         place[0].append(doc)
                         place[1].append(a)
-            keys = [x[0] for x in found]
-            pieces = [x[1] for x in found]
-            ids, starts = [np.array(x[0], np.int64) for x in found.values()], [np.array(x[1], np.int64) for x in found.values()]
-            cols = [pa.array(keys, pa.int64()), pa.array(map(digest, pieces), pa.int64()), pa.array(pieces, pa.binary()), pa.array([x.min() for x in ids], pa.int64()), pa.array([x.max() for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in starts], pa.binary())]
+            pieces, ids, starts = [x[1] for x in found], [x[0] for x in found.values()], [x[1] for x in found.values()]
+            cols = [pa.array([x[0] for x in found], pa.int64()), pa.array([*map(digest, pieces)], pa.int64()), pa.array(pieces, pa.binary()), pa.array([*map(min, ids)], pa.int64()), pa.array([*map(max, ids)], pa.int64()), pa.array([array("q", x).tobytes() for x in ids], pa.binary()), pa.array([array("q", x).tobytes() for x in starts], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["key", "digest", "segment", "least", "most", "ids", "starts"])
 
     return docs.mapInArrow(run, "key long, digest long, segment binary, least long, most long, ids binary, starts binary")
@@ -162,21 +161,20 @@ def _runs(values: np.ndarray) -> tuple[bytes, bytes]:
 def smallest_holders(classes: DataFrame, width: int, crowded: int) -> DataFrame:
     """(key, digest, lengths, owners): for the runs of each class, in order, the smallest document that
     holds each, as lengths of stretches and their owners. classes: key, digest, segment, least, most."""
-    per_key = classes.groupBy("key").agg(F.count("*").alias("classes"))
-    many = classes.join(per_key.filter("classes > 1"), "key")
-    size = many.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0))).first()[0]
+    size = classes.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
+    crowds = classes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key")
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["key", "digest"], ignore_index=True)
-        found = [_runs(x) for x in least_owner(p["segment"].tolist(), p["least"].to_numpy(), width)]
+        p = p[p.groupby("key")["digest"].transform("size") > 1].sort_values(["key", "digest"], ignore_index=True)
+        found = [_runs(x) for x in least_owner(p["segment"].tolist(), p["least"].to_numpy(), width)] if len(p) else []
         return pd.DataFrame({"key": p["key"], "digest": p["digest"], "lengths": [x for x, _ in found], "owners": [y for _, y in found]})
 
     schema = "key long, digest long, lengths binary, owners binary"
-    dealt = many.filter(F.col("classes") <= crowded).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    dealt = classes.join(crowds, "key", "left_anti").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
     merged = dealt.select("g", "key", "digest", "segment", "least").groupBy("g").applyInPandas(merge, schema)
 
-    runs = many.filter(F.col("classes") > crowded).select("key", "digest", "least", "segment", F.explode(F.sequence(F.lit(1), F.octet_length("segment") - width + 1)).alias("i"))
+    runs = classes.join(crowds, "key", "left_semi").select("key", "digest", "least", "segment", F.explode(F.sequence(F.lit(1), F.octet_length("segment") - width + 1)).alias("i"))
     runs = runs.withColumn("run", F.substring("segment", F.col("i"), F.lit(width))).drop("segment")
     owner = runs.groupBy("run").agg(F.min("least").alias("owner"))
 
@@ -218,23 +216,20 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     bits = 32 + max(4, (4 * partitions(spark) - 1).bit_length())
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id IS NOT NULL")
 
-    def pack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for t in texts:
-            yield pd.Series([packer.compress(x.encode()) for x in t.tolist()])
-
-    pack.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    packed = docs.select("id", F.pandas_udf(pack, "binary")("text").alias("packed"))  # half the bytes on the network
+    texts = docs.select("id", packed(F.col("text")).alias("packed"))
 
     wanted = repeated_anchors(docs, bits, width, k).groupBy("id").agg(F.collect_list("hash").alias("hashes"))
-    found = materialize(segments(packed.join(wanted.hint("shuffle_hash"), "id"), bits, width, k))
+    found = materialize(segments(texts.join(wanted.hint("shuffle_hash"), "id"), bits, width, k))
     classes = found.groupBy("key", "digest").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("segment").alias("segment"))
     classes = materialize(classes.filter(F.octet_length("segment") >= width))
     holders = smallest_holders(classes, width, crowded)
     simple = classes.filter("most > least").select("key", "digest", F.col("least").alias("first_id"))
     places = found.select("key", "digest", "ids", "starts", F.octet_length("segment").alias("n"))
     known = simple.join(holders, ["key", "digest"], "full_outer").select("key", "digest", F.coalesce("first_id", F.lit(1 << 62)).alias("least"), "lengths", "owners")
-    gone = cuts(places.join(known, ["key", "digest"]), width).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    known = materialize(known)
+    # each step is written before the next one starts, so that no more than one step's shuffle is on disk
+    stretches = materialize(cuts(places.join(known, ["key", "digest"]), width))
+    gone = stretches.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, sha = zstandard.ZstdDecompressor().decompress, hashlib.sha256
@@ -253,7 +248,7 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 if with_text else 4]
             yield pa.RecordBatch.from_arrays([b["id"], *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], ["id", "n", "removed", "spans", "sha", "kept"][: 1 + len(kinds)])
 
-    joined = packed.join(gone.hint("shuffle_hash"), "id", "left")
+    joined = texts.join(gone.hint("shuffle_hash"), "id", "left")
     out = joined.mapInArrow(cut, "id long, n long, removed long, spans long, sha string" + (", kept binary" if with_text else ""))
     return out.toDF(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if with_text else []))
 
