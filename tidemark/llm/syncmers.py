@@ -7,15 +7,19 @@ anchors with the smallest hashes, each with the first place where it stands. The
 fingerprints is the estimated share of common anchors, counting only those whose places agree with
 the most frequent distance between the two (within `SLACK` bytes).
 
-White space is made uniform before hashing: runs become one blank, and letters lower case. Texts
-shorter than SHORT bytes use shorter k-mers; those shorter than these have one anchor, the whole text; null and empty texts have the empty fingerprint,
-whose likeness to another empty one is 1 and to anything else 0. Equal texts have equal fingerprints.
+White space is made uniform before hashing: runs become one blank, and letters lower case. Every
+fingerprint carries a sketch of short k-mers, and that of a text of SHORT bytes or more also one of
+long k-mers. Two texts are compared by their long sketches where both have one, and by their short
+ones otherwise. A text without a closed syncmer has one anchor, the whole text; null and empty texts
+have the empty fingerprint, whose likeness to another empty one is 1 and to anything else 0. Equal
+texts have equal fingerprints.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,11 +30,27 @@ from .common import documents, partitions, small_batches
 from .shingles import mixed
 
 K, S = 24, 12
-#: Texts of fewer bytes have too few long k-mers, and are anchored by shorter ones.
+#: Texts of fewer bytes have too few long k-mers, and are compared by shorter ones.
 SHORT, SHORT_K, SHORT_S = 128, 8, 4
 KEPT = 64
 SLACK = 16
 
+
+class Sketch(NamedTuple):
+    """Anchor hashes, ascending, and the first place of each."""
+
+    hashes: np.ndarray
+    places: np.ndarray
+
+
+class Fingerprint(NamedTuple):
+    """long: empty for texts of fewer than SHORT bytes."""
+
+    long: Sketch
+    short: Sketch
+
+
+_NONE = Sketch(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 _TABLE = np.random.default_rng(20240510).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,59 +69,74 @@ def _rolled(raw: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and byte places (in the text with uniform white space) of the closed syncmers."""
-    raw = np.frombuffer(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), np.uint8)
+def _bytes(text: str) -> np.ndarray:
+    """The bytes of a text in lower case with uniform white space."""
+    return np.frombuffer(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _anchors(raw: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(raw) < SHORT:
-        k, s = min(k, SHORT_K), min(s, SHORT_S)
-    if len(raw) < k:
+        return _NONE
+    at = np.zeros(0, np.int64)
+    if len(raw) >= k:
+        inner = _rolled(raw, s)
+        n = len(raw) - k + 1
+        width = k - s + 1  # s-mers of a k-mer; the smallest of them by doubling windows
+        low, size = inner, 1
+        while size * 2 <= width:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        low = np.minimum(low[:n], low[width - size : width - size + n])
+        at = np.flatnonzero((inner[:n] == low) | (inner[width - 1 : width - 1 + n] == low))
+    if not len(at):
         digest = hashlib.blake2b(raw.tobytes(), digest_size=8).digest()
         return np.frombuffer(digest, "<u8").copy(), np.zeros(1, np.int64)
-    inner = _rolled(raw, s)
-    n = len(raw) - k + 1
-    width = k - s + 1  # s-mers of a k-mer; the smallest of them by doubling windows
-    low, size = inner, 1
-    while size * 2 <= width:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    low = np.minimum(low[:n], low[width - size : width - size + n])
-    at = np.flatnonzero((inner[:n] == low) | (inner[width - 1 : width - 1 + n] == low))
-    if not len(at):
-        return np.zeros(0, np.uint64), at
     # a k-mer is its two outer s-mers and the one in the middle
     return mixed((inner[at] * _ODD + inner[at + width - 1]) * _ODD + inner[at + width // 2]), at
 
 
-def fingerprint(text: str, k: int = K, s: int = S, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and byte places (in the text with uniform white space) of the closed syncmers."""
+    return _anchors(_bytes(text), k, s)
+
+
+def _sketch(raw: np.ndarray, k: int, s: int, kept: int) -> Sketch:
     """The smallest distinct anchor hashes, ascending, and the first place of each."""
-    h, at = anchors(text, k, s)
+    h, at = _anchors(raw, k, s)
     if len(h) > 4 * kept:  # enough to hold `kept` distinct ones? else sort all
         part = np.argpartition(h, 4 * kept)[: 4 * kept]
         part.sort()
         u, first = np.unique(h[part], return_index=True)
         if len(u) >= kept:
-            return u[:kept], at[part][first[:kept]]
+            return Sketch(u[:kept], at[part][first[:kept]])
     u, first = np.unique(h, return_index=True)
-    return u[:kept], at[first[:kept]]
+    return Sketch(u[:kept], at[first[:kept]])
+
+
+def fingerprint(text: str, kept: int = KEPT) -> Fingerprint:
+    """The sketches of a text by long and by short k-mers."""
+    raw = _bytes(text)
+    return Fingerprint(_sketch(raw, K, S, kept) if len(raw) >= SHORT else _NONE, _sketch(raw, SHORT_K, SHORT_S, kept))
 
 
-def as_text(sketch: tuple[np.ndarray, np.ndarray]) -> str:
-    """hash@place in hexadecimal, comma-joined."""
-    return ",".join([f"{h:016x}@{p:x}" for h, p in zip(sketch[0].tolist(), sketch[1].tolist(), strict=True)])
+def as_text(found: Fingerprint) -> str:
+    """hash@place in hexadecimal, comma-joined; a long sketch stands before the short one and a semicolon."""
+    one = lambda x: ",".join([f"{h:016x}@{p:x}" for h, p in zip(x.hashes.tolist(), x.places.tolist(), strict=True)])
+    return f"{one(found.long)};{one(found.short)}" if len(found.long.hashes) else one(found.short)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], kept: int = KEPT) -> float:
+def likeness(a: Fingerprint, b: Fingerprint, kept: int = KEPT) -> float:
     """Estimated share of common anchors at a consistent distance, 0 to 1."""
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    union = np.union1d(a[0], b[0])[:kept]
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both_long = len(a.long.hashes) and len(b.long.hashes)
+    a, b = (a.long, b.long) if both_long else (a.short, b.short)
+    if not len(a.hashes) or not len(b.hashes):
+        return float(len(a.hashes) == len(b.hashes))
+    union = np.union1d(a.hashes, b.hashes)[:kept]
+    both, i, j = np.intersect1d(a.hashes, b.hashes, assume_unique=True, return_indices=True)
     fits = both <= union[-1]
     if not fits.any():
         return 0.0
-    distance = np.sort(a[1][i[fits]] - b[1][j[fits]])
+    distance = np.sort(a.places[i[fits]] - b.places[j[fits]])
     agree = np.searchsorted(distance, distance + SLACK, "right") - np.arange(len(distance))
     return float(agree.max() / len(union))
 
