@@ -8,8 +8,9 @@ the script of its first letter (by Unicode range) narrows the candidates to the
 that script in training; others get `-CLIP`.
 
 A text is labelled word by word: the best path through the word scores with a penalty for every
-change of language (Viterbi). Where no stretch of words favours another language than the text's
-best by more than the penalty, the constant path is the best one, and the recursion isn't run.
+change of language (Viterbi). The recursion isn't run where the constant path in the text's best
+language provably wins: k stretches pay k - 1 changes, so they can't gain if no stretch favours
+another language by more than the penalty, and the best first and last stretch don't in sum.
 Neighbouring words of one label form a span.
 
 Null texts and texts without a letter have no span and the language `und` with score 0. Prediction
@@ -124,11 +125,12 @@ class Model:
 
     def path(self, s: np.ndarray, penalty: float) -> np.ndarray:
         """The label of each word on the best path; s: (words, languages)."""
-        best = int(s.sum(axis=0).argmax())
-        gain = np.cumsum(s - s[:, best : best + 1], axis=0)
+        best = int(s.sum(axis=0, dtype=float).argmax())
+        gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=float)
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        before = np.concatenate((np.zeros((1, s.shape[1]), s.dtype), low[:-1]))
-        if (gain - before).max() <= penalty:
+        before = np.concatenate((np.zeros((1, s.shape[1])), low[:-1]))
+        first, last = max(0.0, gain.max()), max(0.0, (gain[-1] - before).max())
+        if (gain - before).max() <= penalty and first + last <= penalty:
             return np.full(len(s), best)
         value, back = s[0].astype(float), np.empty(s.shape, np.int64)
         own = np.arange(s.shape[1])
