@@ -27,3 +27,11 @@ def test_shortcut_equals_every_path():
         s = np.repeat(-rng.integers(0, 4, (4, 3)), 2, axis=0).astype(np.float32) * rng.choice([1.0, 1.5])
         best = max(worth(s, np.array(p)) for p in itertools.product(range(3), repeat=8))
         assert abs(worth(s, plain_model(3).path(s, 6.0)) - best) < 1e-3
+
+
+def test_windows_of_a_rare_language_are_kept(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join("".join(map(chr, rng.integers(0x4E00, 0x9F00, 4))) for _ in range(n))
+    often, rare = text(40_000), text(60)
+    model = langid.train(spark.createDataFrame([("a", often), ("a", often), ("b", rare)], "lang string, text string"))
+    assert model.langs == ["a", "b"] and model.predict(rare) == ("b", 1.0)

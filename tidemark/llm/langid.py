@@ -14,8 +14,9 @@ another language by more than the penalty, and the best first and last stretch d
 Neighbouring words of one label form a span.
 
 Null texts and texts without a letter have no span and the language `und` with score 0. Prediction
-reads the text alone, and all of it. The model holds the `GRAMS` most frequent windows at most; it
-is collected once and sent to all tasks.
+reads the text alone, and all of it. The model holds every window of the training rows, at most
+2 x 2^BITS places a language; its counts come to the driver in packed blocks, one at a time, and it
+is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 from .common import documents, remainder, small_batches
 
 BITS = 18
-#: Bound on the windows of a model.
-GRAMS = 60_000
 CLIP = 3.0
 PENALTY = 6.0
 
@@ -160,24 +159,22 @@ class Model:
         return self.langs[top], float(share[top])
 
 
-def train(rows: DataFrame, most: int = GRAMS) -> Model:
+def train(rows: DataFrame) -> Model:
     """A model of rows (lang, text). Null languages and texts are left out."""
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": p["lang"].iloc[:1], "places": [p["place"].to_numpy(np.int32).tobytes()], "n": [p["n"].to_numpy(np.int64).tobytes()]})
+
     counts = counted(rows.filter("lang IS NOT NULL AND text IS NOT NULL"))
-    whole = counts.groupBy("place").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    top = whole.orderBy((F.col("place") < 0).desc(), F.col("total").desc(), "place").limit(most).collect()  # at most `most` rows
-    langs = sorted({x["lang"] for r in top for x in r["by"]})
-    column = {a: i for i, a in enumerate(langs)}
-    places, table, scripts = [], [], np.zeros((len(_NAMES), len(langs)))
-    for r in top:
-        n = np.zeros(len(langs))
-        for x in r["by"]:
-            n[column[x["lang"]]] = x["n"]
-        if r["place"] < 0:
-            scripts[r["place"] + len(_NAMES)] = n
-        else:
-            places.append(r["place"])
-            table.append(n)
-    return Model(langs, np.array(places, np.int64), np.array(table).reshape(len(places), len(langs)), scripts)
+    blocks = counts.groupBy("lang", F.shiftright("place", 16).alias("block")).applyInPandas(pack, "lang string, places binary, n binary")
+    by_lang: dict[str, np.ndarray] = {}
+    for r in blocks.toLocalIterator():  # at most 9 rows a language, 65,536 places each
+        n = by_lang.setdefault(r["lang"], np.zeros(len(_NAMES) + (2 << BITS)))
+        n[np.frombuffer(r["places"], np.int32) + len(_NAMES)] = np.frombuffer(r["n"], np.int64)
+    langs = sorted(by_lang)
+    table = np.stack([by_lang[a] for a in langs], axis=1) if langs else np.zeros((len(_NAMES) + (2 << BITS), 0))
+    places = np.flatnonzero(table[len(_NAMES) :].any(axis=1))
+    return Model(langs, places, table[len(_NAMES) + places], table[: len(_NAMES)])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
