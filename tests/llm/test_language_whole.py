@@ -31,7 +31,11 @@ def test_shortcut_equals_every_path():
 
 def test_windows_of_a_rare_language_are_kept(spark):
     rng = np.random.default_rng(6)
-    text = lambda n: " ".join("".join(map(chr, rng.integers(0x4E00, 0x9F00, 4))) for _ in range(n))
-    often, rare = text(40_000), text(60)
-    model = langid.train(spark.createDataFrame([("a", often), ("a", often), ("b", rare)], "lang string, text string"))
-    assert model.langs == ["a", "b"] and model.predict(rare) == ("b", 1.0)
+    words = lambda n: ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 4))) for _ in range(n)]
+    often = " ".join(words(40_000))
+    _, three, pair, _ = langid.windows(often)
+    apart = lambda w: not (np.isin(langid.windows(w)[1], three).any() or np.isin(langid.windows(w)[2], pair).any())
+    rare = [w for w in words(40_000) if apart(w)][:20]
+    assert len(rare) == 20
+    model = langid.train(spark.createDataFrame([("a", often), ("a", often), ("b", " ".join(rare))], "lang string, text string"))
+    assert model.langs == ["a", "b"] and model.predict(" ".join(rare)) == ("b", 1.0)
