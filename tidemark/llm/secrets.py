@@ -1,7 +1,7 @@
 """Secret scanning with a randomness test battery, in DataFrame functions only.
 
-Known forms (assignments, access keys, long hex runs) are found by pattern. Every other long token
-is put to a battery of tests and reported when it looks drawn at random from its alphabet:
+Known forms (assignments, access keys, long hex runs) are found by pattern. Every other token of
+LEAST characters or more is put to a battery of tests and reported when it looks drawn at random from its alphabet:
 
 1. Its encoding is inferred from the characters it holds (hex, base32, base36, base62, base64 and
    so on), which fixes the alphabet and its size A.
@@ -14,7 +14,7 @@ is put to a battery of tests and reported when it looks drawn at random from its
    ordinary token reaches a ratio of 2^b with probability 2^-b at most, which is its p-value.
 4. Benjamini-Hochberg over all tokens of the whole table, apart for each class of token length,
    holds the share of false discoveries at FDR. The counts per (length class, bits) are the only
-   thing that leaves the executors: at most 5 x (MAX_BITS + 1) rows.
+   thing that leaves the executors: at most 6 x (MAX_BITS + 1) rows.
 
 Null and empty texts have no spans. Repeated rows are scanned each on their own. Other columns are
 not read. Offsets are code points, ends exclusive.
@@ -34,7 +34,9 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Fewest characters of a token for the battery.
+LEAST = 12
+TOKEN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 KINDS = ("assign", "access", "hex", "random")
 
 # Fixed values: (encoding, pattern, alphabet in order). The first pattern that fits is inferred.
@@ -157,14 +159,14 @@ def battery(tokens: Column) -> Column:
 
 
 def length_class(length: Column) -> Column:
-    return F.when(length < 24, 0).when(length < 32, 1).when(length < 48, 2).when(length < 96, 3).otherwise(4)
+    return F.when(length < 20, 0).when(length < 24, 1).when(length < 32, 2).when(length < 48, 3).when(length < 96, 4).otherwise(5)
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """Fewest bits to report, per length class, by Benjamini-Hochberg over all tokens."""
     one = scanned.select(F.explode("tokens").alias("t")).select(length_class(F.length("t.token")).alias("k"), F.col("t.bits").alias("b"))
     counts: dict[int, dict[int, int]] = {}
-    for k, b, n in one.groupBy("k", "b").count().collect():  # at most 5 x (MAX_BITS + 1) rows
+    for k, b, n in one.groupBy("k", "b").count().collect():  # at most 6 x (MAX_BITS + 1) rows
         counts.setdefault(k, {})[b] = n
     out = {}
     for k, by_bits in counts.items():
