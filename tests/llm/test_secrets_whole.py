@@ -17,3 +17,15 @@ def test_short_keys(spark):
     assert random_parts(spark, texts) == [["q7Zr2KxV9mTb4LwY"], ["Xk4Tz9Qw2Vb7"], []]
     out = secrets.redact(frame(spark, [(0, texts[0])])).first()["text"]
     assert out == "the key [SECRET] here"
+
+
+def test_keys_in_runs_that_no_encoding_fits(spark):
+    texts = [f"see /reset-password/{KEY} now", f"é https://host.example/a_b/{KEY}/some-page", f"/one-two/{KEY}/and-then/ordinary/{KEY[::-1]}/x", "/some-long/path_of/ordinary-words/without_a/single-secret"]
+    assert random_parts(spark, texts) == [[KEY], [KEY], [KEY, KEY[::-1]], []]
+    assert KEY not in secrets.redact(frame(spark, [(0, texts[0])])).first()["text"]
+
+
+def test_rest_of_a_run_beside_a_known_form(spark):
+    known = "0123456789abcdef0123456789abcdef"
+    got = random_parts(spark, [f"{KEY}/{known}", f"{known}/{KEY}-{known} x", f"{known} x"])
+    assert [[KEY in p for p in parts] for parts in got] == [[True], [True], []]

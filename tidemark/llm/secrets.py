@@ -1,7 +1,10 @@
 """Secret scanning with a randomness test battery, in DataFrame functions only.
 
 Known forms (assignments, access keys, long hex runs) are found by pattern. Every other token of
-LEAST characters or more is put to a battery of tests and reported when it looks drawn at random from its alphabet:
+LEAST characters or more, and what known forms leave of one, is put to a battery of tests and
+reported when it looks drawn at random from its alphabet. A token that no encoding fits ('/' or '+'
+together with '-' or '_') is cut at one pair of separators, the other and both; of overlapping
+pieces the one with the most evidence stands, less CHOICE bits for the choice and JOINT for a separator.
 
 1. Its encoding is inferred from the characters it holds (hex, base32, base36, base62, base64 and
    so on), which fixes the alphabet and its size A.
@@ -37,6 +40,8 @@ HEX = r"[0-9a-f]{32,}"
 #: Fewest characters of a token for the battery.
 LEAST = 12
 TOKEN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
+# The pieces of a token that no encoding fits.
+PIECES = tuple(rf"[A-Za-z0-9{marks}]{{{LEAST},}}={{0,2}}" for marks in ("_-", "+/", ""))
 KINDS = ("assign", "access", "hex", "random")
 
 # Fixed values: (encoding, pattern, alphabet in order). The first pattern that fits is inferred.
@@ -61,6 +66,10 @@ LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60,
 SAME_CLASS = 0.9
 MIN_FIT = 0.001
 FDR = 0.01
+#: Bits that a choice among the three cuts of a token costs (log2 of 3, rounded up).
+CHOICE = 2
+#: Bits by which a separator between words, with its two changes of class, is taken for random.
+JOINT = 7
 MAX_BITS = 400
 
 
@@ -158,6 +167,43 @@ def battery(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(*[t[f].alias(f) for f in out]))
 
 
+_TOKENS = "array<struct<start:int,stop:int,token:string>>"
+_TESTED = "array<struct<start:int,stop:int,token:string,encoding:string,fit:double,bits:int>>"
+
+
+def _part(t: Column, start: Column, stop: Column) -> Column:
+    """The part of a token between two offsets of the text."""
+    return F.struct(start.alias("start"), stop.alias("stop"), F.substring(t["token"], start - t["start"] + 1, stop - start).alias("token"))
+
+
+def _outside(t: Column, base: Column) -> Column:
+    """What the base spans leave of a token, in parts of LEAST characters or more."""
+    hit = F.array_sort(F.filter(base, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
+    add = lambda out, start, stop: F.when(stop - start >= LEAST, F.concat(out, F.array(_part(t, start, stop)))).otherwise(out)
+    begin = F.struct(t["start"].alias("at"), F.array().cast(_TOKENS).alias("out"))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), add(acc["out"], acc["at"], s["start"]).alias("out"))
+    return F.aggregate(hit, begin, step, lambda acc: add(acc["out"], acc["at"], t["stop"]))
+
+
+def _pieces(t: Column) -> Column:
+    """The pieces of a token by every cut, by start and stop."""
+    found = F.concat(*[_spans(t["token"], pattern, "random") for pattern in PIECES])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda p: _part(t, t["start"] + p["start"], t["start"] + p["stop"]))))
+
+
+def _strongest(tested: Column) -> Column:
+    """Of overlapping pieces the one with the most bits, CHOICE and JOINT taken off; by start and stop."""
+    joints = lambda t: F.length(F.regexp_replace(t["token"], "[A-Za-z0-9=]", ""))
+    less = F.transform(tested, lambda t: t.withField("bits", F.greatest(F.lit(0), t["bits"] - CHOICE - joints(t) * JOINT)))
+
+    def step(acc: Column, t: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        apart = F.coalesce(last["stop"] <= t["start"], F.lit(True))
+        return F.when(apart, F.concat(acc, F.array(t))).when(t["bits"] > last["bits"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(t))).otherwise(acc)
+
+    return F.aggregate(less, F.array().cast(_TESTED), step)
+
+
 def length_class(length: Column) -> Column:
     return F.when(length < 20, 0).when(length < 24, 1).when(length < 32, 2).when(length < 48, 3).when(length < 96, 4).otherwise(5)
 
@@ -189,16 +235,22 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: t
     base = F.concat(_spans(text, ASSIGN, "assign", secret), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))
     slim = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     thin = df.select(F.col(id_col).alias("__tm_id"), *[F.col(f"`{c}`").alias(f"__tm_c_{c}") for c in carry], slim.alias("base"), _spans(text, TOKEN, "random").alias("found"))
-    free = F.filter("found", lambda t: ~F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    plain = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["token"].alias("token")))
-    thin = materialize(thin.withColumn("found", plain))
-    scanned = materialize(thin.withColumn("tokens", F.when(F.size("found") > 0, battery(F.col("found")))).drop("found"))
+    plain = lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["token"].alias("token"))
+    clash = lambda t: F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
+    mixed = lambda t: t["token"].rlike("[+/]") & t["token"].rlike("[_-]")
+    thin = materialize(thin.withColumn("found", F.flatten(F.transform("found", lambda t: F.when(clash(t), _outside(t, F.col("base"))).otherwise(F.array(plain(t)))))))
+    thin = thin.withColumn("whole", F.filter("found", lambda t: ~mixed(t))).withColumn("cut", F.flatten(F.transform(F.filter("found", mixed), _pieces)))
+    thin = materialize(thin.select("*", F.concat("whole", "cut").alias("all"), F.size("whole").alias("n")).drop("found", "whole", "cut"))
+    tested = materialize(thin.withColumn("tokens", F.when(F.size("all") > 0, battery(F.col("all")))).drop("all"))
+    after = F.slice("tokens", F.col("n") + 1, F.size("tokens"))
+    scanned = tested.withColumn("tokens", F.when(F.size("tokens") > F.col("n"), F.concat(F.slice("tokens", F.lit(1), F.col("n")), _strongest(after))).otherwise(F.col("tokens"))).drop("n")
+    scanned = materialize(scanned)
     least = thresholds(scanned, fdr)
     need = F.lit(MAX_BITS + 1)
     for k, b in least.items():
         need = lambda t, k=k, b=b, other=need: F.when(length_class(F.length(t["token"])) == k, b).otherwise(other(t) if callable(other) else other)
     passes = (lambda t: t["bits"] >= need(t)) if callable(need) else (lambda t: F.lit(False))
-    extra = F.transform(F.filter(F.coalesce("tokens", F.array().cast("array<struct<start:int,stop:int,token:string,encoding:string,fit:double,bits:int>>")), passes), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lit("random").alias("kind")))
+    extra = F.transform(F.filter(F.coalesce("tokens", F.array().cast(_TESTED)), passes), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lit("random").alias("kind")))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ranked = F.array_sort(F.transform(F.concat("base", extra), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     spans = F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
