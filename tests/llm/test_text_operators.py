@@ -119,17 +119,26 @@ def test_substring_removal_against_brute_force(spark, crowded):
     shared = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(180))
     own = lambda k: "".join(chr(97 + (i * k + k) % 23) for i in range(90))
     rows = TEXTS + [(60, own(3) + shared + own(5)), (61, own(7) + shared), (62, shared[:49]), (63, shared[20:70]), (64, own(3) + "\x00" * 80), (65, "\x00" * 120), (66, shared + shared)]
+    rows += [(70 + i, own(3 + i)[:40] + shared[i : i + 60] + own(9 + i)[:30]) for i in range(6)]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.removal(frame(spark, rows), crowded=crowded).collect()}
     assert got == brute_removal(rows)
     assert substrings.removal(empty(spark)).count() == 0
 
 
+def test_substring_removal_of_repeated_ids_rows_and_null_ids(spark):
+    s = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(90))
+    rows = [(1, s), (2, "q" * 300 + s), (2, "short"), (2, s), (3, s + "z"), (3, s + "z"), (None, s), (4, s), (4, s + "y")]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substrings.removal(frame(spark, rows)).collect())
+    assert got == sorted([("1", 90, 0, 0), ("2", 390, 90, 1), ("2", 5, 0, 0), ("2", 90, 90, 1), ("3", 91, 90, 1), ("3", 91, 90, 1), ("None", 90, 0, 0), ("4", 90, 90, 1), ("4", 91, 90, 1)])
+
+
 def test_merged_transform_orders_all_suffixes():
     rng = np.random.default_rng(5)
     shards = [rng.integers(0, 3, n).astype(np.uint8) for n in (200, 90, 37)]
-    source, place = bwt.merged_order(shards, 12)
+    source, place, common = bwt.merged_order(shards, 12)
     keys = [bytes(np.resize(np.roll(shards[s], -p), 12)) for s, p in zip(source, place)]
     assert keys == sorted(keys) and len(set(zip(source.tolist(), place.tolist()))) == 327
+    assert common.tolist() == [0] + [next((i for i in range(12) if a[i] != b[i]), 12) for a, b in zip(keys, keys[1:])]
 
 
 def test_syncmer_fingerprints(spark):

@@ -5,8 +5,9 @@ bytes) and give its transform: the byte before every suffix, in suffix order. Th
 then merged without sorting suffixes again: the interleave, which says for every place of the merged
 order which shard its suffix comes from, starts as "shard after shard" and is refined one byte a
 round. A round reads the shards' transforms along the interleave and sorts the interleave stably by
-these bytes, which settles one byte more of context. After `depth` rounds suffixes with equal first
-`depth` bytes lie side by side: the repeated intervals.
+these bytes, which settles one byte more of context. Places that part in round r have r bytes in
+common with the place before: the rounds give the common prefixes, and where these reach `depth`
+lie the repeated intervals. No two strings are compared with each other.
 """
 
 from __future__ import annotations
@@ -35,53 +36,50 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         known *= 2
 
 
-def merged_order(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard and place of every suffix of all shards, ordered by the first `depth` bytes."""
+def merged_order(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard and place of every suffix of all shards, ordered by the first `depth` bytes; and how many
+    bytes, up to `depth`, each has in common with the one before."""
     orders = [sorted_suffixes(t, depth) for t in shards]
     transforms = [t[o - 1] for t, o in zip(shards, orders, strict=True)]
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t) for t in shards])
     before = np.empty(len(source), np.uint8)
-    for _ in range(depth):
+    common = np.full(len(source), depth, np.int16)
+    common[:1] = 0
+    interval = np.zeros(len(source), np.int32)  # of places whose suffixes agree in the bytes settled so far
+    for settled in range(depth):
         for s, b in enumerate(transforms):
             before[source == s] = b
-        refined = source[np.argsort(before, kind="stable")]
-        if np.array_equal(refined, source):  # stable: every later round would repeat this one
+        refined = np.argsort(before, kind="stable")
+        source, after = source[refined], interval[refined]
+        head = before[refined]
+        parts = (head[1:] != head[:-1]) | (after[1:] != after[:-1])
+        common[1:][parts & (common[1:] == depth)] = settled
+        interval[1:] = np.cumsum(parts, dtype=np.int32)
+        if len(interval) and interval[-1] == len(interval) - 1:  # every place stands alone
             break
-        source = refined
     place = np.empty(len(source), np.int64)
     for s, o in enumerate(orders):
         place[source == s] = o
-    return source, place
+    return source, place, common
 
 
-def least_owner(strings: list[bytes], owner: np.ndarray, width: int, shards: int = 4) -> list[np.ndarray]:
-    """For each string and each place where a run of `width` bytes starts: the smallest owner of any
-    string that holds the same run."""
-    parts = [list(range(s, len(strings), shards)) for s in range(min(shards, len(strings)))]
-    texts, firsts, of, offset = [], [], [], []
-    for ids in parts:
-        n = np.array([len(strings[i]) + 1 for i in ids])
-        texts.append(np.frombuffer(b"".join([strings[i] + b"\0" for i in ids]), np.uint8))
-        firsts.append(np.cumsum(n) - n)
-        of.append(np.repeat(ids, n))
-        offset.append(np.arange(n.sum()) - np.repeat(firsts[-1], n))
-    size = np.array([len(s) for s in strings])
-    source, place = merged_order(texts, width)
-    base = np.cumsum([0] + [len(t) for t in texts])[:-1]
-    at = base[source] + place
+def least_owner(strings: list[bytes], owner: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
+    """For each place where a run of `width` bytes starts, string after string: the smallest owner of
+    any string that holds the same run. shard: the shard of each string, 0 to 255."""
+    parts = [np.flatnonzero(shard == s) for s in np.unique(shard)]
+    size = np.array([len(s) for s in strings], np.int64)
+    texts = [np.frombuffer(b"".join([strings[i] + b"\0" for i in ids.tolist()]), np.uint8) for ids in parts]
+    of = [np.repeat(ids, size[ids] + 1) for ids in parts]
+    offset = [np.arange(len(t)) - np.repeat(np.cumsum(size[ids] + 1) - size[ids] - 1, size[ids] + 1) for t, ids in zip(texts, parts, strict=True)]
+    source, place, common = merged_order(texts, width)
+    at = np.cumsum([0] + [len(t) for t in texts])[:-1][source] + place
     string, start = np.concatenate(of)[at], np.concatenate(offset)[at]
-    full = start <= size[string] - width
-    at, string, start = at[full], string[full], start[full]
-    text = np.concatenate(texts)
-    runs = np.lib.stride_tricks.sliding_window_view(text, width)
-    new = np.ones(len(at), bool)
-    for a in range(1, len(at), 1 << 16):  # neighbours in the merged order that differ part the intervals
-        z = min(len(at), a + (1 << 16))
-        new[a:z] = (runs[at[a:z]] != runs[at[a - 1 : z - 1]]).any(axis=1)
-    cut = np.flatnonzero(new)
-    least = np.minimum.reduceat(owner[string], cut) if len(cut) else np.zeros(0, np.int64)
-    least = least[np.cumsum(new) - 1]
-    out = np.empty(int((size - width + 1).sum()), np.int64)
-    begin = np.cumsum(size - width + 1) - (size - width + 1)
-    out[begin[string] + start] = least
-    return np.split(out, begin[1:])
+    interval = np.cumsum(common < width)
+    full = np.flatnonzero(start <= size[string] - width)  # suffixes with a whole run before their string ends
+    string, start, interval = string[full], start[full], interval[full]
+    cut = np.flatnonzero(np.concatenate((np.ones(1, bool), interval[1:] != interval[:-1])))
+    least = np.repeat(np.minimum.reduceat(owner[string], cut), np.diff(np.append(cut, len(string))))
+    runs = size - width + 1
+    out = np.empty(int(runs.sum()), np.int64)
+    out[(np.cumsum(runs) - runs)[string] + start] = least
+    return out
