@@ -2,7 +2,10 @@ import hashlib
 import itertools
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import components, exact_dedup, minhash
+from tidemark.llm.shingles import shingles
 from tests.llm.cases import LONG, TEXTS, empty, frame
 
 
@@ -61,6 +64,23 @@ def test_near_edges(spark):
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert None in ids and 15 not in ids and 6 not in ids and {1, 2, 3, 13} <= set(ids)
     assert minhash.near_duplicates(empty(spark)).count() == 0
+    odd = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, [(None, LONG), (None, None), (5, LONG), (5, LONG)])).collect()}
+    assert odd == {(None, None, True), (5, 5, True)}
+
+
+def test_the_estimate_decides_which_pairs_are_checked(spark):
+    words = [f"w{i}" for i in range(300)]
+    near = [(k, " ".join([*words[: 300 - k], *(f"a{k}-{j}" for j in range(k))])) for k in range(0, 30, 3)]
+    far = [(100 + k, " ".join([*words[:160], *(f"b{k}-{j}" for j in range(140))])) for k in range(40)]
+    texts = dict(near + far)
+    rows = minhash.sketched(frame(spark, near + far).select(F.col("doc_id").alias("id"), "text"), 4)
+    pairs = minhash.estimated(minhash.candidate_pairs(rows), rows.select("id", "planes")).collect()
+    assert pairs
+    sets = {i: set(shingles(t.encode(), 4).tolist()) for i, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    least = minhash.least_estimate(80)
+    assert all(r["estimate"] >= least for r in pairs if alike(r["x"], r["hub"]) >= 0.8)
+    assert any(r["estimate"] < least for r in pairs) and all(abs(r["estimate"] - alike(r["x"], r["hub"])) < 0.3 for r in pairs)
 
 
 def test_components_of_chain_and_star(spark):

@@ -5,29 +5,32 @@
    equal digests are one class from here on (its documents are copies), with the smallest id.
 2. Candidates: every class that shares a band with others is paired with the smallest of them, the
    hub. This is linear in the rows, however large a bucket is.
-3. Check: of each pair (member, hub) the intersection is counted on the full sets. The difference is
-   kept as well: which of the hub's shingles the member lacks, and which it adds.
-4. The rest of a bucket: members that did not join their hub's component may still be linked with
-   each other or with members that did. They are compared with all members of their hub, in blocks
-   of bounded size, first by the b-bit estimate of similarity (bit counts over the planes, corrected
-   for chance agreement), then exactly: with h the hub, x = h - r + a, the intersection of two
-   members is |h| - |r1 or r2| + |a1 and a2|. Only links that join two components of the block are
-   put out, so the output stays linear.
-5. Components: smallest id by alternating large-star and small-star rounds over the links.
+3. Estimate: the planes of member and hub give their similarity by bit counts, corrected for chance
+   agreement. Pairs that the estimate rejects are not looked at again as pairs.
+4. Check: of the others the intersection is counted on the full sets.
+5. The rest of a bucket: where members did not join their hub's component and the hub has others, they
+   may be linked with each other or with members that did. For these hubs every member's difference
+   from the hub is made: which of the hub's shingles it lacks, and which it adds. Members are
+   compared in blocks of bounded size, first by the estimate, then exactly: with h the hub,
+   x = h - r + a, the intersection of two members is |h| - |r1 or r2| + |a1 and a2|. Only links that
+   join two components of the block are put out, so the output stays linear.
+6. Components: smallest id by alternating large-star and small-star rounds over the links.
 
 A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^32 > 1 - 5e-8. The estimate
 rejects at six standard errors below the threshold. No bucket, hub or component is cut short.
 
-Null and empty texts, and texts without words, have an empty set and are linked with nothing. Ids
-should be unique; of rows with one id and several texts, one text stands for the id in links, and
-every row is listed. Rows with a null id are not listed, and dropping near duplicates keeps them.
-Other columns aren't read.
+Null and empty texts, and texts without words, have an empty set and are linked with nothing. An empty
+table gives an empty result. Ids are integers and should be unique; of rows with one id and several
+texts, one text stands for the id in links. Every row is listed, repeated ones too; those with a null
+id are their own component (null) and kept, and dropping near duplicates keeps them. Other columns
+aren't read; they can have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,7 +85,7 @@ def least_estimate(percent: int) -> float:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """id, n (set size), digest (binary, null for empty sets), bands array<long>, planes binary."""
+    """id, n (set size), digest (binary, null for empty sets), bands and planes (array<long>)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,11 +96,10 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
             if full:
                 keys, bits = sketch([sets[i] for i in full])
                 for k, i in enumerate(full):
-                    digest[i], bands[i], planes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), keys[k], bits[k].tobytes()
-            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "digest": digest, "bands": bands, "planes": planes})
+                    digest[i], bands[i], planes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), keys[k], bits[k].ravel()
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n": [len(s) for s in sets], "digest": digest, "bands": bands, "planes": planes})
 
-    thin = docs.filter("id IS NOT NULL")
-    return thin.mapInPandas(run, "id long, n long, digest binary, bands array<long>, planes binary")
+    return docs.mapInPandas(run, "id long, n long, digest binary, bands array<long>, planes array<long>")
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
@@ -107,6 +109,16 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     return placed.join(hubs, "band").filter("x <> hub").select("x", "hub").distinct()
 
 
+def estimated(pairs: DataFrame, planes: DataFrame) -> DataFrame:
+    """x, hub, estimate: of each pair the similarity that the bit planes give. planes: id, planes."""
+    both = pairs.join(planes.select(F.col("id").alias("x"), F.col("planes").alias("p")), "x").join(planes.select(F.col("id").alias("hub"), F.col("planes").alias("q")), "hub")
+    words = HASHES // 64
+    differ = [[F.col("p")[i * words + w].bitwiseXOR(F.col("q")[i * words + w]) for i in range(BITS)] for w in range(words)]
+    unequal = sum(F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), bits)) for bits in differ)
+    chance = 2.0**-BITS
+    return both.select("x", "hub", (((1 - unequal / HASHES) - chance) / (1 - chance)).alias("estimate"))
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, planes: DataFrame, words: int) -> DataFrame:
     """For each (x, hub): n_hub, both (size of the intersection), planes of x, lacks (bits), adds (hashes), n_x."""
     per_hub = pairs.groupBy("hub").agg((F.ceil(F.count("*") / SALTED)).cast("int").alias("salts"))
@@ -130,22 +142,29 @@ def _checked(pairs: DataFrame, texts: DataFrame, planes: DataFrame, words: int)
                 rows.append((x, hub, len(hub_set), len(s), int(inside.sum()), bits, np.packbits(~held).tobytes(), s[~inside].tobytes()))
             yield pd.DataFrame(rows, columns=["x", "hub", "n_hub", "n_x", "both", "planes", "lacks", "adds"])
 
-    return both.mapInPandas(run, "x long, hub long, n_hub long, n_x long, both long, planes binary, lacks binary, adds binary")
+    return both.mapInPandas(run, "x long, hub long, n_hub long, n_x long, both long, planes array<long>, lacks binary, adds binary")
 
 
 def _linked(both, n_a, n_b, percent: int):
     return 100 * both >= percent * (n_a + n_b - both)
 
 
-def _leftover_links(checked: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one hub that lie in different components so far."""
+def unsettled(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """x, hub, c (component of x so far), out (it isn't the hub's) of the hubs with members outside their
+    component and others besides; mb and lb, blocks of all members and of those outside."""
     of_x = component.select(F.col("id").alias("x"), F.col("component").alias("c"))
     of_hub = component.select(F.col("id").alias("hub"), F.col("component").alias("c_hub"))
-    known = checked.join(of_x, "x", "left").join(of_hub, "hub", "left")
-    members = known.withColumn("c", F.coalesce("c", "x")).withColumn("c_hub", F.coalesce("c_hub", "hub")).withColumn("out", F.col("c") != F.col("c_hub"))
+    known = pairs.select("x", "hub").join(of_x, "x", "left").join(of_hub, "hub", "left")
+    members = known.withColumn("c", F.coalesce("c", "x")).withColumn("out", F.col("c") != F.coalesce("c_hub", "hub")).drop("c_hub")
     sizes = members.groupBy("hub").agg(F.count("*").alias("m"), F.count_if("out").alias("l")).filter("l > 0 AND m > 1")
     blocks = sizes.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("l") / BLOCK).cast("int").alias("lb"))
-    members = members.join(blocks, "hub")
+    return members.join(blocks, "hub")
+
+
+def _leftover_links(open_pairs: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one hub that lie in different components so far. open_pairs: see
+    `unsettled`; checked: the members' differences from their hub."""
+    members = checked.join(open_pairs, ["x", "hub"])
     m_block = F.pmod(F.xxhash64("x"), F.col("mb")).cast("int")
     l_block = F.pmod(F.xxhash64("x", F.lit(1)), F.col("lb")).cast("int")
     cols = ["hub", "x", "n_hub", "n_x", "planes", "lacks", "adds", "c", "out"]
@@ -159,7 +178,7 @@ def _leftover_links(checked: DataFrame, component: DataFrame, percent: int) -> D
         many, some = p[~left], p[left]
         if not len(many) or not len(some):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        planes = np.stack([np.frombuffer(x, "<i8").reshape(BITS, -1) for x in many["planes"]])
+        planes = np.stack(many["planes"].to_list()).astype(np.int64).reshape(len(many), BITS, -1)
         lacks = np.stack([np.frombuffer(x, np.uint8) for x in many["lacks"]])
         n_hub, n_x, xs, cs = int(p["n_hub"].iloc[0]), many["n_x"].to_numpy(), many["x"].to_numpy(), many["c"].to_numpy()
         holders: dict[int, list[int]] = {}
@@ -175,7 +194,7 @@ def _leftover_links(checked: DataFrame, component: DataFrame, percent: int) -> D
 
         links = []
         for row in some.itertuples(index=False):
-            near = likeness(np.frombuffer(row.planes, "<i8").reshape(BITS, -1), planes) >= least
+            near = likeness(np.asarray(row.planes, np.int64).reshape(BITS, -1), planes) >= least
             near &= (cs != row.c) & (xs != row.x)
             k = np.flatnonzero(near)
             if not len(k):
@@ -196,25 +215,29 @@ def _leftover_links(checked: DataFrame, component: DataFrame, percent: int) -> D
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row with an id: id, n_shingles, component_id (smallest id reachable), kept."""
+    """One row per row: id, n_shingles, component_id (smallest id reachable), kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = materialize(sketched(docs, words))
-    rep = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
+    full = rows.filter("digest IS NOT NULL AND id IS NOT NULL")
+    rep = full.groupBy("digest").agg(F.min("id").alias("rep"))
     first = F.min_by(F.struct("bands", "planes"), "id")
-    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), first.alias("s")).select("id", "s.bands", "s.planes").dropDuplicates(["id"])
+    classes = full.groupBy("digest").agg(F.min("id").alias("id"), first.alias("s")).select("id", "s.bands", "s.planes").dropDuplicates(["id"])
     classes = materialize(classes)
-    pairs = materialize(candidate_pairs(classes))
+    planes = classes.select("id", "planes")
+    pairs = materialize(estimated(candidate_pairs(classes), planes))
     wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
     # the wanted ids grow with the documents: the same join at every size, never a broadcast
     texts = materialize(docs.select("id", packed(F.col("text")).alias("text")).join(wanted.hint("shuffle_hash"), "id").dropDuplicates(["id"]))
-    checked = materialize(_checked(pairs, texts, classes.select("id", "planes"), words))
-    links = checked.filter(_linked(F.col("both"), F.col("n_x"), F.col("n_hub"), percent)).select(F.col("x").alias("a"), F.col("hub").alias("b"))
-    rest = materialize(_leftover_links(checked, smallest_reachable(links), percent))
+    likely = _checked(pairs.filter(F.col("estimate") >= least_estimate(percent)).select("x", "hub"), texts, planes, words)
+    links = materialize(likely.filter(_linked(F.col("both"), F.col("n_x"), F.col("n_hub"), percent)).select(F.col("x").alias("a"), F.col("hub").alias("b")))
+    open_pairs = materialize(unsettled(pairs, smallest_reachable(links)))
+    rest = materialize(_leftover_links(open_pairs, _checked(open_pairs.select("x", "hub"), texts, planes, words), percent))
     component = smallest_reachable(links.unionByName(rest))
     # equal sets are one class; a class takes the component of its smallest id
     of_class = rep.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n", "digest").join(of_class, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    out = rows.select("id", "n", "digest").join(of_class, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
