@@ -15,7 +15,7 @@ class Registry:
         def put(f):
             self.queries[name] = f
             if sql is not None:
-                body = " ".join(sql.split())
+                body = sql.strip()
                 self.oracle[name] = f"WITH {base or self.base}" + (f", {body[5:]}" if body.startswith("WITH ") else f" {body}")
             return f
 
