@@ -51,3 +51,17 @@ def ntile(df: DataFrame, order: Sequence[Column], n: int, name: str) -> DataFram
     cut = more * (size + 1)
     tile = F.when(F.col("__r") <= cut, F.floor((F.col("__r") - 1) / (size + 1)) + 1).otherwise(F.floor((F.col("__r") - 1 - cut) / F.greatest(size, F.lit(1))) + more + 1)
     return out.withColumn(name, tile.cast("long")).drop("__r", "__whole")
+
+
+def quantiles(counted: DataFrame, key: Sequence[str], value: str, count: str, at: dict[str, float]) -> DataFrame:
+    """Per key the interpolated quantiles of a value, from a table of distinct values with their counts
+    (non-null). Values are put in order by ranges, so a key with any number of values is no single task."""
+    upto = running(counted.select(*key, value, count), [F.col(c) for c in (*key, value)], {"__upto": F.col(count)}).select(*key, value, count, "__upto")
+    sizes = upto.groupBy(*key).agg(F.sum(count).alias("__size"), F.min(F.col("__upto") - F.col(count)).alias("__before"))
+    ranked = upto.join(sizes, list(key)) if key else upto.crossJoin(F.broadcast(sizes))  # one row
+    ranked = ranked.withColumn("__upto", F.col("__upto") - F.col("__before"))
+    place = lambda p: (F.col("__size") - 1) * F.lit(float(p))  # noqa: E731  from 0
+    first = lambda p, more: F.min(F.when(F.col("__upto") > more(place(p)), F.col(value)))
+    both = ranked.groupBy(*key, "__size").agg(*[first(p, up).alias(f"__{n}_{i}") for n, p in at.items() for i, up in enumerate((F.floor, F.ceil))])
+    between = lambda n, p: F.col(f"__{n}_0") + (F.col(f"__{n}_1") - F.col(f"__{n}_0")) * (place(p) - F.floor(place(p)))
+    return both.select(*key, *[between(n, p).alias(n) for n, p in at.items()])

@@ -50,16 +50,12 @@ SHARES = [{"orders_share": share("orders"), "net_share": share("net")}]
 
 BLOCKS: dict[str, Block] = {
     # scope and headline figures
-    "e00a_scope": Block("ord", {}, {"first_date": "min(order_date)", "last_date": "max(order_date)", "days_with_orders": count("DISTINCT order_date"), "years": count("DISTINCT year(order_date)"), "orders": count()}),
     "e00b_macro": Block("ord", {}, ORDER | {"mean_products": ratio("sum(products)", "count(*)")}),
     # client behaviour
     "e03a_client_base": Block("ord", {"client_id": "client_id"}, PER_CLIENT | {"first_date": "min(order_date)", "last_date": "max(order_date)", "ticket": ratio("sum(net)", "count(*)")}),
-    "e03c_profile": by("ord", MIX, "gender", "education", joins=[("client", "client_id")]),
     "e03d_age_band": Block("ord", {"age_band": AGE}, MIX, joins=[("client", "client_id")]),
     "e03f_geography": by("ord", MIX, "region", "city", "gender", joins=[("client", "client_id")]),
     "e03g_category": by("item", ITEM, "category"),
-    "e03i_status": by("delivery", DELIVERY, "status", "carrier"),
-    "e04c_gender_education_age": Block("ord", {"gender": "gender", "education": "education", "age_band": AGE}, MIX, joins=[("client", "client_id")], post=[small("clients", 10)]),
     "e04d_region_gender": Block("ord", {"region": "region", "gender": "gender", "income_band": "CASE WHEN income IS NULL THEN 'Sem renda' WHEN income < 0 THEN 'Negativa' WHEN income < 5000 THEN 'Media' ELSE 'Alta' END"}, MIX, joins=[("client", "client_id")]),
     "e04e_channel_campaign_event": by("ord", MIX, "channel", "campaign", "external_event", post=[small("orders", 30)]),
     "e04f_category_payment_campaign": by("item", ITEM, "category", "payment", "campaign", joins=[("ord", "order_id")]),
@@ -68,7 +64,6 @@ BLOCKS: dict[str, Block] = {
     "e07a_commercial_kpis": Block("ord", {}, MIX),
     "e07b_monthly": Block("ord", MONTH, pick(ORDER, "orders", "clients", "units", "net", "ticket"), post=[lagged("net", "orders"), deltas("net", "orders")]),
     "e07d_frequency_bands": Block("ord", {"client_id": "client_id"}, PER_CLIENT, then=({"band": FREQUENCY}, OF_CLIENTS), post=[{"client_share": share("clients")}]),
-    "e07f_category_penetration": by("item", ITEM, "category", post=[{"net_share": share("net"), "units_share": share("units")}]),
     "e07g_top_products": by("item", ITEM, "product_id", "product", top=("net DESC, product_id", 20)),
     "e07h_basket_bands": Block("ord", {"basket": BASKET}, MIX, post=SHARES),
     "e07i_weekday_band": Block("ord", {"weekday": "CAST(weekday(order_date) + 1 AS INT)", "time_band": "time_band"}, MIX),

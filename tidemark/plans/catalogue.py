@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, model, quality, rules, silver, special
+from . import analysis, gold, model, quality, rules, silver, special
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: block.spark for name, block in analysis.BLOCKS.items()} | special.QUERIES | quality.QUERIES | model.QUERIES | rules.QUERIES | silver.QUERIES
+    return {name: block.spark for name, block in analysis.BLOCKS.items()} | special.QUERIES | quality.QUERIES | model.QUERIES | rules.QUERIES | silver.QUERIES | gold.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: block.sql() for name, block in analysis.BLOCKS.items()} | special.ORACLE | quality.ORACLE | model.ORACLE | rules.ORACLE | silver.ORACLE
+    return {name: block.sql() for name, block in analysis.BLOCKS.items()} | special.ORACLE | quality.ORACLE | model.ORACLE | rules.ORACLE | silver.ORACLE | gold.ORACLE

@@ -112,8 +112,9 @@ def client_coherence(spark, sf_dir) -> DataFrame:
 @query("v2_income_context", """WITH q AS (SELECT quantile_cont(income, 0.25) AS q1, quantile_cont(income, 0.75) AS q3 FROM client) SELECT client_id, income, CASE WHEN income < 0 THEN 'ERRO_PROVAVEL' WHEN income = 0 AND age < 25 THEN 'ZERO_PLAUSIVEL' WHEN income = 0 THEN 'ZERO_INCONSISTENTE' ELSE 'ALTA' END AS context FROM client, q WHERE income <= 0 OR income > q3 + 3 * (q3 - q1)""")
 def income_context(spark, sf_dir) -> DataFrame:
     c = client(spark, sf_dir)
-    p = F.percentile("income", F.array(F.lit(0.25), F.lit(0.75)))
-    both = c.crossJoin(F.broadcast(c.agg((p[1] + 3 * (p[1] - p[0])).alias("limit"))))  # one row
+    counted = c.dropna(subset=["income"]).groupBy("income").agg(F.count("*").alias("n"))
+    q = ordering.quantiles(counted, [], "income", "n", {"q1": 0.25, "q3": 0.75})
+    both = c.crossJoin(F.broadcast(q.select((F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("limit"))))  # one row
     kind = F.when(F.col("income") < 0, "ERRO_PROVAVEL").when((F.col("income") == 0) & (F.col("age") < 25), "ZERO_PLAUSIVEL").when(F.col("income") == 0, "ZERO_INCONSISTENTE").otherwise("ALTA")
     return both.filter((F.col("income") <= 0) | (F.col("income") > F.col("limit"))).select("client_id", "income", kind.alias("context"))
 

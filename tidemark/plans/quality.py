@@ -10,6 +10,7 @@ from tidemark.operators import checks, keys, ordering, profile, treat
 from tidemark.operators.checks import Rule
 from tidemark.sources import tables
 from tidemark.sources.bronze import BRONZE_SQL, bronze
+from tidemark.sources.lines import LINES_SQL, lines
 from tidemark.sources.commerce import STAR_SQL, client, delivery, item, order, read
 
 QUERIES: dict = {}
@@ -47,7 +48,18 @@ def column_profile(spark, sf_dir) -> DataFrame:
     return profile.columns(bronze(spark, sf_dir), COLUMNS)
 
 
-@query("p2_convertibility")
+_DATED = "coalesce(TRY_CAST({0} AS DATE), CAST(try_strptime({0}, '%d/%m/%Y') AS DATE)) IS NOT NULL AND contains({0}, CASE WHEN {0} LIKE '%/%' THEN '/' ELSE '-' END)"
+_TIMED = "regexp_matches({0}, '^([0-9]|1[0-9]|2[0-3]):[0-5][0-9]$')"
+_SHARE = "coalesce(round(100.0e0 * count(*) FILTER (NOT {gone} AND {cond}) / nullif(count(*) FILTER (NOT {gone}), 0), 4), 0)"
+
+
+def _reads(column: str, cond: str) -> str:
+    return _SHARE.format(gone=gone(column), cond=cond.format(column))
+
+
+@query("p2_convertibility", "WITH c AS (" + union([
+    f"""SELECT '{c}' AS "column", {_reads(c, "TRY_CAST(replace(trim({0}), ',', '.') AS DOUBLE) IS NOT NULL")} AS numeric, {_reads(c, _DATED)} AS dated, {_reads(c, _TIMED)} AS timed, {big(f'count(DISTINCT {c})')} AS distinct_values FROM bronze"""
+    for c in COLUMNS]) + """) SELECT *, CASE WHEN dated >= 95 THEN 'data' WHEN timed >= 95 THEN 'hora' WHEN numeric >= 95 THEN 'numerico' WHEN distinct_values <= 20 THEN 'categorico' ELSE 'texto' END AS suggested FROM c""")
 def convertibility(spark, sf_dir) -> DataFrame:
     return profile.convertibility(bronze(spark, sf_dir), COLUMNS)
 
@@ -83,10 +95,13 @@ def statistics(spark, sf_dir) -> DataFrame:
     return profile.statistics(bronze(spark, sf_dir), ["client_id"], T.number(F.col("amount")))
 
 
-@query("p11_outliers", "WITH q AS (SELECT quantile_cont(CAST(net AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(net AS DOUBLE), 0.75) AS q3 FROM (SELECT DISTINCT order_id, net FROM item) x), f AS (SELECT round(q1 - 1.5 * (q3 - q1), 6) AS a, round(q3 + 1.5 * (q3 - q1), 6) AS b, round(q1 - 3 * (q3 - q1), 6) AS c, round(q3 + 3 * (q3 - q1), 6) AS d FROM q) SELECT order_id, CAST(net AS DOUBLE) AS value, CASE WHEN CAST(net AS DOUBLE) < c OR CAST(net AS DOUBLE) > d THEN 'EXTREMO' ELSE 'MODERADO' END AS kind FROM item, f WHERE CAST(net AS DOUBLE) < a OR CAST(net AS DOUBLE) > b", STAR_SQL)
+@query("p11_outliers", """WITH u AS (SELECT DISTINCT client_id, income FROM line), q AS (SELECT quantile_cont(income, 0.25) AS q1, quantile_cont(income, 0.75) AS q3 FROM u),
+  f AS (SELECT round(q1 - 1.5 * (q3 - q1), 6) AS a, round(q3 + 1.5 * (q3 - q1), 6) AS b, round(q1 - 3 * (q3 - q1), 6) AS c, round(q3 + 3 * (q3 - q1), 6) AS d FROM q)
+  SELECT row_id, client_id, income AS value, CASE WHEN income < c OR income > d THEN 'EXTREMO' ELSE 'MODERADO' END AS kind FROM line, f WHERE income < a OR income > b""", LINES_SQL)
 def outlier_rows(spark, sf_dir) -> DataFrame:
-    i = item(spark, sf_dir)
-    return profile.outliers(i, profile.statistics(i, ["order_id"], F.col("net")), "net", ["order_id"])
+    """Lines whose client's income lies beyond the fences over clients."""
+    i = lines(spark, sf_dir)
+    return profile.outliers(i, profile.statistics(i, ["client_id"], F.col("income")), "income", ["row_id", "client_id"])
 
 
 @query("p12_domain", f"""WITH n AS (SELECT 'payment' AS "column", payment AS value, {big('count(*)')} AS n FROM bronze GROUP BY payment UNION ALL SELECT 'coupon', coupon, {big('count(*)')} FROM bronze GROUP BY coupon)
@@ -186,7 +201,10 @@ def varying_columns(spark, sf_dir) -> DataFrame:
     return keys.varying_columns(item(spark, sf_dir), "order_id", _VARY)
 
 
-@query("k17_canonical_map")
+@query("k17_canonical_map", "WITH u AS (" + union([f"SELECT client_id, '{c}' AS attribute, {c} AS value FROM bronze" for c in ("age", "payment", "city")]) + f"""), n AS (SELECT client_id, attribute, value, count(*) AS n, value IS NOT NULL AND trim(value) <> '' AS known, {NORMAL.format(c='value')} AS form FROM u GROUP BY ALL),
+  g AS (SELECT client_id, attribute, arg_min(value, (-n, value)) FILTER (known) AS canonical, max(n) FILTER (known) AS support, coalesce(sum(n) FILTER (known), 0) AS k, sum(n) AS rows, count(*) FILTER (known) AS raw_values, count(DISTINCT form) FILTER (known) AS normal_values FROM n GROUP BY client_id, attribute)
+  SELECT client_id, attribute, canonical, coalesce(round(100.0e0 * coalesce(support, 0) / nullif(k, 0), 4), 0) AS support_percent, {big('raw_values')} AS raw_values, {big('normal_values')} AS normal_values,
+  concat_ws(' | ', CASE WHEN k < rows THEN 'AUSENTE' END, CASE WHEN normal_values > 1 THEN 'CONFLITO' END, CASE WHEN raw_values > normal_values THEN 'VARIANTE' END) AS problems FROM g""")
 def canonical_map(spark, sf_dir) -> DataFrame:
     return keys.canonical_map(bronze(spark, sf_dir), "client_id", ("age", "payment", "city"))
 
@@ -282,9 +300,16 @@ def standard_variants(spark, sf_dir) -> DataFrame:
     return treat.standard_variants(bronze(spark, sf_dir), "city").select("row_id", "city")
 
 
-@query("t15_quarantine", "WITH e AS (SELECT client_id FROM bronze GROUP BY client_id HAVING count(coupon) = 0 AND count(age) = 0) SELECT row_id, client_id FROM bronze WHERE client_id IN (SELECT client_id FROM e)")
+@query("t13_payment_variants", """WITH n AS (SELECT lower(trim(payment)) AS k, trim(payment) AS v, count(*) AS n FROM bronze WHERE payment IS NOT NULL AND trim(payment) <> '' GROUP BY ALL), b AS (SELECT k, arg_min(v, (-n, v)) AS best FROM n GROUP BY k)
+  SELECT row_id, coalesce(best, payment) AS payment FROM bronze LEFT JOIN b ON b.k = lower(trim(payment))""")
+def payment_variants(spark, sf_dir) -> DataFrame:
+    """The most frequent spelling of each payment, several in one column."""
+    return treat.standard_variants(bronze(spark, sf_dir), "payment").select("row_id", "payment")
+
+
+@query("t15_quarantine", "WITH e AS (SELECT order_id FROM bronze GROUP BY order_id HAVING count(coupon) = 0 AND count(age) = 0) SELECT row_id, order_id FROM bronze WHERE order_id IN (SELECT order_id FROM e)")
 def quarantined(spark, sf_dir) -> DataFrame:
-    return treat.quarantine(bronze(spark, sf_dir), "client_id", ("coupon", "age"))[1].select("row_id", "client_id")
+    return treat.quarantine(bronze(spark, sf_dir), "order_id", ("coupon", "age"))[1].select("row_id", "order_id")
 
 
 @query("t16_lineage", AUDIT_SQL + """, r AS (SELECT row_id, string_agg(DISTINCT rule_id, ' | ' ORDER BY rule_id) AS rules_applied FROM audit GROUP BY row_id) SELECT b.row_id, rules_applied, CASE WHEN b.payment IS NULL THEN 'PEND01' END AS open_points, CASE WHEN b.payment IS NULL THEN 'pendente' WHEN rules_applied IS NOT NULL THEN 'tratado' ELSE 'sem_alteracao' END AS quality_status FROM bronze b LEFT JOIN r ON b.row_id = r.row_id""")
@@ -364,6 +389,7 @@ def orders_vs_items(spark, sf_dir) -> DataFrame:
     return both.select("measure", F.col("a").cast("double").alias("of_orders"), F.col("b").cast("double").alias("of_items"), F.when(F.abs(F.col("a") - F.col("b")) <= 0.01, "APROVADO").otherwise("REPROVADO").alias("status"))
 
 
-@query("io13_content_hash")
+@query("io13_content_hash", """WITH j AS (SELECT sha256(concat('{"c_custkey":', c_custkey, ',"c_name":"', c_name, '","c_mktsegment":"', c_mktsegment, '"}')) AS h FROM customer)
+  SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(3 AS INT) AS n_columns, sha256(CAST(sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)) AS VARCHAR)) AS content_hash FROM j""")
 def content_hash(spark, sf_dir) -> DataFrame:
-    return tables.content(read(spark, sf_dir, "orders"))
+    return tables.content(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordering
+from tidemark.operators.ordering import quantiles
 from tidemark.sources.commerce import STAR_SQL, client, delivery, item, order
+from tidemark.sources.tables import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,17 +74,20 @@ ou AS (SELECT l.unit, l.variable, CAST(count(CASE WHEN value < q1 - 1.5 * (q3 -
 SELECT st.unit, st.variable, n, valid, lowest, highest, mean, std, round(p01, 6) AS p01, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(p99, 6) AS p99, mode, round(q3 - q1, 6) AS iqr, outliers, CASE WHEN q3 - q1 = 0 THEN 'NAO_APLICAVEL' ELSE 'APLICAVEL' END AS iqr_rule
 FROM st JOIN mo ON st.unit = mo.unit AND st.variable = mo.variable JOIN ou ON st.unit = ou.unit AND st.variable = ou.variable""")
 def univariate(spark, sf_dir) -> DataFrame:
-    long = _long(spark, sf_dir, NUMERIC, "double")
+    """All statistics come from one table of distinct values with their counts, written once."""
     key = ["unit", "variable"]
-    at = F.percentile("value", F.array(*[F.lit(x) for x in (0.01, 0.25, 0.5, 0.75, 0.99)])).alias("p")
-    stats = long.groupBy(*key).agg(F.count("*").alias("n"), F.count("value").alias("valid"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("std"), at)
-    stats = stats.select(*[c for c in stats.columns if c != "p"], *[F.col("p")[i].alias(n) for i, n in enumerate(("p01", "q1", "median", "q3", "p99"))]).withColumn("iqr", F.col("q3") - F.col("q1"))
-    often = long.dropna(subset=["value"]).groupBy(*key, "value").count()
-    mode = often.groupBy(*key).agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
-    fences = stats.select(*key, (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))
-    out = often.join(fences, key).groupBy(*key).agg(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")), F.col("count")).otherwise(0)).alias("outliers"))
-    shown = stats.withColumns({c: F.round(c, 6) for c in ("p01", "q1", "median", "q3", "p99", "iqr")})
-    return shown.join(mode, key).join(out, key).withColumn("iqr_rule", F.when(F.col("iqr") == 0, "NAO_APLICAVEL").otherwise("APLICAVEL"))
+    often = stored(_long(spark, sf_dir, NUMERIC, "double").groupBy(*key, "value").agg(F.count("*").alias("count")))
+    known = often.dropna(subset=["value"])
+    weight = F.col("count") * F.col("value")
+    sizes = often.groupBy(*key).agg(F.sum("count").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("valid"))
+    stats = known.groupBy(*key).agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), (F.sum(weight) / F.sum("count")).alias("mean"), F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
+    stats = sizes.join(stats, key).join(quantiles(known, key, "value", "count", {"p01": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}), key)
+    stats = stored(stats.withColumn("iqr", F.col("q3") - F.col("q1")))
+    far = (F.col("value") < F.col("q1") - 1.5 * F.col("iqr")) | (F.col("value") > F.col("q3") + 1.5 * F.col("iqr"))
+    spread = F.sqrt(F.sum(F.col("count") * (F.col("value") - F.col("mean")) ** 2) / F.nullif(F.sum("count") - 1, F.lit(0)))
+    rest = known.join(stats.select(*key, "mean", "q1", "q3", "iqr"), key).groupBy(*key).agg(F.round(spread, 4).alias("std"), F.sum(F.when(far, F.col("count")).otherwise(0)).alias("outliers"))
+    shown = stats.withColumns({c: F.round(c, 6) for c in ("p01", "q1", "median", "q3", "p99", "iqr")} | {"mean": F.round("mean", 4)})
+    return shown.join(rest, key).withColumn("iqr_rule", F.when(F.col("iqr") == 0, "NAO_APLICAVEL").otherwise("APLICAVEL"))
 
 
 @query("e02b_category_frequency", f"""WITH long AS ({_long_sql(TEXT, 'VARCHAR')}), fr AS (SELECT unit, variable, coalesce(nullif(trim(value), ''), '[NULO]') AS value, CAST(count(*) AS BIGINT) AS n FROM long GROUP BY ALL)

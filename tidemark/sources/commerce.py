@@ -85,15 +85,24 @@ def item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(*_cols(ITEM_COLS)).selectExpr("*", "gross - net AS discount", "net - cost AS margin")
 
 
+def _line_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each order's lines, before orders are joined: lines meet parts, then their order key."""
+    lines, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    alone = [c for c in _cols(ITEM_COLS) if "o_" not in c.split(" AS ")[0]]
+    items = lines.join(part, lines["l_partkey"] == part["p_partkey"]).selectExpr("l_orderkey AS order_id", *alone)
+    first = F.min(F.when(F.col("line_no") == 1, F.col("supplier_id"))).alias("first_supplier")
+    return items.groupBy("order_id").agg(first, *[F.expr(c) for c in _cols(SUMS)])
+
+
+_OF_ORDER = [c for c in _cols(ITEM_COLS) if c.rsplit(" AS ", 1)[1] in ("order_id", "client_id", "order_date", "ym")]
+_MADE = ("gross - net AS discount", "net - cost AS margin")
+
+
 def order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order fact: one row per order that has lines."""
-    first = F.min(F.when(F.col("line_no") == 1, F.col("supplier_id"))).alias("first_supplier")
-    sums = item(spark, sf_dir).groupBy("order_id").agg(
-        F.min("client_id").alias("client_id"), F.min("order_date").alias("order_date"), F.min("ym").alias("ym"), first, *[F.expr(c) for c in _cols(SUMS)]
-    )
-    more = read(spark, sf_dir, "orders").selectExpr(*_cols(ORDER_COLS))
+    more = read(spark, sf_dir, "orders").selectExpr(*_OF_ORDER, *_cols(ORDER_COLS)[1:])
     band = F.when(F.col("minute_of_day") < 360, "Madrugada").when(F.col("minute_of_day") < 720, "Manha").when(F.col("minute_of_day") < 1080, "Tarde").otherwise("Noite")
-    out = sums.join(more, "order_id").selectExpr("*", "gross - net AS discount", "net - cost AS margin")
+    out = _line_sums(spark, sf_dir).join(more, "order_id").selectExpr("*", *_MADE)
     return out.withColumn("has_campaign", F.when(F.col("campaign") == "Sem campanha", 0).otherwise(1)).withColumn("time_band", band)
 
 
@@ -105,11 +114,11 @@ def client(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery fact: one row per order, with deadlines, lateness, rating and the client's place."""
-    o = order(spark, sf_dir).withColumn("carrier", F.concat(F.lit("Carrier "), (F.coalesce("first_supplier", F.lit(0)) % 8).cast("string")))
-    d = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS order_id", *_cols(DELIVERY_COLS))
+    more = read(spark, sf_dir, "orders").selectExpr(*_OF_ORDER, *_cols(DELIVERY_COLS))
     place = client(spark, sf_dir).select("client_id", "city", "region")
-    keep = ["order_id", "client_id", "order_date", "ym", "net", "margin", "units", "gross", "carrier"]
-    return o.select(*keep).join(d, "order_id").join(place, "client_id")
+    carrier = F.concat(F.lit("Carrier "), (F.coalesce("first_supplier", F.lit(0)) % 8).cast("string"))
+    out = _line_sums(spark, sf_dir).withColumn("carrier", carrier).join(more, "order_id").selectExpr("*", *_MADE)
+    return out.drop("first_supplier", "line_count", "products", "cost", "discount").join(place, "client_id")
 
 
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
