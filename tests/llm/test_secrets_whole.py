@@ -1,6 +1,12 @@
 """Short keys, keys in paths, and what known forms leave of a run."""
 
-from tests.llm.cases import frame
+import hashlib
+import random
+import re
+import string
+
+from tests.conftest import SMALL
+from tests.llm.cases import empty, frame
 from tidemark.llm import secrets
 
 KEY = "Zq3xK9vT1bLw8RmYp0dHc6NfJs2"
@@ -29,3 +35,45 @@ def test_rest_of_a_run_beside_a_known_form(spark):
     known = "0123456789abcdef0123456789abcdef"
     got = random_parts(spark, [f"{KEY}/{known}", f"{known}/{KEY}-{known} x", f"{known} x"])
     assert [[KEY in p for p in parts] for parts in got] == [[True], [True], []]
+
+
+def test_planted_tokens_are_found_and_words_are_not(spark):
+    rng = random.Random(11)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base64url": string.ascii_letters + string.digits + "-_"}
+    words = "and the then there other nation station international responsibility administration communication understanding congratulations counterrevolutionary uncharacteristically".split()
+    planted = {k: ["".join(rng.choice(a) for _ in range(n)) for n in (20, 24, 32, 40) for _ in range(15)] for k, a in alphabets.items()}
+    texts = [" ".join([rng.choice(words) for _ in range(60)] + [token] + [rng.choice(words) for _ in range(20)]) for tokens in planted.values() for token in tokens]
+    plain = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(100)]
+    got = random_parts(spark, texts + plain)
+    hits = dict.fromkeys(alphabets, 0)
+    for (kind, token), parts in zip([(k, t) for k, tokens in planted.items() for t in tokens], got, strict=False):
+        hits[kind] += any(len(p) >= 0.8 * len(token) and p in token for p in parts)
+    assert all(n >= 0.9 * 60 for k, n in hits.items()), hits
+    assert not any(got[len(texts) :])
+
+
+def test_the_battery_sets_patterns_aside(spark):
+    patterns = ["ZQXZQXZQXZQXZQXZQXZQXZQX", "AbCdEfGhIjKlMnOpQrStUvWx", "X9X9X9X9X9X9X9X9X9X9X9X9"]
+    assert random_parts(spark, [f"a {p} b" for p in patterns]) == [[], [], []]
+    assert random_parts(spark, [f"a {KEY} b"]) == [[KEY]]
+
+
+def test_query_against_plain_python(spark):
+    found = {r["doc_id"]: r for r in secrets.op1_secret_scan(spark, SMALL).collect()}
+    assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        text = r["text"] or ""
+        spans = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        told = ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(spans))
+        got = found[r["doc_id"]]
+        assert got["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert (got["n_assign"], got["n_access"], got["n_hex"]) == tuple(sum(s[3] == k for s in spans) for k in ("assign", "access", "hex"))
+
+
+def test_nulls_empties_repeats_and_empty_tables(spark):
+    rows = [(1, None), (2, ""), (None, f"x {KEY} y"), (3, f"x {KEY} y"), (3, f"x {KEY} y"), (4, "é" * 5000 + f" {KEY}")]
+    got = [(r["doc_id"], len(r["spans"])) for r in secrets.scan(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0), (2, 0), (None, 1), (3, 1), (3, 1), (4, 1)], key=str)
+    assert secrets.scan(empty(spark)).count() == 0 and secrets.redact(empty(spark)).count() == 0

@@ -10,21 +10,27 @@ pieces the one with the most evidence stands, less CHOICE bits for the choice an
    so on), which fixes the alphabet and its size A.
 2. Three tests take "uniformly random over that alphabet" as their null hypothesis: chi-squared of
    the character counts, the runs test on a two-way split of the characters, and the lag-1 serial
-   correlation of their positions in the alphabet. Fisher's method joins the three p-values; tokens
-   below MIN_FIT are not random and are dropped.
-3. The evidence for a token is the likelihood ratio of "random" against "ordinary word" (letters
-   by their usual frequency, character classes that seldom change). By Markov's inequality an
-   ordinary token reaches a ratio of 2^b with probability 2^-b at most, which is its p-value.
-4. Benjamini-Hochberg over all tokens of the whole table, apart for each class of token length,
-   holds the share of false discoveries at FDR. The counts per (length class, bits) are the only
-   thing that leaves the executors: at most 6 x (MAX_BITS + 1) rows.
-
-Null and empty texts have no spans. Repeated rows are scanned each on their own. Other columns are
-not read. Offsets are code points, ends exclusive.
+   correlation of their positions in the alphabet. Fisher's method joins the three p-values.
+3. Benjamini-Hochberg over the joint p-values of all tokens with any evidence (4.), apart for each class
+   of token length, tells which tokens are not random: at most a share FDR of those set aside is
+   expected to be random. How far a p-value may fall thus follows from what the table holds.
+4. The evidence for a token that stays is the likelihood ratio of "random" against "ordinary word"
+   (letters by their usual frequency, character classes that seldom change). By Markov's inequality
+   an ordinary token reaches a ratio of 2^b with probability 2^-b at most, which is its p-value; again
+   Benjamini-Hochberg per class of length holds the share of false discoveries at FDR. The counts per
+   (length class, bits, joint p-value) are the only thing that leaves the executors: at most
+   6 x (MAX_BITS + 1) x (MAX_FIT + 1) rows.
+
+Null and empty texts have no spans; an empty table gives an empty result. Repeated rows are scanned each
+on their own, and equal tokens are reported alike. Of spans with one start the shorter comes first within
+a kind. Other columns are not read and can have any name. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +70,14 @@ LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60,
 
 #: Chance that two neighbouring characters of an ordinary token are of one class.
 SAME_CLASS = 0.9
-MIN_FIT = 0.001
 FDR = 0.01
 #: Bits that a choice among the three cuts of a token costs (log2 of 3, rounded up).
 CHOICE = 2
 #: Bits by which a separator between words, with its two changes of class, is taken for random.
 JOINT = 7
 MAX_BITS = 400
+#: Joint p-values are told apart down to 2^-MAX_FIT.
+MAX_FIT = 20
 
 
 def _spans(text: Column, pattern: str, kind: str, good=None) -> Column:
@@ -113,35 +120,53 @@ def _stage(tokens: Column, fields: list[str], new: dict) -> tuple[Column, list[s
     return made, keep + list(new)
 
 
-def battery(tokens: Column) -> Column:
-    """array<struct(start, stop, token, encoding, fit, bits)> of array<struct(start, stop, token)>.
+#: log2 of a character's usual frequency by its code, from 0 to 127; a digit or mark counts one in ten.
+_USUAL = [math.log2(LETTERS[ord(chr(i).lower()) - 97] / 1000 if chr(i).isalpha() else 0.1) for i in range(128)]
 
-    fit: joint p-value of the three tests. bits: log2 of the likelihood ratio, floored, 0 to
-    MAX_BITS; 0 where no encoding fits or the token is not random.
-    """
-    code = F.create_map(*[F.lit(x) for i, c in enumerate(LOWER) for x in (c, float(LETTERS[i]))])
-    usual = lambda c: F.coalesce(code[F.lower(c)] / F.lit(1000.0), F.lit(0.1))  # noqa: E731  a digit or mark: one in ten
-    kind = lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x).cast("double"))
-    fields = ["start", "stop", "token"]
+
+def evidence(tokens: Column) -> Column:
+    """The tokens, array<struct(start, stop, token, cut)>, with encoding, alphabet and bits: log2 of the
+    likelihood ratio of "random" against "ordinary word", floored, 0 to MAX_BITS; 0 where no encoding fits."""
+    classes = lambda t: F.translate(t, LOWER + UPPER + DIGITS + "+/_", "a" * 26 + "A" * 26 + "0" * 10 + "---")
+    changes = lambda t: F.length(F.regexp_replace(classes(t), r"(.)\1+", "$1")) - 1
+    usual = F.array(*[F.lit(x) for x in _USUAL])
+    fields = ["start", "stop", "token", "cut"]
     tokens, fields = _stage(tokens, fields, {
         "encoding": lambda t: F.coalesce(_by_encoding(t["token"], lambda n, a: F.lit(n)), F.lit("none")),
         "alphabet": lambda t: F.coalesce(_by_encoding(t["token"], lambda n, a: F.lit(a)), F.lit("")),
-        "cs": lambda t: F.filter(F.split(F.rtrim(F.translate(t["token"], "=", " ")), ""), lambda c: c != ""),
+        "bare": lambda t: F.regexp_replace(t["token"], "=+$", ""),
     })
+    tokens, fields = _stage(tokens, fields, {
+        "n": lambda t: F.length(t["bare"]).cast("double"),
+        "changes": lambda t: changes(t["bare"]),
+        "ordinary": lambda t: F.aggregate(F.split(t["bare"], ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.get(usual, F.ascii(c)), F.lit(0.0)) * F.length(c)),
+        "size": lambda t: F.greatest(F.length(t["alphabet"]), F.lit(2)).cast("double"),
+    })
+    stay, change = math.log2(SAME_CLASS), math.log2((1 - SAME_CLASS) / 3)
+    ratio = lambda t: -t["n"] * F.log2(t["size"]) - t["ordinary"] - t["changes"] * F.lit(change) - (t["n"] - 1 - t["changes"]) * F.lit(stay)
+    bits = lambda t: F.when(t["encoding"] != "none", F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.floor(ratio(t)).cast("int")))).otherwise(0)
+    tokens, fields = _stage(tokens, fields, {"bits": bits})
+    return F.transform(tokens, lambda t: F.struct(*[t[f].alias(f) for f in ("start", "stop", "token", "cut", "encoding", "alphabet", "bits")]))
+
+
+def battery(tokens: Column) -> Column:
+    """array<struct(start, stop, token, cut, encoding, fit, bits)> of tokens with their evidence.
+
+    fit: joint p-value of the three tests, under "uniformly random over the encoding's alphabet".
+    """
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x).cast("double"))
+    fields = ["start", "stop", "token", "cut", "encoding", "alphabet", "bits"]
+    tokens, fields = _stage(tokens, fields, {"cs": lambda t: F.filter(F.split(F.regexp_replace(t["token"], "=+$", ""), ""), lambda c: c != "")})
     tokens, fields = _stage(tokens, fields, {
         "n": lambda t: F.size(t["cs"]).cast("double"),
         "size": lambda t: F.greatest(F.length(t["alphabet"]), F.lit(2)).cast("double"),
         "at": lambda t: F.transform(t["cs"], lambda c: F.instr(t["alphabet"], c).cast("double")),
-        "classes": lambda t: F.transform(t["cs"], kind),
     })
     pair = lambda xs: F.arrays_zip(F.slice(xs, 1, F.size(xs) - 1).alias("a"), F.slice(xs, 2, F.size(xs) - 1).alias("b"))
     tokens, fields = _stage(tokens, fields, {
         "squares": lambda t: total(F.array_distinct(t["cs"]), lambda c: F.pow(F.size(F.filter(t["cs"], lambda d: d == c)), 2)),
         "mean": lambda t: total(t["at"], lambda x: x) / t["n"],
         "high": lambda t: F.transform(t["at"], lambda x: F.when(x > t["size"] / 2, 1).otherwise(0)),
-        "changes": lambda t: total(pair(t["classes"]), lambda p: F.when(p["a"] != p["b"], 1).otherwise(0)),
-        "ordinary": lambda t: total(t["cs"], lambda c: F.log2(usual(c))),
     })
     tokens, fields = _stage(tokens, fields, {
         "chi": lambda t: t["size"] / t["n"] * t["squares"] - t["n"],
@@ -156,19 +181,16 @@ def battery(tokens: Column) -> Column:
         "p_chi": lambda t: _upper_tail(F.sqrt(F.greatest(F.lit(0.0), t["chi"] * 2)) - F.sqrt(t["size"] * 2 - 3)),
         "p_runs": lambda t: F.when(share(t) <= 1, F.lit(1e-6)).otherwise(two_sided((t["runs"] - share(t) - 1) / F.sqrt(F.greatest(share(t) * (share(t) - 1) / F.greatest(t["n"] - 1, F.lit(1.0)), F.lit(1e-9))))),
         "p_lag": lambda t: F.when(t["spread"] <= 0, F.lit(1e-6)).otherwise(two_sided(t["lag"] / t["spread"] * F.sqrt(t["n"]))),
-        "ratio": lambda t: -t["n"] * F.log2(t["size"]) - t["ordinary"] - t["changes"] * F.log2(F.lit((1 - SAME_CLASS) / 3)) - (t["n"] - 1 - t["changes"]) * F.log2(F.lit(SAME_CLASS)),
     })
     floor = lambda p: F.greatest(p, F.lit(1e-12))
     tokens, fields = _stage(tokens, fields, {"x": lambda t: -(F.log(floor(t["p_chi"])) + F.log(floor(t["p_runs"])) + F.log(floor(t["p_lag"])))})
     tokens, fields = _stage(tokens, fields, {"fit": lambda t: F.exp(-t["x"]) * (1 + t["x"] + t["x"] * t["x"] / 2)})
-    random = lambda t: (t["encoding"] != "none") & (t["fit"] >= MIN_FIT)
-    tokens, fields = _stage(tokens, fields, {"bits": lambda t: F.when(random(t), F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.floor(t["ratio"]).cast("int")))).otherwise(0)})
-    out = ("start", "stop", "token", "encoding", "fit", "bits")
+    out = ("start", "stop", "token", "cut", "encoding", "fit", "bits")
     return F.transform(tokens, lambda t: F.struct(*[t[f].alias(f) for f in out]))
 
 
 _TOKENS = "array<struct<start:int,stop:int,token:string>>"
-_TESTED = "array<struct<start:int,stop:int,token:string,encoding:string,fit:double,bits:int>>"
+_TESTED = "array<struct<start:int,stop:int,token:string,cut:boolean,encoding:string,fit:double,bits:int>>"
 
 
 def _part(t: Column, start: Column, stop: Column) -> Column:
@@ -208,20 +230,43 @@ def length_class(length: Column) -> Column:
     return F.when(length < 20, 0).when(length < 24, 1).when(length < 32, 2).when(length < 48, 3).when(length < 96, 4).otherwise(5)
 
 
-def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Fewest bits to report, per length class, by Benjamini-Hochberg over all tokens."""
-    one = scanned.select(F.explode("tokens").alias("t")).select(length_class(F.length("t.token")).alias("k"), F.col("t.bits").alias("b"))
-    counts: dict[int, dict[int, int]] = {}
-    for k, b, n in one.groupBy("k", "b").count().collect():  # at most 6 x (MAX_BITS + 1) rows
-        counts.setdefault(k, {})[b] = n
+def _fit_bits(fit: Column) -> Column:
+    """-log2 of a joint p-value, floored: it lies at or below 2^-b."""
+    return F.least(F.lit(MAX_FIT), F.floor(-F.log2(F.greatest(fit, F.lit(2.0**-MAX_FIT / 2)))).cast("int"))
+
+
+def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, tuple[int, int]]:
+    """Per length class: the joint p-value (as -log2) from which on a token counts as not random, and the
+    fewest bits to report of the others, both by Benjamini-Hochberg over all tokens."""
+    one = scanned.select(F.explode("tokens").alias("t"))
+    one = one.select(length_class(F.length("t.token")).alias("k"), F.col("t.bits").alias("b"), _fit_bits(F.col("t.fit")).alias("f"))
+    one = one.unionByName(scanned.select(F.explode("without").alias("k"), F.lit(0).alias("b"), F.lit(-1).alias("f")))
+    counts: dict[int, dict[tuple[int, int], int]] = {}
+    for k, b, f, n in one.groupBy("k", "b", "f").count().collect():  # bounded: see above
+        counts.setdefault(k, {})[b, f] = n
     out = {}
-    for k, by_bits in counts.items():
-        tests, above, least = sum(by_bits.values()), 0, MAX_BITS + 1
-        for b in sorted(by_bits, reverse=True):
-            above += by_bits[b]
-            if b > 0 and 2.0**-b <= fdr * above / tests:
-                least = b
-        out[k] = least
+    for k, cells in counts.items():
+        tests = sum(cells.values())
+
+        def lowest(number_of, top: int, tests: int = tests) -> int:
+            """The smallest b with 2^-b * tests <= fdr * (tokens at or above b), and some token there."""
+            above, least = 0, top + 1
+            for b in range(top, 0, -1):
+                above += number_of.get(b, 0)
+                if above and 2.0**-b * tests <= fdr * above:
+                    least = b
+            return least
+
+        by_fit: dict[int, int] = {}
+        for (_, f), n in cells.items():
+            if f >= 0:  # what the battery has tested
+                by_fit[f] = by_fit.get(f, 0) + n
+        not_random = lowest(by_fit, MAX_FIT, sum(by_fit.values()))
+        by_bits: dict[int, int] = {}
+        for (b, f), n in cells.items():
+            if f < not_random:
+                by_bits[b] = by_bits.get(b, 0) + n
+        out[k] = (not_random, lowest(by_bits, MAX_BITS))
     return out
 
 
@@ -238,18 +283,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: t
     plain = lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["token"].alias("token"))
     clash = lambda t: F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
     mixed = lambda t: t["token"].rlike("[+/]") & t["token"].rlike("[_-]")
+    told = lambda cut: lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["token"].alias("token"), F.lit(cut).alias("cut"))
     thin = materialize(thin.withColumn("found", F.flatten(F.transform("found", lambda t: F.when(clash(t), _outside(t, F.col("base"))).otherwise(F.array(plain(t)))))))
-    thin = thin.withColumn("whole", F.filter("found", lambda t: ~mixed(t))).withColumn("cut", F.flatten(F.transform(F.filter("found", mixed), _pieces)))
-    thin = materialize(thin.select("*", F.concat("whole", "cut").alias("all"), F.size("whole").alias("n")).drop("found", "whole", "cut"))
-    tested = materialize(thin.withColumn("tokens", F.when(F.size("all") > 0, battery(F.col("all")))).drop("all"))
-    after = F.slice("tokens", F.col("n") + 1, F.size("tokens"))
-    scanned = tested.withColumn("tokens", F.when(F.size("tokens") > F.col("n"), F.concat(F.slice("tokens", F.lit(1), F.col("n")), _strongest(after))).otherwise(F.col("tokens"))).drop("n")
-    scanned = materialize(scanned)
-    least = thresholds(scanned, fdr)
-    need = F.lit(MAX_BITS + 1)
-    for k, b in least.items():
-        need = lambda t, k=k, b=b, other=need: F.when(length_class(F.length(t["token"])) == k, b).otherwise(other(t) if callable(other) else other)
-    passes = (lambda t: t["bits"] >= need(t)) if callable(need) else (lambda t: F.lit(False))
+    whole = F.transform(F.filter("found", lambda t: ~mixed(t)), told(False))
+    pieces = F.transform(F.flatten(F.transform(F.filter("found", mixed), _pieces)), told(True))
+    weighed = materialize(thin.withColumn("tokens", F.when(F.size("found") > 0, evidence(F.concat(whole, pieces)))).drop("found"))
+    # a token without evidence is never reported, whatever the battery says: it only counts as a test
+    plainly = F.transform(F.filter("tokens", lambda t: t["bits"] == 0), lambda t: length_class(F.length(t["token"])))
+    tested = weighed.withColumn("without", plainly).withColumn("tokens", battery(F.filter("tokens", lambda t: t["bits"] > 0)))
+    chosen = F.concat(F.filter("tokens", lambda t: ~t["cut"]), _strongest(F.filter("tokens", lambda t: t["cut"])))
+    scanned = tested.withColumn("tokens", F.when(F.exists("tokens", lambda t: t["cut"]), chosen).otherwise(F.col("tokens")))
+    found = thresholds(scanned, fdr)
+
+    def passes(t: Column) -> Column:
+        kind, fit = length_class(F.length(t["token"])), _fit_bits(t["fit"])
+        any_of = [(kind == k) & (fit < not_random) & (t["bits"] >= least) for k, (not_random, least) in found.items()]
+        return reduce(lambda a, b: a | b, any_of, F.lit(False))
+
     extra = F.transform(F.filter(F.coalesce("tokens", F.array().cast(_TESTED)), passes), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lit("random").alias("kind")))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ranked = F.array_sort(F.transform(F.concat("base", extra), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))

@@ -6,11 +6,14 @@ errors at least, and its value is scaled by the log of its ratio between the cla
 few telling stems outweigh the many chance ones. The weights are fitted by AdaGrad on the log loss, over a
 bounded sample of labelled documents. Sentences of that sample that name a group (IDENTITY) are
 rewritten with other groups' names, label unchanged; the squared change of the score between the
-sentence and its counterfactual is part of the loss. What the model learns thus cannot rest on which
-group is named, and a neutral mention of a group is not scored as toxic.
+sentence and its counterfactual, averaged over a document's sentences, is part of the loss. What the
+model learns thus cannot rest on which group is named, and a neutral mention of a group is not scored
+as toxic. The classes of names are a parameter (`groups`): words of one class are swapped for each other.
+Where no text of the sample names a group, the penalty has nothing to act on.
 
 The score is a function of the text alone. Null and empty texts get the score of a document without
-words. Repeated rows get equal scores. Fitting takes at most `bound` documents into one task; the
+words. Repeated rows get equal scores; an empty table gives an empty result, and without labels every
+text scores alike. Other columns are not read and can have any name. Fitting takes at most `bound` documents into one task; the
 weights (4 x 2^BITS bytes) go to all tasks, where each worker keeps the scores of words it has met.
 """
 
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -50,7 +53,6 @@ IDENTITY = (
     ("muslime", "christen", "juden", "frauen", "männer"),
     ("musulmanes", "cristianos", "judíos", "mujeres", "hombres"),
 )
-_CLASS = {w: group for group in IDENTITY for w in group}
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -74,14 +76,14 @@ def _features(text: str, known: dict[str, tuple[int, ...]]) -> np.ndarray:
     return np.array(out, np.int32)
 
 
-def counterfactuals(text: str, rng: np.random.Generator) -> Iterator[tuple[str, str]]:
+def counterfactuals(text: str, rng: np.random.Generator, groups: Sequence[Sequence[str]] = IDENTITY) -> Iterator[tuple[str, str]]:
     """(sentence, the sentence with each group's name swapped for another of its class)."""
-    lower = text.lower()
-    for sentence in _SENTENCE.split(lower):
+    known = {w: group for group in groups for w in group if len(group) > 1}
+    for sentence in _SENTENCE.split(text.lower()):
         words = sentence.split()
         bare = [_EDGE.sub("", w) for w in words]
-        if any(w in _CLASS for w in bare):
-            swapped = [str(rng.choice([o for o in _CLASS[b] if o != b])) if b in _CLASS else w for w, b in zip(words, bare, strict=True)]
+        if any(w in known for w in bare):
+            swapped = [str(rng.choice([o for o in known[b] if o != b])) if b in known else w for w, b in zip(words, bare, strict=True)]
             yield sentence, " ".join(swapped)
 
 
@@ -97,13 +99,13 @@ def leaning(rows: list[np.ndarray], y: np.ndarray, size: int, smooth: float = 1.
     return np.where(np.abs(toxic - expected) >= LEAN * error, ratio, 0.0)
 
 
-def fit(y: np.ndarray, texts: list[str], penalty: float = 4.0, ridge: float = 1e-4, epochs: int = 6, rate: float = 0.1, seed: int = 7) -> np.ndarray:
+def fit(y: np.ndarray, texts: list[str], penalty: float = 4.0, ridge: float = 1e-4, epochs: int = 6, rate: float = 0.1, seed: int = 7, groups: Sequence[Sequence[str]] = IDENTITY) -> np.ndarray:
     """Weights, the bias last. penalty: weight of the squared score change between counterfactuals."""
     size = 1 << BITS
     rng = np.random.default_rng(seed)
     known: dict[str, tuple[int, ...]] = {}
     rows = [_features(t, known) for t in texts]
-    pairs = [[(_features(a, known), _features(b, known)) for a, b in counterfactuals(t, rng)][:8] for t in texts]
+    pairs = [[(_features(a, known), _features(b, known)) for a, b in counterfactuals(t, rng, groups)] for t in texts]
     scale = leaning(rows, y, size)
     rows = [r[scale[r] != 0] for r in rows]
     w, squares = np.zeros(size + 1), np.full(size + 1, 1e-8)
@@ -120,10 +122,11 @@ def fit(y: np.ndarray, texts: list[str], penalty: float = 4.0, ridge: float = 1e
             miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
             gradient = np.bincount(index, value * miss[which], size + 1)
             for i in batch:
+                share = penalty / max(1, len(pairs[i]))
                 for a, b in pairs[i]:
                     change = (w[a] * scale[a]).sum() - (w[b] * scale[b]).sum()
-                    np.add.at(gradient, a, penalty * change * scale[a])
-                    np.add.at(gradient, b, -penalty * change * scale[b])
+                    np.add.at(gradient, a, share * change * scale[a])
+                    np.add.at(gradient, b, -share * change * scale[b])
             touched = np.flatnonzero(gradient)
             g = gradient[touched] / len(batch) + ridge * w[touched]
             squares[touched] += g * g
@@ -183,12 +186,12 @@ def scorer(docs: DataFrame, weights: np.ndarray):
     return lambda text: udf(F.coalesce(text, F.lit("")))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **fit_options) -> DataFrame:
     """docs without the rows whose text scores at or above the threshold; all columns stay.
 
     The score is made where the row is: no join, and rows without an id are judged too.
     """
-    judge = scorer(docs, train(docs, labels))
+    judge = scorer(docs, train(docs, labels, **fit_options))
     return docs.filter(judge(F.col(text_col)) < threshold)
 
 
