@@ -23,7 +23,6 @@ def share(name: str, over: str = "") -> str:
 
 
 # Band edges of the analyses.
-AGE = "CASE WHEN age IS NULL THEN 'Sem idade' WHEN age < 16 THEN '<16' WHEN age <= 24 THEN '16-24' WHEN age <= 34 THEN '25-34' WHEN age <= 44 THEN '35-44' WHEN age <= 59 THEN '45-59' ELSE '60+' END"
 DISCOUNT = "CASE WHEN discount = 0 THEN '0' WHEN CAST(discount AS DOUBLE) / CAST(gross AS DOUBLE) <= 0.05 THEN '0-5%' WHEN CAST(discount AS DOUBLE) / CAST(gross AS DOUBLE) <= 0.10 THEN '5-10%' WHEN CAST(discount AS DOUBLE) / CAST(gross AS DOUBLE) <= 0.20 THEN '10-20%' ELSE '>20%' END"
 DISCOUNT_ORDER = "CASE WHEN discount = 0 THEN 1 WHEN CAST(discount AS DOUBLE) / CAST(gross AS DOUBLE) <= 0.05 THEN 2 WHEN CAST(discount AS DOUBLE) / CAST(gross AS DOUBLE) <= 0.10 THEN 3 WHEN CAST(discount AS DOUBLE) / CAST(gross AS DOUBLE) <= 0.20 THEN 4 ELSE 5 END"
 MARGIN = "CASE WHEN margin < 0 THEN 'Negativa' WHEN margin = 0 THEN 'Zero' WHEN CAST(margin AS DOUBLE) / CAST(net AS DOUBLE) < 0.1 THEN '<10%' ELSE '>=10%' END"
@@ -31,6 +30,8 @@ BASKET = "CASE WHEN line_count = 1 THEN '1' WHEN line_count = 2 THEN '2' WHEN li
 VALUE = "CASE WHEN net <= 50000 THEN '1: <=50k' WHEN net <= 100000 THEN '2: 50-100k' WHEN net <= 200000 THEN '3: 100-200k' ELSE '4: >200k' END"
 FREQUENCY = "CASE WHEN orders = 1 THEN '1' WHEN orders <= 3 THEN '2-3' WHEN orders <= 6 THEN '4-6' ELSE '7+' END"
 SEVERITY = "CASE WHEN late_days = 0 THEN '0: none' WHEN late_days <= 1 THEN '1: 1 day' WHEN late_days <= 3 THEN '2: 2-3 days' WHEN late_days <= 7 THEN '3: 4-7 days' ELSE '4: >7 days' END"
+GROWTH = """CASE WHEN net > prev_net AND margin_pct < prev_margin_pct THEN 'RECEITA_CRESCE_MARGEM_PERCENTUAL_CAI'
+  WHEN net > prev_net AND margin > prev_margin THEN 'CRESCIMENTO_COM_MARGEM_MONETARIA' WHEN net < prev_net THEN 'RECEITA_EM_QUEDA' ELSE 'ESTAVEL_OU_MISTO' END"""
 SMALL = "CASE WHEN {n} < {k} THEN 'AMOSTRA_PEQUENA' ELSE 'OK' END"
 PER_CLIENT = {"orders": count(), "net": total("net"), "margin": total("margin"), "units": total("units"), "discount": total("discount"), "gross": total("gross"), "cost": total("cost")}
 OF_CLIENTS = {"clients": count(), "orders": "CAST(sum(orders) AS BIGINT)", "mean_orders": ratio("sum(orders)", "count(*)")}
@@ -53,10 +54,7 @@ BLOCKS: dict[str, Block] = {
     "e00b_macro": Block("ord", {}, ORDER | {"mean_products": ratio("sum(products)", "count(*)")}),
     # client behaviour
     "e03a_client_base": Block("ord", {"client_id": "client_id"}, PER_CLIENT | {"first_date": "min(order_date)", "last_date": "max(order_date)", "ticket": ratio("sum(net)", "count(*)")}),
-    "e03d_age_band": Block("ord", {"age_band": AGE}, MIX, joins=[("client", "client_id")]),
-    "e03f_geography": by("ord", MIX, "region", "city", "gender", joins=[("client", "client_id")]),
     "e03g_category": by("item", ITEM, "category"),
-    "e04d_region_gender": Block("ord", {"region": "region", "gender": "gender", "income_band": "CASE WHEN income IS NULL THEN 'Sem renda' WHEN income < 0 THEN 'Negativa' WHEN income < 5000 THEN 'Media' ELSE 'Alta' END"}, MIX, joins=[("client", "client_id")]),
     "e04e_channel_campaign_event": by("ord", MIX, "channel", "campaign", "external_event", post=[small("orders", 30)]),
     "e04f_category_payment_campaign": by("item", ITEM, "category", "payment", "campaign", joins=[("ord", "order_id")]),
     "e04g_region_carrier_status": by("delivery", LATE_BY, "region", "carrier", "status"),
@@ -110,7 +108,10 @@ BLOCKS: dict[str, Block] = {
     "ac3_ticket_decomposition": Block("ord", MONTH, pick(ORDER, "orders", "units", "net", "ticket") | {"ipo": ratio("sum(units)", "count(*)"), "rpi": ratio("sum(net)", "sum(units)")}, post=[lagged("ticket", "ipo", "rpi"), {"ticket_delta": "ticket - prev_ticket", "items_effect": "(ipo - prev_ipo) * (rpi + prev_rpi) / 2", "value_effect": "(rpi - prev_rpi) * (ipo + prev_ipo) / 2"}]),
     "ac6_category_month": Block("item", {"ym": "ym", "category": "category"}, ITEM, post=[{"net_share": share("net", "PARTITION BY ym"), "margin_share": share("margin", "PARTITION BY ym")}]),
     "ac7_product_month": Block("item", {"ym": "ym", "product_id": "product_id"}, pick(ITEM, "orders", "units", "net", "margin"), post=[{"prev_net": "lag(net) OVER (PARTITION BY product_id ORDER BY ym)", "prev_margin": "lag(margin) OVER (PARTITION BY product_id ORDER BY ym)"}, {"net_delta": "net - prev_net", "margin_delta": "margin - prev_margin"}]),
-    "ac8_growth_alerts": Block("ord", MONTH, pick(ORDER, "net", "margin", "margin_pct", "orders", "ticket"), post=[lagged("net", "margin_pct", "orders", "ticket"), {"alert": "CASE WHEN prev_net IS NULL THEN 'SEM_BASE' WHEN net > prev_net AND margin_pct < prev_margin_pct THEN 'RECEITA_SOBE_MARGEM_CAI' WHEN net > prev_net AND orders < prev_orders THEN 'RECEITA_SOBE_PEDIDOS_CAEM' WHEN net > prev_net THEN 'CRESCIMENTO' WHEN net < prev_net THEN 'QUEDA' ELSE 'ESTAVEL' END"}]),
+    "ac8_growth_alerts": Block(
+        "ord", MONTH, pick(ORDER, "net", "margin", "margin_pct"), post=[lagged("net", "margin", "margin_pct"), {f"{n}_delta": f"{n} - prev_{n}" for n in ("net", "margin", "margin_pct")} | {"alert": GROWTH}],
+        keep="prev_net IS NOT NULL",
+    ),
     # catalogue
     "x1_commercial_metrics": Block("ord", {}, ORDER | {"distinct_products_per_order": ratio("sum(products)", "count(*)"), "frequency": ratio("count(*)", "count(DISTINCT client_id)"), "net_per_client": ratio("sum(net)", "count(DISTINCT client_id)"), "margin_per_client": ratio("sum(margin)", "count(DISTINCT client_id)")}),
     "x4_incentives": Block("delivery", {"has_campaign": "has_campaign", "free_shipping": "free_shipping"}, {"orders": count(), "net": total("net"), "ticket": ratio("sum(net)", "count(*)"), "margin_pct": ratio("sum(margin)", "sum(net)")}, joins=[("ord", "order_id")], post=SHARES),

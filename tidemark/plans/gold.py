@@ -330,9 +330,7 @@ def first_rows(spark, sf_dir) -> DataFrame:
     return order(spark, sf_dir).select("order_id", "client_id", "order_date", F.col("net").cast("double").alias("net")).orderBy("order_id").limit(10)
 
 
-# Blocks whose grain is the client or that need a scalar beside the grouping.
-_ATTRS = ("gender", "education")
-
+# Queries that need a scalar beside the grouping.
 
 @query("e00a_scope", f"SELECT min(order_date) AS first_date, max(order_date) AS last_date, {big('count(DISTINCT order_date)')} AS days_with_orders, {big('date_diff(' + chr(39) + 'day' + chr(39) + ', min(order_date), max(order_date)) + 1')} AS calendar_days, {big('count(DISTINCT year(order_date))')} AS years, {big('count(*)')} AS orders FROM ord")
 def scope(spark, sf_dir) -> DataFrame:
@@ -341,28 +339,6 @@ def scope(spark, sf_dir) -> DataFrame:
     return o.agg(F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date"), F.countDistinct("order_date").alias("days_with_orders"), days.alias("calendar_days"), F.countDistinct(F.year("order_date")).alias("years"), F.count("*").alias("orders"))
 
 
-def client_totals(spark, sf_dir) -> DataFrame:
-    """Clients with orders: number of orders, revenue and margin, with their attributes."""
-    sums = order(spark, sf_dir).groupBy("client_id").agg(F.count("*").alias("orders"), F.sum("net").alias("net"), F.sum("margin").alias("margin"))
-    return sums.join(client(spark, sf_dir), "client_id")
-
-
-_TOTALS = "t AS (SELECT client_id, count(*) AS orders, sum(net) AS net, sum(margin) AS margin FROM ord GROUP BY client_id), s AS (SELECT t.*, gender, education, region, age, income FROM t JOIN client ON client.client_id = t.client_id)"
-_BEHAVIOUR = f"{big('count(*)')} AS clients, {big('sum(orders)')} AS orders, CAST(sum(orders) AS DOUBLE) / count(*) AS orders_per_client, CAST(sum(net) AS DOUBLE) AS net, CAST(sum(net) AS DOUBLE) / count(*) AS net_per_client, CAST(sum(net) AS DOUBLE) / nullif(sum(orders), 0) AS ticket, CAST(sum(margin) AS DOUBLE) / nullif(CAST(sum(net) AS DOUBLE), 0) AS margin_pct"
-
-
-def behaviour() -> list:
-    s, n = F.sum, F.count("*")
-    return [n.alias("clients"), s("orders").alias("orders"), T.ratio(s("orders"), n).alias("orders_per_client"), s("net").cast("double").alias("net"), T.ratio(s("net"), n).alias("net_per_client"), T.ratio(s("net"), s("orders")).alias("ticket"), T.ratio(s("margin"), s("net")).alias("margin_pct")]
-
-
-@query("e03c_profile", f"WITH {_TOTALS} " + " UNION ALL ".join(f"SELECT '{a}' AS dimension, coalesce(nullif(trim({a}), ''), '[NULO]') AS segment, {_BEHAVIOUR} FROM s GROUP BY 2" for a in _ATTRS))
-def profile_by_attribute(spark, sf_dir) -> DataFrame:
-    """Behaviour of clients by one attribute at a time, at the grain of the client."""
-    long = client_totals(spark, sf_dir).select("orders", "net", "margin", F.explode(F.array(*[F.struct(F.lit(a).alias("dimension"), T.label(F.col(a)).alias("segment")) for a in _ATTRS])).alias("x"))
-    return long.select("x.*", "orders", "net", "margin").groupBy("dimension", "segment").agg(*behaviour())
-
-
 _SERVICE = f"{big('count(*)')} AS deliveries, CAST(sum(late_days) AS DOUBLE) / count(*) AS mean_late_days, CAST(sum(freight) AS DOUBLE) / count(*) AS mean_freight, CAST(sum(rating) AS DOUBLE) / nullif(count(rating), 0) AS mean_rating"
 
 
@@ -374,21 +350,6 @@ def service(spark, sf_dir) -> DataFrame:
     return long.groupBy("x.dimension", "x.category").agg(n.alias("deliveries"), T.ratio(F.sum("late_days"), n).alias("mean_late_days"), T.ratio(F.sum("freight"), n).alias("mean_freight"), T.ratio(F.sum("rating"), F.count("rating")).alias("mean_rating"))
 
 
-_AGE_SQL = "CASE WHEN age <= 24 THEN '16-24' WHEN age <= 34 THEN '25-34' WHEN age <= 44 THEN '35-44' WHEN age <= 59 THEN '45-59' ELSE '60+' END"
-
-
-@query("e04c_gender_education_age", f"""WITH {_TOTALS}, r AS (SELECT client_id, ntile(4) OVER (ORDER BY income, client_id) AS q FROM s WHERE income IS NOT NULL)
-  SELECT gender, education, CASE WHEN q IS NULL THEN 'Sem renda' ELSE concat('Q', q) END AS income_quartile, {_AGE_SQL} AS age_band, {_BEHAVIOUR}, CASE WHEN count(*) < 10 THEN 'AMOSTRA PEQUENA' ELSE 'AMOSTRA SUFICIENTE' END AS sample FROM s LEFT JOIN r ON r.client_id = s.client_id GROUP BY 1, 2, 3, 4""")
-def socioeconomics(spark, sf_dir) -> DataFrame:
-    """Gender, education, income quartile and age band, at the grain of the client."""
-    t = client_totals(spark, sf_dir)
-    quarters = ordering.ntile(t.filter("income IS NOT NULL").select("client_id", "income"), [F.col("income"), F.col("client_id")], 4, "q").select("client_id", "q")
-    band = T.banded(F.col("age"), (("16-24", 24), ("25-34", 34), ("35-44", 44), ("45-59", 59), ("60+", None)))
-    quartile = F.coalesce(F.concat(F.lit("Q"), F.col("q").cast("string")), F.lit("Sem renda"))
-    out = t.join(quarters, "client_id", "left").groupBy("gender", "education", quartile.alias("income_quartile"), band.alias("age_band")).agg(*behaviour())
-    return out.withColumn("sample", F.when(F.col("clients") < 10, "AMOSTRA PEQUENA").otherwise("AMOSTRA SUFICIENTE"))
-
-
 @query("e07f_category_penetration", f"""SELECT category, {big('count(DISTINCT product_id)')} AS products, {big('count(DISTINCT order_id)')} AS orders, {big('count(DISTINCT client_id)')} AS clients, CAST(sum(qty) AS DOUBLE) AS units, CAST(sum(net) AS DOUBLE) AS net,
   CAST(sum(net) AS DOUBLE) / nullif(CAST(sum(qty) AS DOUBLE), 0) AS net_per_unit, round(100.0e0 * count(DISTINCT client_id) / (SELECT count(DISTINCT client_id) FROM ord), 4) AS client_penetration FROM item GROUP BY category""")
 def category_penetration(spark, sf_dir) -> DataFrame:

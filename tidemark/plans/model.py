@@ -146,14 +146,6 @@ def free_shipping(spark, sf_dir) -> DataFrame:
     return delivery(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(F.expr("free_shipping = 'Sim' AND freight <> 0")).alias("free_with_freight"), F.count_if(F.expr("free_shipping = 'Nao' AND freight = 0")).alias("paid_without_freight"))
 
 
-@query("e04a_client_360", """WITH t AS (SELECT client_id, region, gender, age, income, ntile(4) OVER (ORDER BY income NULLS FIRST, client_id) AS q FROM client), s AS (SELECT client_id, CAST(max_by(net, (order_date, order_id)) AS DOUBLE) AS last_net, max(order_date) AS last_date, CAST(count(*) AS BIGINT) AS orders FROM ord GROUP BY client_id)
-SELECT t.client_id, region, gender, CAST(q AS BIGINT) AS income_quartile, last_net, last_date, orders FROM t LEFT JOIN s ON t.client_id = s.client_id""")
-def client_360(spark, sf_dir) -> DataFrame:
-    c = ordering.ntile(client(spark, sf_dir).select("client_id", "region", "gender", "income"), [F.col("income").asc_nulls_first(), F.col("client_id")], 4, "income_quartile").drop("income")
-    last = order(spark, sf_dir).groupBy("client_id").agg(F.max_by("net", F.struct("order_date", "order_id")).cast("double").alias("last_net"), F.max("order_date").alias("last_date"), F.count("*").alias("orders"))
-    return c.join(last, "client_id", "left")
-
-
 @query("e04b_order_360", "SELECT o.order_id, c.gender, c.region, payment, channel, campaign, external_event, d.carrier, d.status, d.rating, CAST(o.net AS DOUBLE) AS net FROM ord o JOIN client c ON o.client_id = c.client_id LEFT JOIN delivery d ON o.order_id = d.order_id")
 def order_360(spark, sf_dir) -> DataFrame:
     d = delivery(spark, sf_dir).select("order_id", "carrier", "status", "rating")

@@ -46,8 +46,19 @@ def by_client(spark, sf_dir) -> DataFrame:
 BY_CLIENT = """per_client AS (SELECT client_id, CAST(count(*) AS BIGINT) AS orders, CAST(sum(net) AS DOUBLE) AS net, CAST(sum(margin) AS DOUBLE) AS margin,
   CAST(sum(units) AS DOUBLE) AS units, min(order_date) AS first_date, max(order_date) AS last_date, CAST(count(DISTINCT order_date) AS BIGINT) AS purchase_days FROM ord GROUP BY client_id)"""
 
-NUMERIC = {"item": ("qty", "gross", "net", "margin"), "ord": ("net", "units", "line_count", "discount"), "delivery": ("actual", "late_days", "rating", "freight"), "client": ("age", "income")}
-TEXT = {"ord": ("payment", "channel", "campaign", "external_event", "coupon"), "delivery": ("status", "carrier", "region"), "client": ("gender", "education"), "item": ("category",)}
+#: Numeric and text variables that are described, by table.
+NUMERIC = {
+    "item": ("qty", "gross", "discount", "net", "cost", "margin"),
+    "ord": ("line_count", "units", "products", "gross", "discount", "net", "cost", "margin", "minute_of_day"),
+    "delivery": ("promised", "actual", "diff", "late_days", "early_days", "rating", "freight"),
+    "client": ("age", "income"),
+}
+TEXT = {
+    "ord": ("payment", "channel", "campaign", "external_event", "coupon", "time_band"),
+    "delivery": ("status", "carrier", "region", "city", "late_flag", "free_shipping"),
+    "client": ("gender", "education", "region", "city"),
+    "item": ("category",),
+}
 TABLES = {"item": item, "ord": order, "delivery": delivery, "client": client}
 
 
@@ -64,14 +75,21 @@ def _long_sql(columns: dict, kind: str) -> str:
     return " UNION ALL ".join(f"SELECT '{t}' AS unit, '{n}' AS variable, CAST({n} AS {kind}) AS value FROM {t}" for t, names in columns.items() for n in names)
 
 
+# The percentiles shown.
+PERCENTILES = {"p01": 0.01, "p05": 0.05, "p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+_CUTS_SQL = ", ".join(f"quantile_cont(value, {p}) AS {n}" for n, p in PERCENTILES.items())
+
+
 @query("e02a_univariate", f"""WITH long AS ({_long_sql(NUMERIC, 'DOUBLE')}),
-st AS (SELECT unit, variable, CAST(count(*) AS BIGINT) AS n, CAST(count(value) AS BIGINT) AS valid, min(value) AS lowest, max(value) AS highest, round(avg(value), 4) AS mean,
-  round(stddev_samp(value), 4) AS std, quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.99) AS p99
-  FROM long GROUP BY unit, variable),
+st AS (SELECT unit, variable, CAST(count(*) AS BIGINT) AS n, CAST(count(value) AS BIGINT) AS valid, min(value) AS lowest, max(value) AS highest, avg(value) AS mean,
+  stddev_samp(value) AS std, {_CUTS_SQL} FROM long GROUP BY unit, variable),
 fr AS (SELECT unit, variable, value, count(*) AS k FROM long WHERE value IS NOT NULL GROUP BY ALL),
 mo AS (SELECT unit, variable, value AS mode FROM fr QUALIFY row_number() OVER (PARTITION BY unit, variable ORDER BY k DESC, value) = 1),
 ou AS (SELECT l.unit, l.variable, CAST(count(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 END) AS BIGINT) AS outliers FROM long l JOIN st ON l.unit = st.unit AND l.variable = st.variable GROUP BY l.unit, l.variable)
-SELECT st.unit, st.variable, n, valid, lowest, highest, mean, std, round(p01, 6) AS p01, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(p99, 6) AS p99, mode, round(q3 - q1, 6) AS iqr, outliers, CASE WHEN q3 - q1 = 0 THEN 'NAO_APLICAVEL' ELSE 'APLICAVEL' END AS iqr_rule
+SELECT st.unit, st.variable, n, valid, n - valid AS missing, lowest, highest, round(highest - lowest, 4) AS spread, round(mean, 4) AS mean, round(std, 4) AS std,
+  CASE WHEN mean <> 0 THEN round(100.0e0 * std / mean, 4) END AS cv_pct, {", ".join(f"round({n}, 6) AS {n}" for n in PERCENTILES)}, mode, round(q3 - q1, 6) AS iqr,
+  round(q1 - 1.5 * (q3 - q1), 8) AS fence_low, round(q3 + 1.5 * (q3 - q1), 8) AS fence_high, outliers, round(100.0e0 * outliers / valid, 4) AS outlier_pct,
+  CASE WHEN q3 - q1 = 0 THEN 'NAO_APLICAVEL' ELSE 'APLICAVEL' END AS iqr_rule
 FROM st JOIN mo ON st.unit = mo.unit AND st.variable = mo.variable JOIN ou ON st.unit = ou.unit AND st.variable = ou.variable""")
 def univariate(spark, sf_dir) -> DataFrame:
     """All statistics come from one table of distinct values with their counts, written once."""
@@ -80,14 +98,19 @@ def univariate(spark, sf_dir) -> DataFrame:
     known = often.dropna(subset=["value"])
     weight = F.col("count") * F.col("value")
     sizes = often.groupBy(*key).agg(F.sum("count").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("valid"))
-    stats = known.groupBy(*key).agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), (F.sum(weight) / F.sum("count")).alias("mean"), F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
-    stats = sizes.join(stats, key).join(quantiles(known, key, "value", "count", {"p01": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}), key)
-    stats = stored(stats.withColumn("iqr", F.col("q3") - F.col("q1")))
-    far = (F.col("value") < F.col("q1") - 1.5 * F.col("iqr")) | (F.col("value") > F.col("q3") + 1.5 * F.col("iqr"))
-    spread = F.sqrt(F.sum(F.col("count") * (F.col("value") - F.col("mean")) ** 2) / F.nullif(F.sum("count") - 1, F.lit(0)))
-    rest = known.join(stats.select(*key, "mean", "q1", "q3", "iqr"), key).groupBy(*key).agg(F.round(spread, 4).alias("std"), F.sum(F.when(far, F.col("count")).otherwise(0)).alias("outliers"))
-    shown = stats.withColumns({c: F.round(c, 6) for c in ("p01", "q1", "median", "q3", "p99", "iqr")} | {"mean": F.round("mean", 4)})
-    return shown.join(rest, key).withColumn("iqr_rule", F.when(F.col("iqr") == 0, "NAO_APLICAVEL").otherwise("APLICAVEL"))
+    common = F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode")
+    stats = known.groupBy(*key).agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), (F.sum(weight) / F.sum("count")).alias("mean"), common)
+    stats = sizes.join(stats, key).join(quantiles(known, key, "value", "count", PERCENTILES), key).withColumn("iqr", F.col("q3") - F.col("q1"))
+    stats = stored(stats.withColumns({"fence_low": F.col("q1") - 1.5 * F.col("iqr"), "fence_high": F.col("q3") + 1.5 * F.col("iqr")}))
+    far = (F.col("value") < F.col("fence_low")) | (F.col("value") > F.col("fence_high"))
+    std = F.sqrt(F.sum(F.col("count") * (F.col("value") - F.col("mean")) ** 2) / F.nullif(F.sum("count") - 1, F.lit(0)))
+    rest = known.join(stats.select(*key, "mean", "fence_low", "fence_high"), key).groupBy(*key).agg(std.alias("std"), F.sum(F.when(far, F.col("count")).otherwise(0)).alias("outliers"))
+    out = stats.join(rest, key).withColumns({
+        "missing": F.col("n") - F.col("valid"), "spread": F.round(F.col("highest") - F.col("lowest"), 4),
+        "cv_pct": F.when(F.col("mean") != 0, F.round(100 * F.col("std") / F.col("mean"), 4)), "outlier_pct": F.round(100 * F.col("outliers") / F.col("valid"), 4),
+        "iqr_rule": F.when(F.col("iqr") == 0, "NAO_APLICAVEL").otherwise("APLICAVEL"),
+    })
+    return out.withColumns({c: F.round(c, 6) for c in (*PERCENTILES, "iqr")} | {c: F.round(c, 8) for c in ("fence_low", "fence_high")} | {c: F.round(c, 4) for c in ("mean", "std")})
 
 
 @query("e02b_category_frequency", f"""WITH long AS ({_long_sql(TEXT, 'VARCHAR')}), fr AS (SELECT unit, variable, coalesce(nullif(trim(value), ''), '[NULO]') AS value, CAST(count(*) AS BIGINT) AS n FROM long GROUP BY ALL)
@@ -124,21 +147,27 @@ for _name, _table, _cols in (("e03b_client_completeness", "client", ("gender", "
     query(_name, coverage_sql(_table, _cols))(lambda spark, sf_dir, t=_table, c=_cols: coverage(TABLES[t](spark, sf_dir), c))
 
 
-@query("e03e_income_quartile", f"""WITH {BY_CLIENT}, t AS (SELECT client_id, income, ntile(4) OVER (ORDER BY income NULLS FIRST, client_id) AS quartile FROM client)
-SELECT CAST(quartile AS BIGINT) AS quartile, CAST(count(*) AS BIGINT) AS clients, CAST(count(orders) AS BIGINT) AS buyers, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders, min(income) AS lowest, max(income) AS highest FROM t LEFT JOIN per_client USING (client_id) GROUP BY quartile""")
-def income_quartile(spark, sf_dir) -> DataFrame:
-    tiles = ordering.ntile(client(spark, sf_dir).select("client_id", "income"), [F.col("income").asc_nulls_first(), F.col("client_id")], 4, "quartile")
-    return tiles.join(by_client(spark, sf_dir).select("client_id", "orders"), "client_id", "left").groupBy("quartile").agg(
-        F.count("*").alias("clients"), F.count("orders").alias("buyers"), F.coalesce(F.sum("orders"), F.lit(0)).cast("long").alias("orders"), F.min("income").alias("lowest"), F.max("income").alias("highest")
-    )
+_RESULT = ("payment", "campaign", "channel", "external_event", "coupon")
+_RESULT_SQL = " UNION ALL ".join(f"SELECT '{a}' AS attribute, {a} AS value, client_id, net, gross, discount, margin, units FROM ord" for a in _RESULT)
 
 
-@query("e03h_attributes_by_result", """WITH long AS (SELECT 'payment' AS attribute, payment AS value, net, units FROM ord UNION ALL SELECT 'campaign', campaign, net, units FROM ord UNION ALL SELECT 'channel', channel, net, units FROM ord UNION ALL SELECT 'external_event', external_event, net, units FROM ord UNION ALL SELECT 'coupon', coupon, net, units FROM ord)
-SELECT attribute, value, CAST(count(*) AS BIGINT) AS orders, CAST(sum(net) AS DOUBLE) AS net, CAST(sum(net) AS DOUBLE) / count(*) AS ticket, CAST(sum(units) AS DOUBLE) / count(*) AS items_per_order FROM long GROUP BY attribute, value""")
+@query("e03h_attributes_by_result", f"""WITH long AS ({_RESULT_SQL})
+SELECT attribute, value, CAST(count(*) AS BIGINT) AS orders, CAST(count(DISTINCT client_id) AS BIGINT) AS clients, CAST(sum(net) AS DOUBLE) AS net,
+  CAST(sum(net) AS DOUBLE) / count(*) AS ticket, CAST(sum(units) AS DOUBLE) / count(*) AS items_per_order,
+  CAST(sum(discount) AS DOUBLE) / nullif(CAST(sum(gross) AS DOUBLE), 0) AS discount_pct, CAST(sum(margin) AS DOUBLE) / nullif(CAST(sum(net) AS DOUBLE), 0) AS margin_pct
+FROM long GROUP BY attribute, value""")
 def attributes_by_result(spark, sf_dir) -> DataFrame:
-    names = ["payment", "campaign", "channel", "external_event", "coupon"]
-    long = order(spark, sf_dir).select("net", "units", *names).unpivot(["net", "units"], names, "attribute", "value")
-    return long.groupBy("attribute", "value").agg(F.count("*").alias("orders"), dbl("sum(net)", "net"), div(F.sum("net"), F.count("*")).alias("ticket"), div(F.sum("units"), F.count("*")).alias("items_per_order"))
+    """Orders by one marketing attribute at a time. Orders are grouped by client first, so that counting
+    clients moves one row per client and value."""
+    sums = ["net", "gross", "discount", "margin", "units"]
+    long = order(spark, sf_dir).select("client_id", *sums, *_RESULT).unpivot(["client_id", *sums], list(_RESULT), "attribute", "value")
+    of_client = long.groupBy("attribute", "value", "client_id").agg(F.count("*").alias("orders"), *[F.sum(c).alias(c) for c in sums])
+    total = {c: F.sum(c) for c in ("orders", *sums)}
+    return of_client.groupBy("attribute", "value").agg(
+        total["orders"].alias("orders"), F.count("client_id").alias("clients"), total["net"].cast("double").alias("net"),
+        div(total["net"], total["orders"]).alias("ticket"), div(total["units"], total["orders"]).alias("items_per_order"),
+        div(total["discount"], total["gross"]).alias("discount_pct"), div(total["margin"], total["net"]).alias("margin_pct"),
+    )
 
 
 PAIRS = (("orders", "net"), ("orders", "units"), ("net", "margin"), ("units", "net"), ("age", "net"), ("income", "net"))
