@@ -71,6 +71,23 @@ def _long(spark, sf_dir, columns: dict, kind: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _numbered(spark, sf_dir, columns: dict) -> DataFrame:
+    """(variable, value): the given numeric columns of each table, told apart by their place in the list,
+    since numbers are grouped and put in order much faster than names."""
+    parts, before = [], 0
+    for table, names in columns.items():
+        each = F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("place", "value")
+        parts.append(TABLES[table](spark, sf_dir).select(each).select((F.col("place") + before).alias("variable"), "value"))
+        before += len(names)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _named(place: Column, columns: dict) -> dict[str, Column]:
+    """Table and name of a variable by its place."""
+    pairs = [(t, n) for t, names in columns.items() for n in names]
+    return {c: F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), place + 1) for i, c in enumerate(("unit", "variable"))}
+
+
 def _long_sql(columns: dict, kind: str) -> str:
     return " UNION ALL ".join(f"SELECT '{t}' AS unit, '{n}' AS variable, CAST({n} AS {kind}) AS value FROM {t}" for t, names in columns.items() for n in names)
 
@@ -93,14 +110,15 @@ SELECT st.unit, st.variable, n, valid, n - valid AS missing, lowest, highest, ro
 FROM st JOIN mo ON st.unit = mo.unit AND st.variable = mo.variable JOIN ou ON st.unit = ou.unit AND st.variable = ou.variable""")
 def univariate(spark, sf_dir) -> DataFrame:
     """All statistics come from one table of distinct values with their counts, written once."""
-    key = ["unit", "variable"]
-    often = stored(_long(spark, sf_dir, NUMERIC, "double").groupBy(*key, "value").agg(F.count("*").alias("count")))
+    key = ["variable"]
+    often = stored(_numbered(spark, sf_dir, NUMERIC).groupBy(*key, "value").agg(F.count("*").alias("count")))
     known = often.dropna(subset=["value"])
     weight = F.col("count") * F.col("value")
     sizes = often.groupBy(*key).agg(F.sum("count").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("valid"))
-    common = F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode")
-    stats = known.groupBy(*key).agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), (F.sum(weight) / F.sum("count")).alias("mean"), common)
-    stats = sizes.join(stats, key).join(quantiles(known, key, "value", "count", PERCENTILES), key).withColumn("iqr", F.col("q3") - F.col("q1"))
+    stats = known.groupBy(*key).agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), (F.sum(weight) / F.sum("count")).alias("mean"), F.max("count").alias("most"))
+    # the mode in a second pass: numbers are aggregated by hash, pairs of them would be sorted
+    mode = known.join(stats.select(*key, "most"), key).filter(F.col("count") == F.col("most")).groupBy(*key).agg(F.min("value").alias("mode"))
+    stats = sizes.join(stats.drop("most"), key).join(mode, key).join(quantiles(known, key, "value", "count", PERCENTILES), key).withColumn("iqr", F.col("q3") - F.col("q1"))
     stats = stored(stats.withColumns({"fence_low": F.col("q1") - 1.5 * F.col("iqr"), "fence_high": F.col("q3") + 1.5 * F.col("iqr")}))
     far = (F.col("value") < F.col("fence_low")) | (F.col("value") > F.col("fence_high"))
     std = F.sqrt(F.sum(F.col("count") * (F.col("value") - F.col("mean")) ** 2) / F.nullif(F.sum("count") - 1, F.lit(0)))
@@ -110,7 +128,7 @@ def univariate(spark, sf_dir) -> DataFrame:
         "cv_pct": F.when(F.col("mean") != 0, F.round(100 * F.col("std") / F.col("mean"), 4)), "outlier_pct": F.round(100 * F.col("outliers") / F.col("valid"), 4),
         "iqr_rule": F.when(F.col("iqr") == 0, "NAO_APLICAVEL").otherwise("APLICAVEL"),
     })
-    return out.withColumns({c: F.round(c, 6) for c in (*PERCENTILES, "iqr")} | {c: F.round(c, 8) for c in ("fence_low", "fence_high")} | {c: F.round(c, 4) for c in ("mean", "std")})
+    return out.withColumns({c: F.round(c, 6) for c in (*PERCENTILES, "iqr")} | {c: F.round(c, 8) for c in ("fence_low", "fence_high")} | {c: F.round(c, 4) for c in ("mean", "std")} | _named(F.col("variable"), NUMERIC))
 
 
 @query("e02b_category_frequency", f"""WITH long AS ({_long_sql(TEXT, 'VARCHAR')}), fr AS (SELECT unit, variable, coalesce(nullif(trim(value), ''), '[NULO]') AS value, CAST(count(*) AS BIGINT) AS n FROM long GROUP BY ALL)
