@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, exact_dedup, langid, minhash, packing, quality, secrets, substrings, syncmers, toxicity
+from . import bpe, centroids, collocations, exact_dedup, langid, minhash, packing, quality, secrets, substrings, syncmers, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_suffix_dedup": substrings.op10_suffix_dedup,
     "op11_centroids": centroids.op11_centroids,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 ORACLE_SQL = {
     "op11_centroids": centroids.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
