@@ -14,7 +14,7 @@
 5. Every candidate is scored at each of its cuts by the counts of both parts, in exact decimals.
 
 Memory in a task is that of one shard plus its last document, and of the counters (4 bytes each). What
-is shuffled is what may reach the threshold. Counters are of a fixed number (a parameter): where a corpus
+is shuffled is what may reach the threshold, added up within each task, as arrays by bucket of phrases. Counters are of a fixed number (a parameter): where a corpus
 is so large that all counters pass the threshold, phrases are still counted exactly, by more rows.
 
 Null text is empty, a null language is `und`; empty and white texts have no words. Repeated rows and
@@ -25,15 +25,18 @@ columns aren't read; they can have any name.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small_batches
+from .common import documents, materialize, partitions, small_batches
 from .counters import FORM, PART, parts_of, summed
 from .fm_index import Index
 from .shingles import mixed
@@ -147,57 +150,113 @@ def _kept(seq: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
-def _listed(table: DataFrame, longest: int, least: int, counters: int) -> DataFrame:
-    """Per shard: lang, phrase, k (its words), f, before and after (hash of the only neighbour, else 0)."""
-    spark = table.sparkSession
-    bits = spark.sparkContext.broadcast({k: np.packbits(b) for k, b in _counted(table, longest, least, counters).items()})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Phrases on their way: by bucket, as arrays. key: language and phrase; b0 to a1: least and greatest of
+#: the hashes of the only word before and after (0: several, or none).
+_BLOCK = "bucket int, key array<string>, f array<long>, b0 array<long>, b1 array<long>, a0 array<long>, a1 array<long>"
+_SUMS = [("f", "sum"), ("b0", "min"), ("b1", "max"), ("a0", "min"), ("a1", "max")]
+#: Phrases that a task gathers before it adds them up.
+GATHERED = 2_000_000
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """One row per key."""
+    t = pa.concat_tables(tables).group_by("key").aggregate(_SUMS)
+    return t.select(["key", *[f"{c}_{how}" for c, how in _SUMS]]).rename_columns(["key", *[c for c, _ in _SUMS]])
+
+
+def _in_blocks(tables: list[pa.Table], buckets: int) -> pa.RecordBatch:
+    """Phrases added up, a row per bucket."""
+    t = _added(tables)
+    at = np.array([zlib.crc32(k.encode()) % buckets for k in t["key"].to_pylist()], np.int64)
+    order = np.argsort(at, kind="stable")
+    full, first = np.unique(at[order], return_index=True)
+    t = t.take(pa.array(order)).combine_chunks()
+    ends = pa.array(np.append(first, len(at)).astype(np.int32))
+    one = lambda c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type)
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.ListArray.from_arrays(ends, one(c)) for c in t.column_names]], names=["bucket", *t.column_names])
+
+
+def _phrases(index: Index, lang: str, words: list[bytes], of_word: np.ndarray, longest: int, may) -> Iterator[pa.Table]:
+    """The phrases of two words and more of an index, by length. may: which phrases (sequence, places, length) can matter."""
+    signed = of_word.view(np.int64).copy()
+    signed[0] = 0
+    head = lang.encode() + b"\n"
+    p = index.words()
+    for k in range(2, longest + 1):
+        p = index.longer(p)
+        places = index.places(p)
+        stays = may(index.seq, places, k)
+        p, places = p.take(stays), places[stays]
+        if not len(places):
+            return
+        zero = np.zeros(len(places), np.int64)
+        before, after = (signed[index.only_before(p)], signed[index.only_after(p)]) if k < longest else (zero, zero)
+        keys = [head + b" ".join([words[i] for i in x]) for x in index.seq[places[:, None] + np.arange(k)].tolist()]
+        yield _table(keys, p.hi - p.lo, before, after)
+
+
+def _table(keys: list[bytes], f: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.Table:
+    return pa.table({"key": pa.array(keys, pa.binary()).cast(pa.string()), "f": f.astype(np.int64), "b0": before, "b1": before, "a0": after, "a1": after})
+
+
+def _listed(table: DataFrame, longest: int, least: int, counters: int, buckets: int) -> DataFrame:
+    """Per task the phrases of its shards, added up, in blocks by bucket."""
+    bits = table.sparkSession.sparkContext.broadcast({k: np.packbits(b) for k, b in _counted(table, longest, least, counters).items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for b in batches:
-            for lang, packed, seq in b[["lang", "words", "seq"]].itertuples(index=False, name=None):
+            for lang, packed, seq in zip(*(b[c].to_pylist() for c in ("lang", "words", "seq")), strict=True):
                 words, of_word, s = _opened(lang, packed, seq)
 
-                def open_(s: np.ndarray, places: np.ndarray, k: int, of_word: np.ndarray = of_word) -> np.ndarray:
+                def may(s: np.ndarray, places: np.ndarray, k: int, of_word: np.ndarray = of_word) -> np.ndarray:
                     at = (_hashes(s, of_word, places, k) % np.uint64(counters)).astype(np.int64)
                     return (bits.value[k][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
                 count = np.bincount(s, minlength=len(words))
-                used = np.flatnonzero(count[1:]) + 1
                 first = np.full(len(words), -1)
                 first[s[::-1]] = np.arange(len(s))[::-1]
-                used = used[open_(s, first[used], 1)]
+                used = np.flatnonzero(count[1:]) + 1
+                used = used[may(s, first[used], 1)]
                 zero = np.zeros(len(used), np.int64)
-                yield pd.DataFrame({"lang": lang, "phrase": [words[i].decode() for i in used.tolist()], "k": 1, "f": count[used], "before": zero, "after": zero})
+                held.append(_table([lang.encode() + b"\n" + words[i] for i in used.tolist()], count[used], zero, zero))
                 pairs = _whole(s, 2)[1]
-                s = _kept(s, pairs[open_(s, pairs, 2)])
-                if not len(s):
-                    continue
-                index = Index(s, longest)
-                signed = of_word.view(np.int64).copy()
-                signed[0] = 0
-                p = index.words()
-                for k in range(2, longest + 1):
-                    p = index.longer(p)
-                    places = index.places(p)
-                    may = open_(s, places, k)
-                    p, places = p.take(may), places[may]
-                    if not len(places):
-                        break
-                    ids = s[places[:, None] + np.arange(k)].tolist()
-                    zero = np.zeros(len(places), np.int64)
-                    yield pd.DataFrame({
-                        "lang": lang, "phrase": [b" ".join([words[i] for i in x]).decode() for x in ids], "k": k, "f": p.hi - p.lo,
-                        "before": signed[index.only_before(p)] if k < longest else zero, "after": signed[index.only_after(p)] if k < longest else zero,
-                    })
-
-    return table.select("lang", "words", "seq").mapInPandas(run, "lang string, phrase string, k int, f long, before long, after long")
+                s = _kept(s, pairs[may(s, pairs, 2)])
+                if len(s):
+                    held += _phrases(Index(s, longest), lang, words, of_word, longest, may)
+                if sum(map(len, held)) >= GATHERED:
+                    yield _in_blocks(held, buckets)
+                    held = []
+        if held:
+            yield _in_blocks(held, buckets)
+
+    return table.select("lang", "words", "seq").mapInArrow(run, _BLOCK)
 
 
 def counts(table: DataFrame, longest: int, least: int, counters: int = COUNTERS) -> DataFrame:
-    """lang, phrase, k, f, part: every phrase of `least` or more places; part: a longer one is as frequent."""
-    same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
-    rows = _listed(table, longest, least, counters)
-    return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"), (same("before") | same("after")).alias("part")).filter(F.col("f") >= least)
+    """lang, phrase, k, f, part: every phrase of `least` or more places; part: a longer one is as frequent.
+
+    Blocks of a bucket meet in one task and are added up as they come; it holds the bucket's phrases."""
+    buckets = partitions(table.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        limit = GATHERED
+        for b in batches:
+            held.append(pa.table({c: b[c].flatten() for c in b.schema.names if c != "bucket"}))
+            if sum(map(len, held)) >= limit:
+                held = [_added(held)]
+                limit = max(GATHERED, 2 * len(held[0]))
+        if held:
+            t = _added(held)
+            yield from t.filter(pc.greater_equal(t["f"], least)).combine_chunks().to_batches()
+
+    blocks = _listed(table, longest, least, counters, buckets)
+    rows = blocks.repartition(buckets, "bucket").mapInArrow(run, "key string, f long, b0 long, b1 long, a0 long, a1 long")
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)")
+    same = lambda low, top: (F.col(low) == F.col(top)) & (F.col(low) != 0)
+    return rows.select(lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("k"), "f", (same("b0", "b1") | same("a0", "a1")).alias("part"))
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, top: int = 2000, shard: int = SHARD, counters: int = COUNTERS) -> DataFrame:
