@@ -82,11 +82,12 @@ def attribute_conflicts(df: DataFrame, key: str, names: Sequence[str]) -> DataFr
     return g.unpivot(key, list(names), "attribute", "n_values").filter("n_values > 1")
 
 
-def frequency_text(df: DataFrame, group: str, value: str, most: int = 50) -> DataFrame:
-    """Per group 'value: n | value: n', by falling n then value; the `most` most frequent values are shown."""
-    n = df.groupBy(group, value).agg(F.count("*").alias("n"))
-    shown = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(value).cast("string").alias("v")))), 1, most)
-    return n.groupBy(group).agg(F.array_join(F.transform(shown, lambda x: F.concat(x["v"], F.lit(": "), (-x["m"]).cast("string"))), " | ").alias("frequencies"))
+def frequency_text(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group 'value: n | value: n' of all its values, by falling n then value; a null is `<NULO>`."""
+    shown = F.coalesce(F.col(value).cast("string"), F.lit("<NULO>"))
+    n = df.groupBy(group, shown.alias("v")).agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "v")))
+    return n.groupBy(group).agg(F.array_join(F.transform(listed, lambda x: F.concat(x["v"], F.lit(": "), (-x["m"]).cast("string"))), " | ").alias("frequencies"))
 
 
 def differing_columns(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:

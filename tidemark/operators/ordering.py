@@ -65,3 +65,18 @@ def quantiles(counted: DataFrame, key: Sequence[str], value: str, count: str, at
     both = ranked.groupBy(*key, "__size").agg(*[first(p, up).alias(f"__{n}_{i}") for n, p in at.items() for i, up in enumerate((F.floor, F.ceil))])
     between = lambda n, p: F.col(f"__{n}_0") + (F.col(f"__{n}_1") - F.col(f"__{n}_0")) * (place(p) - F.floor(place(p)))
     return both.select(*key, *[between(n, p).alias(n) for n, p in at.items()])
+
+
+def sketched_quantiles(df: DataFrame, key: str, part: str, value: str, at: Sequence[float], most: float) -> DataFrame:
+    """key, p, n, within: approximate quantiles of a value per key from mergeable sketches, one for each
+    (key, part), so that a part that changes is sketched alone; within: the approximate value's true rank
+    lies no further than `most` of the rows from p. The rank is counted exactly, in one further pass."""
+    sketches = df.groupBy(key, part).agg(F.kll_sketch_agg_double(value).alias("sketch"))
+    whole = sketches.groupBy(key).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    told = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("q")) for p in at])
+    found = stored(whole.select(key, F.explode(told).alias("x")).select(key, "x.*"))  # one row a key and p; sketches are random, so made once
+    below, upto = F.count_if(F.col(value) < F.col("q")), F.count_if(F.col(value) <= F.col("q"))
+    n = F.count("*")
+    out = df.join(found, key).groupBy(key, "p").agg(n.alias("n"), below.alias("__below"), upto.alias("__upto"))
+    near = (F.col("__below") <= (F.col("p") + most) * F.col("n")) & (F.col("__upto") >= (F.col("p") - most) * F.col("n"))
+    return out.select(key, "p", "n", near.alias("within"))

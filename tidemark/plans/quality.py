@@ -209,9 +209,9 @@ def canonical_map(spark, sf_dir) -> DataFrame:
     return keys.canonical_map(bronze(spark, sf_dir), "client_id", ("age", "payment", "city"))
 
 
-@query("k20_frequency_text", "WITH n AS (SELECT region, gender AS g, count(*) AS n FROM client GROUP BY ALL) SELECT region, string_agg(concat(g, ': ', CAST(n AS VARCHAR)), ' | ' ORDER BY n DESC, g) AS frequencies FROM n GROUP BY region", STAR_SQL)
+@query("k20_frequency_text", "WITH n AS (SELECT region, coalesce(education, '<NULO>') AS g, count(*) AS n FROM client GROUP BY ALL) SELECT region, string_agg(concat(g, ': ', CAST(n AS VARCHAR)), ' | ' ORDER BY n DESC, g) AS frequencies FROM n GROUP BY region", STAR_SQL)
 def frequency_text(spark, sf_dir) -> DataFrame:
-    return keys.frequency_text(client(spark, sf_dir), "region", "gender")
+    return keys.frequency_text(client(spark, sf_dir), "region", "education")
 
 
 @query("k21_attribute_conflicts", f"SELECT client_id, 'payment' AS attribute, {big('count(DISTINCT CASE WHEN NOT ' + gone('payment') + ' THEN payment END)')} AS n_values FROM bronze GROUP BY client_id HAVING count(DISTINCT CASE WHEN NOT {gone('payment')} THEN payment END) > 1 UNION ALL SELECT client_id, 'age', {big('count(DISTINCT age)')} FROM bronze GROUP BY client_id HAVING count(DISTINCT age) > 1")

@@ -121,6 +121,14 @@ def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("first_supplier", "line_count", "products", "cost", "discount").join(place, "client_id")
 
 
+def order_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order that has lines: its sums, attributes, delivery, carrier and the client's place."""
+    more = read(spark, sf_dir, "orders").selectExpr(*_OF_ORDER, *_cols(ORDER_COLS)[1:], *_cols(DELIVERY_COLS))
+    place = client(spark, sf_dir).select("client_id", "city", "region")
+    carrier = F.concat(F.lit("Carrier "), (F.coalesce("first_supplier", F.lit(0)) % 8).cast("string"))
+    return _line_sums(spark, sf_dir).withColumn("carrier", carrier).join(more, "order_id").join(place, "client_id").selectExpr("*", *_MADE)
+
+
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All tables by name, lazy."""
     return {"item": item(spark, sf_dir), "ord": order(spark, sf_dir), "client": client(spark, sf_dir), "delivery": delivery(spark, sf_dir)}

@@ -7,8 +7,9 @@ so that readers of the last approved run are not disturbed; the audit row tells
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks
@@ -35,21 +36,66 @@ def audit_row(spark: SparkSession, run_id: str, started, ended, status: str, tab
     return spark.createDataFrame([(run_id, started, ended, status, list(tables), error)], AUDIT)
 
 
-def full_refresh(spark: SparkSession, tables: dict[str, Callable[[], DataFrame]], root: str, run_id: str, check: Callable[[str, DataFrame], bool] | None = None) -> DataFrame:
-    """Write every table (parents first) to <root>/<run_id>/<name>, read it back, count and check it, and append
-    the run to <root>/audit: RUNNING at the start, then APPROVED or FAILED with the error, which is raised."""
+@dataclass(frozen=True)
+class Control:
+    """A figure of a table that is observed while the table is written.
+
+    measure: an aggregate without DISTINCT. expected: a number, a function of all figures observed in the run,
+    by (table, control), or None for a figure that only others are held against.
+    """
+
+    name: str
+    measure: Column
+    expected: float | Callable[[dict[tuple[str, str], float]], float] | None
+    critical: bool = True
+    tolerance: float = 0.01
+
+
+CONTROLS = "run_id string, table_name string, control string, observed double, expected double, critical boolean, status string"
+
+
+def judged(controls: dict[str, Sequence[Control]], seen: dict[tuple[str, str], float], run_id: str) -> list[tuple]:
+    """A record per control, in the order of the tables."""
+    out = []
+    for table, listed in controls.items():
+        for c in listed:
+            observed = float(seen[table, c.name])
+            expected = c.expected(seen) if callable(c.expected) else c.expected
+            fine = expected is None or abs(observed - float(expected)) <= c.tolerance
+            out.append((run_id, table, c.name, observed, None if expected is None else float(expected), c.critical, "aprovado" if fine else "reprovado"))
+    return out
+
+
+def full_refresh(
+    spark: SparkSession, tables: dict[str, Callable[[], DataFrame]], root: str, run_id: str,
+    check: Callable[[str, DataFrame], bool] | None = None, controls: dict[str, Sequence[Control]] | None = None,
+) -> DataFrame:
+    """Write every table (parents first) to <root>/<run_id>/<name>, count and check it, and append the run to
+    <root>/audit: RUNNING at the start, then APPROVED or FAILED with the error, which is raised.
+
+    Rows and controls are observed by the write itself (no second pass over a table); when all tables are
+    written, the controls are judged and appended to <root>/controls. A critical one that fails raises, so the
+    run is never approved and readers of the last approved run see none of it.
+    """
     now = lambda: spark.range(1).select(F.current_timestamp()).first()[0]
-    started, loaded = now(), []
+    started, loaded, seen = now(), [], {}
     log = lambda status, ended, error=None: audit_row(spark, run_id, started, ended, status, loaded, error).write.mode("append").parquet(f"{root}/audit")
     log("RUNNING", None)
     try:
         for name, make in tables.items():
             path = f"{root}/{run_id}/{name}"
-            make().write.parquet(path)
-            back = spark.read.parquet(path)
-            loaded.append((name, back.count()))
-            if check is not None and not check(name, back):
+            watch, listed = Observation(f"{run_id}-{name}"), (controls or {}).get(name, ())
+            make().observe(watch, F.count("*").alias("__rows"), *[c.measure.alias(c.name) for c in listed]).write.parquet(path)
+            loaded.append((name, watch.get["__rows"]))
+            seen |= {(name, c.name): watch.get[c.name] for c in listed}
+            if check is not None and not check(name, spark.read.parquet(path)):
                 raise ValueError(f"the check of {name} rejects the run")
+        if controls:
+            told = judged(controls, seen, run_id)
+            spark.createDataFrame(told, CONTROLS).write.mode("append").parquet(f"{root}/controls")
+            bad = [f"{t}.{c}: {o} for {e}" for _, t, c, o, e, critical, status in told if critical and status == "reprovado"]
+            if bad:
+                raise ValueError("critical controls fail: " + "; ".join(bad))
     except Exception as e:
         log("FAILED", now(), str(e)[:500])
         raise

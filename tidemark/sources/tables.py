@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Statuses that reject a script or a load.
@@ -16,8 +18,11 @@ REJECTED = ("REPROVADO", "FAILED", "ERROR", "ERRO", "REJECTED")
 
 
 def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; without it a local one, where Spark runs in one process, else an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(_shared, "local", None)
         if base is None:  # a single machine: tests
             base = _shared.local = tempfile.mkdtemp(prefix="spark-tidemark-")
@@ -25,14 +30,26 @@ def _shared(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir) and read back: one durable copy for several uses."""
     spark = df.sparkSession
-    path = f"{_shared(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all that `stored` has written in this application, once its results are no longer read."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark)}/{context.applicationId}")
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_text(spark: SparkSession, path: str, columns: list[str], form: str = "parquet", **options) -> DataFrame:
     """Every column as a string, in contract order."""
     reader = spark.read.options(**options)
@@ -40,6 +57,47 @@ def read_text(spark: SparkSession, path: str, columns: list[str], form: str = "p
     return df.select(*[F.col(c).cast("string").alias(c) for c in columns])
 
 
+def numbered(df: DataFrame, first: int = 1, name: str = "row_number") -> DataFrame:
+    """Rows of Parquet files with the number each has in its source, from `first` on; files count by path.
+
+    df: as read, with its `_metadata` column. A row's number is its place in the file plus the rows of the files
+    before, so numbers need no sort and are the same for any split of files into tasks. One row a file
+    is put in order.
+    """
+    files = df.groupBy(F.col("_metadata.file_path").alias("__file")).agg((F.max("_metadata.row_index") + 1).alias("__rows"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    rows = df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.col("_metadata.row_index")).drop("_metadata")
+    return rows.join(offsets, "__file").withColumn(name, F.col("__at") + F.col("__before") + first).drop("__file", "__at", "__before")
+
+
+def write_by_month(df: DataFrame, path: str, month: str, cluster: Sequence[str], months: Sequence[int] | None = None) -> None:
+    """Write a fact as a folder per month; with `months`, overwrite these months only and leave the others.
+
+    Rows are dealt by ranges of (month, cluster), so a large month is several files, each of a range of
+    the cluster columns, and a month with most rows is no single task. Overwriting is dynamic: a
+    month that the data does not hold stays as it is.
+    """
+    if months is not None:
+        df = df.filter(F.col(month).isin(list(months)))
+    dealt = df.repartitionByRange(F.col(month), *[F.col(c) for c in cluster]).sortWithinPartitions(month, *cluster)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(month).parquet(path)
+
+
+def by_contract(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The table at `path`, which must hold exactly these columns ("name TYPE"), in this order.
+
+    The names and types come from the files (and folders), not from the contract: a missing, added,
+    moved or retyped column is an error, before any row is read.
+    """
+    df = spark.read.parquet(path)
+    want = [(f.name, f.dataType.simpleString()) for f in spark.createDataFrame([], ", ".join(columns)).schema]
+    have = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    if want != have:
+        raise ValueError(f"{path} departs from its contract: wanted {want}, found {have}")
+    return df
+
+
 def row_digest(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
 
