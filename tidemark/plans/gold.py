@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import checks, ordering
 from tidemark.sources.commerce import STAR_SQL, client, delivery, item, order, read
+from tidemark.sources.lines import LINES_SQL, lines
+from tidemark.sources.tables import stored
 
 from .registry import Registry
 
@@ -119,6 +121,9 @@ def client_month_intervals(spark, sf_dir) -> DataFrame:
     return months.select("client_id", "month_start", so_far.alias("purchase_days"), T.ratio(F.sum("s").over(w), F.sum("n").over(w)).alias("mean_interval"), (so_far * 10).alias("points"), F.lit(None).cast("string").alias("lifecycle"))
 
 
+_NET_LINE = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
+
+
 def _control(parts: list[tuple[str, str, str]]) -> str:
     rows = " UNION ALL ".join(f"SELECT '{i}' AS rule_id, CAST(({o}) AS DOUBLE) AS observed, CAST(({e}) AS DOUBLE) AS expected" for i, o, e in parts)
     return f"SELECT *, CASE WHEN abs(observed - expected) <= 0.01 THEN 'aprovado' ELSE 'reprovado' END AS status FROM ({rows}) x"
@@ -136,6 +141,8 @@ _RECONCILED = [
     ("REC008", "SELECT sum(qty) FROM item", "SELECT sum(units) FROM ord"),
     ("REC009", "SELECT (SELECT count(*) FROM ord WHERE client_id NOT IN (SELECT c_custkey FROM customer)) + (SELECT count(*) FROM item WHERE product_id NOT IN (SELECT p_partkey FROM part))", "SELECT 0"),
     ("REC010", "SELECT count(*) FROM days", "SELECT date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) + 1 FROM orders"),
+    ("REC011", "SELECT count(*) FROM range(1440)", "SELECT 24 * 60"),
+    ("REC013", "SELECT count(*) FROM (SELECT order_id FROM line GROUP BY order_id HAVING count(DISTINCT points) > 1) x", "SELECT 0"),
     ("REC012", "SELECT count(*) FROM ord WHERE coupon IS NULL", "SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus NOT IN ('F', 'O')"),
     ("REC014", "SELECT count(*) FROM (SELECT client_id FROM ord GROUP BY client_id HAVING count(DISTINCT ym) < (max(ym) // 100 - min(ym) // 100) * 12 + max(ym) % 100 - min(ym) % 100 + 1) x", "SELECT 0"),
     ("REC015", f"SELECT count(*) FROM days WHERE {_HOLIDAY_SQL} IS NOT NULL", "SELECT count(*) FROM days WHERE strftime(day, '%m-%d') IN (" + ", ".join(f"'{d}'" for d in HOLIDAYS) + ")"),
@@ -143,36 +150,43 @@ _RECONCILED = [
 ]
 
 
-def compared(parts: list[tuple[str, DataFrame, DataFrame]], tolerance: float = 0.01) -> DataFrame:
-    """Control rows (rule_id, observed, expected, status) from pairs of one-row, one-column tables."""
-    told = []
-    for name, observed, expected in parts:
-        o, e = observed.toDF("observed"), expected.toDF("expected")
-        told.append(o.crossJoin(F.broadcast(e)).select(F.lit(name).alias("rule_id"), F.col("observed").cast("double"), F.col("expected").cast("double")))  # one row each
-    return checks.union(told).withColumn("status", F.when(F.abs(F.col("observed") - F.col("expected")) <= tolerance, "aprovado").otherwise("reprovado"))
-
-
-@query("g1_reconciliation", f"WITH {_DAYS_SQL} {_control(_RECONCILED)}")
+@query("g1_reconciliation", f"WITH {_DAYS_SQL}, {LINES_SQL} {_control(_RECONCILED)}")
 def reconciliation(spark, sf_dir) -> DataFrame:
-    """The star against its sources: rows, keys, sums, orphans, calendar, coupons, months and conflicts."""
-    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    i, o, d, c, cal = item(spark, sf_dir), order(spark, sf_dir), delivery(spark, sf_dir), client(spark, sf_dir), calendar(spark, sf_dir)
-    rows = lambda df: df.agg(F.count("*"))
-    zero = spark.range(1).select(F.lit(0))
-    orphans = checks.orphans([("client", o, "client_id", read(spark, sf_dir, "customer"), "c_custkey"), ("product", i, "product_id", read(spark, sf_dir, "part"), "p_partkey")]).agg(F.sum("orphans"))
-    in_lines = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"], "inner")
-    months = o.groupBy("client_id", "ym").agg(F.count("*")).groupBy("client_id").agg(F.count("*").alias("n"), F.min("ym").alias("a"), F.max("ym").alias("z"))
-    gaps = months.filter("n < (z DIV 100 - a DIV 100) * 12 + z % 100 - a % 100 + 1")
-    span = orders.agg(F.datediff(F.max("o_orderdate").cast("date"), F.min("o_orderdate").cast("date")) + 1)
-    conflicts = c.groupBy("client_id").agg(F.countDistinct("city").alias("n")).filter("n > 1")
-    return compared([
-        ("REC001", rows(i), rows(lines)), ("REC002", i.select("order_id", "line_no").distinct().agg(F.count("*")), rows(lines)),
-        ("REC003", o.agg(F.countDistinct("order_id")), lines.agg(F.countDistinct("l_orderkey"))), ("REC004", c.agg(F.countDistinct("client_id")), rows(read(spark, sf_dir, "customer"))),
-        ("REC005", i.agg(F.countDistinct("product_id")), lines.agg(F.countDistinct("l_partkey"))), ("REC006", rows(d), rows(o)),
-        ("REC007", i.agg(F.sum("net")), o.agg(F.sum("net"))), ("REC008", i.agg(F.sum("qty")), o.agg(F.sum("units"))), ("REC009", orphans, zero), ("REC010", rows(cal), span),
-        ("REC012", o.agg(F.count_if(F.col("coupon").isNull())), in_lines.filter(~F.col("o_orderstatus").isin("F", "O")).agg(F.countDistinct("l_orderkey"))), ("REC014", rows(gaps), zero),
-        ("REC015", cal.agg(F.count("special_day")), cal.agg(F.count_if(F.date_format("full_date", "MM-dd").isin(*HOLIDAYS)))), ("REC016", rows(conflicts), zero),
-    ])
+    """The star against its sources in sixteen rules: rows, keys, sums, orphans, calendar, day, coupons, points,
+    months and conflicts. Orders are built once and written; every figure is an aggregate of one of a table made in one
+    pass. A delivery is there for every order of a known client."""
+    o = stored(order(spark, sf_dir).select("order_id", "client_id", "ym", "line_count", "units", "net", "coupon"))
+    raw, count, zero = lines(spark, sf_dir).select("order_id", "row_id", "points"), F.count("*"), lambda c: F.coalesce(F.sum(c), F.lit(0))
+    told = raw.groupBy("order_id").agg(count.alias("n"), F.countDistinct("row_id").alias("k"), F.countDistinct("points").alias("p"))
+    source = told.agg(F.sum("n").alias("lines"), F.sum("k").alias("line_keys"), count.alias("line_orders"), F.count_if(F.col("p") > 1).alias("points_conflicts"))
+    sold = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(count.alias("n"), F.sum(F.expr(_NET_LINE)).alias("net"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("qty"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("part"))
+    products = sold.join(parts, "l_partkey", "left").agg(F.count("part").alias("products"), count.alias("sold"), zero(F.when(F.col("part").isNull(), F.col("n"))).alias("product_orphans"), F.sum("net").alias("line_net"), F.sum("qty").alias("line_qty"))
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), F.lit(True).alias("customer"))
+    bought = o.groupBy("client_id").agg(F.countDistinct("ym").alias("months"), F.min("ym").alias("a"), F.max("ym").alias("z"), count.alias("orders"), F.sum("line_count").alias("star_lines"), F.sum("units").alias("units"), F.sum("net").alias("net"), F.count_if(F.col("coupon").isNull()).alias("no_coupon"))
+    span = (F.floor(F.col("z") / 100) - F.floor(F.col("a") / 100)) * 12 + F.col("z") % 100 - F.col("a") % 100 + 1
+    star = bought.join(customers, "client_id", "left").agg(
+        F.sum("orders").alias("orders"), F.sum("star_lines").alias("star_lines"), F.sum("units").alias("units"), F.sum("net").alias("net"), F.sum("no_coupon").alias("no_coupon"),
+        F.count_if(F.col("months") < span).alias("month_gaps"), zero(F.when(F.col("customer").isNull(), F.col("orders"))).alias("client_orphans"))
+    of_client = client(spark, sf_dir).groupBy("client_id").agg(F.countDistinct("city").alias("n")).agg(count.alias("clients"), F.count_if(F.col("n") > 1).alias("client_conflicts"))
+    rows = read(spark, sf_dir, "orders")
+    with_lines = rows.join(o.select(F.col("order_id").alias("o_orderkey")), "o_orderkey", "left_semi").agg(F.count_if(~F.col("o_orderstatus").isin("F", "O")).alias("other_status"))
+    extent = rows.agg((F.datediff(F.max("o_orderdate").cast("date"), F.min("o_orderdate").cast("date")) + 1).alias("span"))
+    days = calendar(spark, sf_dir).agg(count.alias("days"), F.count("special_day").alias("special"), F.count_if(F.date_format("full_date", "MM-dd").isin(*HOLIDAYS)).alias("holidays"))
+    people = read(spark, sf_dir, "customer").agg(count.alias("customers"))
+    day = spark.range(1440).agg(count.alias("minutes"))
+    one = star
+    for t in (source, products, of_client, with_lines, extent, days, people, day):
+        one = one.crossJoin(F.broadcast(t))  # one row each
+    c = F.col
+    pairs = {
+        "REC001": (c("star_lines"), c("lines")), "REC002": (c("line_keys"), c("lines")), "REC003": (c("orders"), c("line_orders")), "REC004": (c("clients"), c("customers")), "REC005": (c("products"), c("sold")),
+        "REC006": (c("orders") - c("client_orphans"), c("orders")), "REC007": (c("line_net"), c("net")), "REC008": (c("line_qty"), c("units")), "REC009": (c("client_orphans") + c("product_orphans"), F.lit(0)), "REC010": (c("days"), c("span")),
+        "REC011": (c("minutes"), F.lit(24 * 60)), "REC012": (c("no_coupon"), c("other_status")), "REC013": (c("points_conflicts"), F.lit(0)), "REC014": (c("month_gaps"), F.lit(0)), "REC015": (c("special"), c("holidays")), "REC016": (c("client_conflicts"), F.lit(0)),
+    }
+    rules = [F.struct(F.lit(n).alias("rule_id"), x.cast("double").alias("observed"), e.cast("double").alias("expected")) for n, (x, e) in pairs.items()]
+    out = one.select(F.explode(F.array(*rules)).alias("r")).select("r.*")
+    return out.withColumn("status", F.when(F.abs(F.col("observed") - F.col("expected")) <= 0.01, "aprovado").otherwise("reprovado"))
 
 
 _PKS = {"item": ("order_id", "line_no"), "ord": ("order_id",), "client": ("client_id",), "delivery": ("order_id",)}
@@ -205,7 +219,6 @@ def mandatory_fields(spark, sf_dir) -> DataFrame:
     return checks.union(parts).withColumn("status", F.when(F.col("nulls") == 0, "APROVADO").otherwise("REPROVADO"))
 
 
-_NET_LINE = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
 _METRICS = [
     ("MET-EDA-001", "SELECT count(DISTINCT client_id) FROM ord", f"SELECT count(DISTINCT o_custkey) FROM {_LINES}", 0),
     ("MET-EDA-002", "SELECT count(*) FROM ord", "SELECT count(DISTINCT l_orderkey) FROM lineitem", 0),
