@@ -232,15 +232,20 @@ def plan_acceptance(spark, sf_dir) -> DataFrame:
     return silver.controls(facts, {"remocoes_do_plano": F.col("repeats"), "correcoes_do_plano": F.col("cells"), "tipagem_bloqueada": F.lit(0)})
 
 
-# Treated lines: texts in one spelling, and which cells are on record as open.
-_SILVER = f"""silver AS (SELECT * EXCLUDE (free_shipping, late_flag, coupon, state), {', '.join(f'{e} AS {c}' for c, e in _NEW.items())},
-  nullif(concat_ws(' | ', CASE WHEN category IS NULL AND order_id % 2 = 0 THEN 'category:TR019' END, CASE WHEN order_id % 49 = 0 THEN 'value:TR010' END), '') AS open_points FROM line)"""
+# Treated lines: texts in one spelling, and which cells are on record as open: a category that is missing where the item
+# has several, and a value that departs from its formula while one of the factors is impossible.
+_OPEN_VALUE = f"abs(value - qty * price * (1 - discount / 100)) > {R.MONEY} AND (qty <= 0 OR price <= 0 OR discount < 0 OR discount > 100 OR value < 0)"
+_SILVER = f"""silver AS (SELECT l.* EXCLUDE (free_shipping, late_flag, coupon, state), {', '.join(f'{e} AS {c}' for c, e in _NEW.items())},
+  nullif(concat_ws(' | ', CASE WHEN category IS NULL AND n_category > 1 THEN 'category:TR019' END, CASE WHEN {_OPEN_VALUE} THEN 'value:TR010' END), '') AS open_points
+  FROM line l JOIN (SELECT item_id AS of_item, count(DISTINCT lower(category)) AS n_category FROM line GROUP BY item_id) n ON n.of_item = l.item_id)"""
 
 
 def treated(spark, sf_dir) -> DataFrame:
-    out = lines(spark, sf_dir).withColumns(_standard())
-    told = F.array_compact(F.array(F.when(F.col("category").isNull() & (F.col("order_id") % 2 == 0), "category:TR019"), F.when(F.col("order_id") % 49 == 0, "value:TR010")))
-    return out.withColumn("open_points", F.nullif(F.array_join(told, " | "), F.lit("")))
+    rows = lines(spark, sf_dir)
+    of_item = rows.groupBy("item_id").agg(F.countDistinct(F.lower("category")).alias("n_category"))
+    out = rows.withColumns(_standard()).join(of_item, "item_id")
+    told = F.array_compact(F.array(F.when(F.col("category").isNull() & (F.col("n_category") > 1), "category:TR019"), F.when(F.expr(_OPEN_VALUE), "value:TR010")))
+    return out.withColumn("open_points", F.nullif(F.array_join(told, " | "), F.lit(""))).drop("n_category")
 
 
 @query("s1_structure", f"WITH {_SILVER} " + _CONTROL.format("""
