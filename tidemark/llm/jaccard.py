@@ -5,19 +5,21 @@
    hash. Any order gives right results; the counts only decide how few candidates there are.
 2. Prefixes: with a set of n and the threshold t, only its first n - ceil(t * n) + 1 shingles are
    joined: two linked sets share one of these. Tasks leave out copies they have met.
-3. Candidates: of the classes that share a prefix shingle, each is paired with the smallest, the hub,
-   which is linear in the rows however many share it. A pair must pass the length filter and, by its
-   places in both orders, the positional filter: what can still follow must suffice.
+3. Candidates: of the classes that share a prefix shingle, each is paired with one, the hub, which is linear
+   in the rows however many share it. The hub is the class whose prefix is shared most: of edited copies
+   it is the original, whose edits are nobody's. A pair must pass the length filter and, by its places in
+   both orders, the positional filter: what can still follow must suffice.
 4. Suffix filter: every set is counted in ranges of hashes; the sum of the smaller counts bounds what
    two sets can share. What remains is verified on the full sets, once per pair.
-5. Where sharers of a shingle are not in their hub's component, each of these is paired with the other
-   sharers that lie in other components, in blocks, under the same filters; new pairs are verified.
-   Pairs within a component need no check, as they change nothing.
+5. Where sharers of a shingle still lie in several components, those outside the most common one meet
+   all others across components, in blocks, under the same filters; new pairs are verified. Pairs within
+   a component need no check, as they change nothing.
 6. Components: smallest id by alternating rounds over the links.
 
 Links between different sets are never lost: a pair that is neither verified nor ruled out by a bound lies in
 one component. Work in step 5 can grow with the square of the unlinked sharers of one rare shingle that
-no filter tells apart; what is put out stays under the filters.
+no filter tells apart; what is put out stays under the filters. Sets are told apart by 128 bits; in joins they
+go by the first 64 as a short name, and two sets of one name (about one pair in 2^64) both take part.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. An empty
 table gives an empty result. Ids are integers and should be unique; of rows with one id and several
@@ -42,14 +44,16 @@ from .counters import PART, parts_of, summed
 from .shingles import shingles
 
 COUNTERS = 1 << 22
-#: Ranges of hashes for the suffix filter.
-RANGES = 32
+#: Ranges of hashes for the suffix filter (of the first eight bits), counted in 16 bits each.
+RANGES = 256
 #: Copies that a task remembers, to leave them out.
 MET = 100_000
 #: Sharers of one shingle in a block, and pairs of one document that a task verifies.
 BLOCK, SALTED = 1024, 2048
+#: Rows that meet in one call where sharers that lie apart are compared.
+TOGETHER = 16_384
 
-_SETS = "id long, n long, digest binary, x long, ranges array<int>, kind int, part int, counts binary"
+_SETS = "id long, n long, digest binary, x long, ranges binary, kind int, part int, counts binary"
 _PREFIXES = "token long, x long, n int, at int"
 
 
@@ -63,6 +67,24 @@ def _digest(hashes: np.ndarray) -> tuple[bytes, int]:
     return d, int.from_bytes(d[:8], "little", signed=True)
 
 
+def _ranges(hashes: np.ndarray) -> bytes | None:
+    """Counts of a set in ranges of hashes; none where one doesn't fit (no bound is known then)."""
+    n = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return n.astype("<u2").tobytes() if n.max() < 1 << 16 else None
+
+
+def overlaps(p: list, q: list, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Suffix filter: which pairs of sets can share enough by their counts in ranges of hashes."""
+    known = np.array([x is not None and y is not None for x, y in zip(p, q, strict=True)], bool)
+    most = np.minimum(n, m).astype(np.int64)
+    for at in range(0, len(p), 4096):
+        k = np.flatnonzero(known[at : at + 4096]) + at
+        if len(k):
+            both = [np.frombuffer(b"".join([side[i] for i in k]), "<u2").reshape(len(k), RANGES) for side in (p, q)]
+            most[k] = np.minimum(*both).sum(axis=1, dtype=np.int64)
+    return most * (100 + percent) >= (n.astype(np.int64) + m) * percent
+
+
 def sets(docs: DataFrame, words: int, counters: int) -> DataFrame:
     """A row per document (id, n, digest, x, ranges; the last three null for empty sets) and the counters' parts."""
     small_batches(docs.sparkSession)
@@ -75,11 +97,12 @@ def sets(docs: DataFrame, words: int, counters: int) -> DataFrame:
             for s in all_sets:
                 if len(s):
                     d, x = _digest(s)
-                    rows.append((len(s), d, x, np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype(np.int32)))
+                    rows.append((len(s), d, x, _ranges(s)))
                 else:
                     rows.append((0, None, None, None))
             table += np.bincount(_place(np.concatenate(all_sets), counters), minlength=counters).astype(np.uint32)
-            out = pd.DataFrame(rows, columns=["n", "digest", "x", "ranges"]).astype({"x": "Int64"})
+            n, digest, x, ranges = zip(*rows, strict=True) if rows else ((),) * 4
+            out = pd.DataFrame({"n": n, "digest": digest, "x": pd.array(x, "Int64"), "ranges": ranges})  # never as floats
             yield out.assign(id=b["id"].astype("Int64").to_numpy(), kind=None, part=None, counts=None)[_COLUMNS]
         yield parts_of({0: table}).assign(id=None, n=None, digest=None, x=None, ranges=None)[_COLUMNS]
 
@@ -129,11 +152,6 @@ def follows(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     return most * (100 + percent) >= (n + m).cast("long") * percent
 
 
-def overlaps(p: Column, q: Column, n: Column, m: Column, percent: int) -> Column:
-    """Suffix filter over counts in ranges of hashes."""
-    return F.aggregate(F.zip_with(p, q, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b) * (100 + percent) >= (n + m).cast("long") * percent
-
-
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. texts: id, text (packed)."""
     per_b = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
@@ -160,8 +178,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def _named(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of classes' ids for pairs (x, y) of short names, under the length and suffix filters."""
     side = lambda x, c: classes.select(F.col("x").alias(x), F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
-    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").filter("a <> b")
-    passed = both.filter(fits(F.col("n_a"), F.col("n_b"), percent)).filter(overlaps(F.col("r_a"), F.col("r_b"), F.col("n_a"), F.col("n_b"), percent))
+    both = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").filter((F.col("a") != F.col("b")) & fits(F.col("n_a"), F.col("n_b"), percent))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p.loc[overlaps(p["r_a"].tolist(), p["r_b"].tolist(), p["n_a"].to_numpy(), p["n_b"].to_numpy(), percent), ["a", "b"]]
+
+    passed = both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInPandas(run, "a long, b long")
     return passed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -170,18 +193,75 @@ def _filters(percent: int) -> Column:
     return fits(F.col("n"), F.col("n_y"), percent) & follows(F.col("n"), F.col("at"), F.col("n_y"), F.col("at_y"), percent)
 
 
-def _across(shared: DataFrame, classes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of sharers in different components, one of them outside its hub's, under the filters."""
+def _hubs(sharers: DataFrame, weight: DataFrame) -> DataFrame:
+    """token, hub, n_y, at_y: of each token's sharers the one whose prefix is shared most (ties: least name)."""
+    place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")
+    best = F.max_by(F.struct("x", place.alias("p")), F.struct(F.col("weight"), -F.col("x"))).alias("h")
+    n, at = F.shiftright("h.p", 32).cast("int").alias("n_y"), F.col("h.p").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("at_y")
+    return sharers.join(weight, "x").groupBy("token").agg(best).select("token", F.col("h.x").alias("hub"), n, at)
+
+
+def _placed(sharers: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
+    """Sharers with their component so far (c), of the tokens whose sharers lie in several; out: it is not
+    the component of most of the token's sharers."""
     of_class = classes.select("x", "id").join(component, "id", "left").select("x", F.coalesce("component", "id").alias("c")).groupBy("x").agg(F.min("c").alias("c"))
-    members = shared.join(of_class, "x").join(of_class.toDF("hub", "c_hub"), "hub").select("token", "x", "n", "at", "c", (F.col("c") != F.col("c_hub")).alias("out"))
-    sizes = members.groupBy("token").agg(F.count("*").alias("m"), F.count_if("out").alias("l")).filter("l > 0 AND m > 2")
-    members = materialize(members.join(sizes.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("l") / BLOCK).cast("int").alias("lb")), "token"))
+    members = sharers.join(of_class, "x")
+    most = members.groupBy("token", "c").agg(F.count("*").alias("n_c")).groupBy("token").agg(F.count("*").alias("several"), F.max_by("c", F.struct("n_c", "c")).alias("usual"))
+    return members.join(most.filter("several > 1").drop("several"), "token").withColumn("out", F.col("c") != F.col("usual")).drop("usual")
+
+
+def _to_hub(sharers: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x, y) of sharers with their token's hub that pass length and positional filter."""
+    met = sharers.join(hubs, "token").filter((F.col("x") != F.col("hub")) & _filters(percent))
+    return met.select("x", F.col("hub").alias("y")).distinct()
+
+
+def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of sharers in different components, under all filters. members: see `_placed`.
+
+    Of two components one is not the token's most common one, so it is enough to lay the sharers outside that
+    one beside all. Where a token has more than BLOCK sharers, both sides are cut into blocks. Blocks of
+    many tokens meet in calls of about TOGETHER rows, so neither a token nor a call grows with the input.
+    """
+    sizes = members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mb"), F.ceil(F.count_if("out") / BLOCK).cast("int").alias("lb"))
     block = lambda many, salt: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(many)).cast("int")
     each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    left = members.filter("out").select("token", "x", "n", "at", "c", block("lb", 1).alias("i"), each("mb").alias("j"))
-    right = members.select("token", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("c").alias("c_y"), block("mb", 0).alias("j"), each("lb").alias("i"))
-    met = left.join(right, ["token", "i", "j"]).filter((F.col("c") != F.col("c_y")) & _filters(percent))
-    return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    told = members.join(sizes, "token")
+    cols = ["token", "x", "n", "at", "c", "out"]
+    one = told.filter("mb = 1").select(*cols, F.lit(True).alias("left"), F.lit(True).alias("right"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    left = told.filter("mb > 1 AND out").select(*cols, F.lit(True).alias("left"), F.lit(False).alias("right"), block("lb", 1).alias("i"), each("mb").alias("j"))
+    right = told.filter("mb > 1").select(*cols, F.lit(False).alias("left"), F.lit(True).alias("right"), each("lb").alias("i"), block("mb", 0).alias("j"))
+    ranges = classes.groupBy("x").agg(F.first("ranges").alias("ranges"))  # of two sets of one short name either: see the docstring
+    laid = materialize(one.unionByName(left).unionByName(right.select(one.columns)).join(ranges, "x"))
+    calls = laid.count() // TOGETHER + 1
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["token", "i", "j"], ignore_index=True)
+        token, i, j = p["token"].to_numpy(), p["i"].to_numpy(), p["j"].to_numpy()
+        x, n, at, c, out, ranges = p["x"].to_numpy(), p["n"].to_numpy().astype(np.int64), p["at"].to_numpy().astype(np.int64), p["c"].to_numpy(), p["out"].to_numpy(), p["ranges"].to_numpy()
+        is_left, is_right = p["left"].to_numpy() & out, p["right"].to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        found = [np.zeros((2, 0), np.int64)]
+        for start, stop in zip(cut, [*cut[1:], len(p)], strict=True):
+            a, b = start + np.flatnonzero(is_left[start:stop]), start + np.flatnonzero(is_right[start:stop])
+            if not len(a) or len(b) < 2 and not len(a):
+                continue
+            u, v = a[:, None], b[None, :]
+            near = (c[u] != c[v]) & (~out[v] | (x[u] < x[v])) & (np.minimum(n[u], n[v]) * 100 >= np.maximum(n[u], n[v]) * percent)
+            most = np.minimum(at[u], at[v]) + np.minimum(n[u] - at[u], n[v] - at[v])
+            near &= most * (100 + percent) >= (n[u] + n[v]) * percent
+            k, m = np.nonzero(near)
+            found.append(np.stack((a[k], b[m])))
+        pairs = np.concatenate(found, axis=1)
+        if pairs.shape[1]:
+            _, first = np.unique(np.stack((x[pairs].max(axis=0), x[pairs].min(axis=0))), axis=1, return_index=True)
+            pairs = pairs[:, first]
+            a, b = pairs
+            pairs = pairs[:, overlaps(ranges[a].tolist(), ranges[b].tolist(), n[a], n[b], percent)]
+        return pd.DataFrame({"x": x[pairs].max(axis=0), "y": x[pairs].min(axis=0)})
+
+    call = F.pmod(F.xxhash64("token", "i", "j"), F.lit(calls)).alias("call")
+    return laid.withColumn("call", call).groupBy("call").applyInPandas(run, "x long, y long").distinct()
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, counters: int = COUNTERS) -> DataFrame:
@@ -195,25 +275,23 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     known = rows.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest", "x", "n", "ranges").agg(F.min("id").alias("id"))
     classes = materialize(known)
     places = materialize(prefixes(docs.filter("id IS NOT NULL"), words, percent, table))
-    place = F.struct("n", "at")
-    hubs = places.groupBy("token").agg(F.min("x").alias("hub"), F.max("x").alias("top"), F.min_by(F.shiftleft(F.col("n").cast("long"), 32) + F.col("at"), "x").alias("place"))
-    hubs = materialize(hubs.filter("hub <> top").drop("top"), free_shuffles=True)
-    split = [F.shiftright("place", 32).cast("int").alias("n_y"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("at_y")]
-    shared = materialize(places.join(hubs, "token").select("token", "x", "n", "at", "hub", *split).distinct())
-    near = shared.filter(F.col("x") != F.col("hub")).filter(_filters(percent)).select("x", F.col("hub").alias("y")).distinct()
-    pairs = materialize(_named(near, classes, percent))
-    first = materialize(verified(pairs, _wanted(docs, pairs), words, percent))
-    across = materialize(_named(_across(shared, classes, smallest_reachable(first), percent), classes, percent).join(pairs, ["a", "b"], "left_anti"))
-    more = materialize(verified(across, _wanted(docs, across), words, percent))
-    component = smallest_reachable(first.unionByName(more))
+    several = places.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("top")).filter("low <> top").select("token")
+    sharers = materialize(places.join(materialize(several, free_shuffles=True), "token").distinct())
+    weight = materialize(sharers.groupBy("x").agg((F.count("*") * percent / F.first("n")).alias("weight")))
+    texts = _texts(docs, sharers.select("x").distinct().join(classes.select("x", "id"), "x").select("id").distinct())
+    pairs = materialize(_named(_to_hub(sharers, _hubs(sharers, weight), percent), classes, percent))
+    first = materialize(verified(pairs, texts, words, percent))
+    members = materialize(_placed(sharers, classes, smallest_reachable(first)))
+    rest = materialize(_named(_apart(members, classes, percent), classes, percent).join(pairs, ["a", "b"], "left_anti"))
+    links = first.unionByName(materialize(verified(rest, texts, words, percent)))
+    component = smallest_reachable(links)
     of_class = classes.select("digest", "id").join(component, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "n", "digest").join(of_class, "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def _wanted(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, text (packed) of the documents in the pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text (packed) of the documents with these ids."""
     # the wanted ids grow with the documents: the same join at every size, never a broadcast
     return materialize(docs.select("id", packed(F.col("text")).alias("text")).join(ids.hint("shuffle_hash"), "id").dropDuplicates(["id"]))
 
