@@ -101,3 +101,29 @@ def unique_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"{list(keys)} is not unique")
     return df
+
+
+def required_columns(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> dict[str, list[str]]:
+    """The required columns that each table lacks. No job runs."""
+    return {name: sorted(set(columns) - set(df.columns)) for name, (df, columns) in tables.items()}
+
+
+def validated(tables: dict[str, tuple[DataFrame, Sequence[str]]], counted: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Control records of what a model is built from, before it is built: columns that are missing (none may be) and, by
+    name, pairs of one-row counts that must be equal. One row a control: control, observed, expected, status, details."""
+    spark = next(iter(tables.values()))[0].sparkSession
+    missing = required_columns(tables)
+    rows = [(f"colunas_ausentes_{name}", float(len(gone)), 0.0, " | ".join(gone)) for name, gone in missing.items()]
+    out = spark.createDataFrame(rows, "control string, observed double, expected double, details string")
+    for name, (observed, expected) in counted.items():
+        both = observed.toDF("observed").crossJoin(expected.toDF("expected"))  # one row each
+        out = out.unionByName(both.select(F.lit(name).alias("control"), F.col("observed").cast("double"), F.col("expected").cast("double"), F.lit("").alias("details")))
+    return out.withColumn("status", F.when(F.col("observed").eqNullSafe(F.col("expected")), "aprovado").otherwise("reprovado"))
+
+
+def accepted(controls: DataFrame) -> DataFrame:
+    """The control records, where none is rejected; otherwise an error that names those that are."""
+    bad = controls.filter("status = 'reprovado'").collect()  # a row per control at most
+    if bad:
+        raise ValueError("rejected: " + "; ".join(f"{r['control']}: {r['observed']} != {r['expected']} {r['details']}".strip() for r in bad))
+    return controls

@@ -52,7 +52,7 @@ def key_use(facts: Mapping[str, DataFrame], relations: Sequence[tuple[str, str,
     """relation, dimension, key, rows, known: every key that a fact's foreign key takes (null too), its
     rows, and whether the dimension has it.
 
-    relations: (fact, column, dimension); dims: table and key column. A fact is scanned once for all its
+    relations: (fact, column, dimension); dims: table and key column (without any, known is null). A fact is scanned once for all its
     relations; keys are counted before they are shuffled, so a key that holds most rows is one row a
     task, and there is one join, with the keys of all dimensions.
     """
@@ -61,6 +61,8 @@ def key_use(facts: Mapping[str, DataFrame], relations: Sequence[tuple[str, str,
         mine = [F.struct(F.lit(f"{name}.{c}").alias("relation"), F.lit(d).alias("dimension"), F.col(c).cast("bigint").alias("key")) for f, c, d in relations if f == name]
         used.append(df.select(F.explode(F.array(*mine)).alias("k")).select("k.*"))
     counted = union(used).groupBy("relation", "dimension", "key").agg(F.count("*").alias("rows"))
+    if not dims:
+        return counted.withColumn("known", F.lit(None).cast("boolean"))
     there = union([df.select(F.lit(d).alias("dimension"), F.col(k).cast("bigint").alias("key")) for d, (df, k) in dims.items()]).distinct()
     return counted.join(there.withColumn("known", F.lit(True)), ["dimension", "key"], "left").select("relation", "dimension", "key", "rows", F.coalesce("known", F.lit(False)).alias("known"))
 

@@ -17,14 +17,16 @@ AGES = (("<16", 15), ("16-24", 24), ("25-34", 34), ("35-44", 44), ("45-54", 54),
 NO_VALUE = "[NULO]"
 SMALL, ENOUGH, LEAST = "AMOSTRA PEQUENA", "AMOSTRA SUFICIENTE", 10
 #: Attributes that are compared one at a time.
-ATTRIBUTES = ("gender", "education")
+ATTRIBUTES = ("gender", "marital", "education", "occupation")
+# What the source says of a client beside the star's columns.
+_TOLD = {"marital": "CASE client_id % 3 WHEN 0 THEN 'Solteiro' WHEN 1 THEN 'Casado' ELSE NULL END", "occupation": "CASE client_id % 4 WHEN 0 THEN 'Estudante' WHEN 3 THEN ' ' ELSE 'Empregado' END"}
 
 _MONEY = ("units", "net", "cost", "margin")
 _BAND_SQL = f"CASE WHEN age IS NULL THEN '{NO_VALUE}' " + " ".join(f"WHEN age <= {top} THEN '{name}'" for name, top in AGES if top) + f" ELSE '{AGES[-1][0]}' END"
 _SUMS_SQL = f"""sums AS (SELECT client_id AS buyer, CAST(count(*) AS BIGINT) AS orders, {", ".join(f"sum({c}) AS {c}" for c in _MONEY)},
   min(order_date) AS first_date, max(order_date) AS last_date, CAST(count(DISTINCT order_date) AS BIGINT) AS purchase_days FROM ord GROUP BY client_id)"""
 _CLIENTS_SQL = f"""{_SUMS_SQL},
-whole AS (SELECT client_id, gender, education, age, {_BAND_SQL} AS age_band, CAST(income AS DOUBLE) AS income, city, region,
+whole AS (SELECT client_id, gender, education, {", ".join(f"{e} AS {c}" for c, e in _TOLD.items())}, age, {_BAND_SQL} AS age_band, CAST(income AS DOUBLE) AS income, city, region,
   coalesce(orders, 0) AS orders, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _MONEY)}, first_date, last_date, purchase_days
   FROM client LEFT JOIN sums ON buyer = client_id)"""
 _QUARTILES_SQL = f"""{_CLIENTS_SQL},
@@ -38,7 +40,7 @@ def clients(spark, sf_dir) -> DataFrame:
     """Every client with its attributes, age band and sums of its orders (zero without orders)."""
     days = [F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date"), F.countDistinct("order_date").alias("purchase_days")]
     sums = order(spark, sf_dir).groupBy("client_id").agg(F.count("*").alias("orders"), *[F.sum(c).alias(c) for c in _MONEY], *days)
-    wide = client(spark, sf_dir).drop("client_name").join(sums, "client_id", "left")
+    wide = client(spark, sf_dir).drop("client_name").withColumns({c: F.expr(e) for c, e in _TOLD.items()}).join(sums, "client_id", "left")
     zeros = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("orders", *_MONEY)}
     return wide.withColumns(zeros | {"income": F.col("income").cast("double"), "age_band": T.banded(F.col("age"), AGES, NO_VALUE)})
 

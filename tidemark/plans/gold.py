@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import checks, ordering
-from tidemark.sources.commerce import STAR_SQL, client, delivery, item, order, read
+from tidemark.sources.commerce import _RATE_SQL, STAR_SQL, client, delivery, item, order, read
 from tidemark.sources.lines import LINES_SQL, lines
 from tidemark.sources.tables import stored
 
@@ -225,6 +225,8 @@ _METRICS = [
     ("MET-EDA-003", "SELECT sum(qty) FROM item", "SELECT sum(CAST(l_quantity AS DECIMAL(12,2))) FROM lineitem", 0),
     ("MET-EDA-004", "SELECT sum(net) FROM ord", f"SELECT sum({_NET_LINE}) FROM lineitem", 0.01),
     ("MET-EDA-005", "SELECT CAST(sum(net) AS DOUBLE) / count(*) FROM ord", f"SELECT CAST(sum({_NET_LINE}) AS DOUBLE) / count(DISTINCT l_orderkey) FROM lineitem", 0.01),
+    ("MET-EDA-006", "SELECT sum(margin) FROM ord", f"SELECT sum({_NET_LINE} - CAST(l_extendedprice * {_RATE_SQL} AS DECIMAL(18,4))) FROM lineitem JOIN part ON p_partkey = l_partkey", 0.01),
+    ("MET-EDA-007", "SELECT CAST(sum(rating) AS DOUBLE) / count(rating) FROM delivery", f"SELECT avg(o_orderkey % 5 + 1) FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)", 0.01),
     ("MET-EDA-008", "SELECT 100.0e0 * count(*) FILTER (late_flag = 'Sim') / nullif(count(late_flag), 0) FROM delivery", "SELECT 100.0e0 * count(*) FILTER (status = 'Atrasado') / count(*) FROM delivery", 0.01),
 ]
 
@@ -239,11 +241,14 @@ def metrics_against_expected(spark, sf_dir) -> DataFrame:
     net = F.expr(_NET_LINE)
     of_order = lines.groupBy("l_orderkey").agg(F.sum(net).alias("net"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("qty"))
     source = of_order.join(orders, of_order["l_orderkey"] == orders["o_orderkey"], "left").agg(F.countDistinct("o_custkey").alias("c"), F.count("*").alias("n"), F.sum("qty").alias("q"), F.sum("net").alias("v"))
-    star = o.agg(F.countDistinct("client_id").alias("clients"), F.count("*").alias("orders"), F.sum("net").alias("net")).crossJoin(i.agg(F.sum("qty").alias("qty")))  # one row each
-    rates = d.agg((F.count_if(F.col("late_flag") == "Sim") * 100.0 / F.nullif(F.count("late_flag"), F.lit(0))).alias("told"), (F.count_if(F.col("status") == "Atrasado") * 100.0 / F.count("*")).alias("made"))
-    one = star.crossJoin(source).crossJoin(rates)
+    star = o.agg(F.countDistinct("client_id").alias("clients"), F.count("*").alias("orders"), F.sum("net").alias("net"), F.sum("margin").alias("margin")).crossJoin(i.agg(F.sum("qty").alias("qty")))  # one row each
+    rates = d.agg((F.count_if(F.col("late_flag") == "Sim") * 100.0 / F.nullif(F.count("late_flag"), F.lit(0))).alias("told"), (F.count_if(F.col("status") == "Atrasado") * 100.0 / F.count("*")).alias("made"), T.ratio(F.sum("rating"), F.count("rating")).alias("rating"))
+    part = read(spark, sf_dir, "part")
+    made = lines.join(part, lines["l_partkey"] == part["p_partkey"]).agg(F.sum(F.expr(f"{_NET_LINE} - CAST(l_extendedprice * {_RATE_SQL} AS DECIMAL(18,4))")).alias("source_margin"))
+    told = orders.join(of_order.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").agg(F.avg(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 5 + 1)).alias("source_rating"))
+    one = star.crossJoin(source).crossJoin(rates).crossJoin(made).crossJoin(told)  # one row each
     col, ratio = F.col, T.ratio
-    rows = [("MET-EDA-001", col("clients"), col("c"), 0), ("MET-EDA-002", col("orders"), col("n"), 0), ("MET-EDA-003", col("qty"), col("q"), 0), ("MET-EDA-004", col("net"), col("v"), 0.01), ("MET-EDA-005", ratio(col("net"), col("orders")), ratio(col("v"), col("n")), 0.01), ("MET-EDA-008", col("told"), col("made"), 0.01)]
+    rows = [("MET-EDA-001", col("clients"), col("c"), 0), ("MET-EDA-002", col("orders"), col("n"), 0), ("MET-EDA-003", col("qty"), col("q"), 0), ("MET-EDA-004", col("net"), col("v"), 0.01), ("MET-EDA-005", ratio(col("net"), col("orders")), ratio(col("v"), col("n")), 0.01), ("MET-EDA-006", col("margin"), col("source_margin"), 0.01), ("MET-EDA-007", col("rating"), col("source_rating"), 0.01), ("MET-EDA-008", col("told"), col("made"), 0.01)]
     told = [F.struct(F.lit(n).alias("metric_id"), F.round(a.cast("double"), 6).alias("observed"), F.round(b.cast("double"), 6).alias("expected"), F.lit(float(t)).alias("tolerance")) for n, a, b, t in rows]
     out = one.select(F.explode(F.array(*told)).alias("m")).select("m.*").withColumn("difference", F.col("observed") - F.col("expected"))
     return out.withColumn("status", F.when(F.abs("difference") <= F.col("tolerance"), "APROVADO").otherwise("REPROVADO"))

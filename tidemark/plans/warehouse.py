@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import ordering, warehouse
+from tidemark.operators import checks, ordering, silver, treat, warehouse
 from tidemark.sources import loading, tables
 from tidemark.sources.bronze import BRONZE_SQL, bronze
 from tidemark.sources.commerce import STAR_SQL, client, item, order_context, read
@@ -172,6 +172,95 @@ def orphan_detail(spark, sf_dir) -> DataFrame:
     return _early_use(spark, sf_dir).filter("NOT known AND key IS NOT NULL").drop("known")
 
 
+# The tables of the model: kind, grain and columns that must be there.
+SPECIFIED = {
+    "dim_client": ("dimensao", "um cliente", ("client_sk", "client_id")), "dim_product": ("dimensao", "um produto", ("product_sk", "product_id")), "dim_date": ("dimensao", "um dia do calendario", ("date_sk", "full_date")),
+    "dim_time": ("dimensao", "um minuto do dia", ("time_sk", "hhmm")), "dim_geography": ("dimensao", "uma categoria de referencia", ("geography_sk", "city", "region")),
+    **{f"dim_{d}": ("dimensao", "uma categoria de referencia", (f"{d}_sk", d)) for d in SMALL},
+    "fact_item": ("fato", "uma linha de produto no pedido", ("order_id", "line_no", "client_sk", "product_sk", "date_sk", "time_sk", "payment_sk", "campaign_sk", "channel_sk", "external_event_sk")),
+    "fact_order": ("fato", "um pedido", ("order_id", "client_sk", "date_sk", "time_sk", "geography_sk", "payment_sk", "campaign_sk", "channel_sk", "external_event_sk", "net")),
+    "fact_delivery": ("fato", "uma entrega por pedido", ("order_id", "client_sk", "date_sk", "geography_sk", "carrier_sk")), "fact_client_month": ("fato", "um cliente por fechamento mensal", ("client_sk", "cutoff_sk")),
+}
+_TABLE_SQL = {f"dim_{d}": f"({q}) t" for d, q in _DIM_SQL.items()} | {f"fact_{f}": q for f, q in _FACT_SQL.items()}
+
+
+@query("d15_all_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{k}' AS kind, '{g}' AS grain, {big(len(c))} AS specified, {big(len(c))} AS present, {big('count(*)')} AS rows, CASE WHEN count(*) > 0 THEN 'aprovado' ELSE 'reprovado' END AS status FROM {_TABLE_SQL[t]}" for t, (k, g, c) in SPECIFIED.items()))
+def all_tables(spark, sf_dir) -> DataFrame:
+    """The fourteen specified tables against the built ones: columns that are there, and rows. Each is counted once."""
+    dims, facts = built(spark, sf_dir)
+    made = {f"dim_{n}": df for n, df in dims.items()} | {f"fact_{n}": df for n, df in facts.items()}
+    parts = []
+    for name, (kind, grain, columns) in SPECIFIED.items():
+        there = len(set(columns) & set(made[name].columns))
+        fine = (F.col("rows") > 0) & F.lit(there == len(columns))
+        told = [F.lit(name).alias("table_name"), F.lit(kind).alias("kind"), F.lit(grain).alias("grain"), F.lit(len(columns)).cast("bigint").alias("specified"), F.lit(there).cast("bigint").alias("present")]
+        parts.append(made[name].agg(F.count("*").alias("rows")).select(*told, "rows", F.when(fine, "aprovado").otherwise("reprovado").alias("status")))
+    return checks.union(parts)
+
+
+_DIMS = tuple(dict.fromkeys(d for _, _, d in RELATIONS))
+
+
+@query("d14_bus_matrix", " UNION ALL ".join("SELECT '" + f + "' AS fact, " + ", ".join(next((f"(SELECT {big('count(DISTINCT ' + c + ')')} FROM {_FACT_SQL[f]})" for g, c, e in RELATIONS if g == f and e == d), "CAST(NULL AS BIGINT)") + f" AS {d}" for d in _DIMS) for f in _FACT_SQL))
+def bus_matrix(spark, sf_dir) -> DataFrame:
+    """Facts by dimensions: how many members of a dimension a fact uses; null where they are not related."""
+    facts = built(spark, sf_dir)[1]
+    use = warehouse.key_use(facts, RELATIONS, {})
+    return use.filter("key IS NOT NULL").groupBy(F.substring_index("relation", ".", 1).alias("fact")).pivot("dimension", list(_DIMS)).agg(F.count("key"))
+
+
+_SOURCES = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"), "orders": ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"), "part": ("p_partkey", "p_name", "p_type")}
+_SAME = {
+    "linhas": ("SELECT count(*) FROM item", "SELECT count(*) FROM lineitem"), "pedidos": ("SELECT count(*) FROM ord", "SELECT count(DISTINCT l_orderkey) FROM lineitem"),
+    "clientes": ("SELECT count(DISTINCT client_id) FROM ord", "SELECT count(*) FROM customer"), "produtos": ("SELECT count(DISTINCT product_id) FROM item", "SELECT count(*) FROM part"),
+}
+
+
+@query("d16_input_validation", " UNION ALL ".join([f"SELECT 'colunas_ausentes_{t}' AS control, CAST(0 AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS expected, '' AS details, 'aprovado' AS status FROM {t} HAVING count(*) >= 0" for t in _SOURCES]
+    + [f"SELECT *, CASE WHEN observed = expected THEN 'aprovado' ELSE 'reprovado' END AS status FROM (SELECT '{n}' AS control, CAST(({a}) AS DOUBLE) AS observed, CAST(({b}) AS DOUBLE) AS expected, '' AS details) x" for n, (a, b) in _SAME.items()]))
+def input_validation(spark, sf_dir) -> DataFrame:
+    """What the star is built from, held against what the specification asks: columns, rows, orders, clients and
+    products. `checks.accepted` turns a rejected record into an error."""
+    source = {t: read(spark, sf_dir, t) for t in _SOURCES}
+    orders = order_context(spark, sf_dir).agg(F.count("*").alias("orders"), F.sum("line_count").alias("lines"), F.countDistinct("client_id").alias("clients"))
+    one = tables.stored(orders)
+    line = source["lineitem"]
+    sold = line.groupBy("l_partkey").agg(F.count("*").alias("n")).join(source["part"].select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi").agg(F.count("*").alias("n"))
+    rows = lambda df: df.agg(F.count("*").alias("n"))
+    counted = {"linhas": (one.select("lines"), rows(line)), "pedidos": (one.select("orders"), line.agg(F.countDistinct("l_orderkey").alias("n"))), "clientes": (one.select("clients"), rows(source["customer"])), "produtos": (sold, rows(source["part"]))}
+    return checks.validated({t: (source[t], c) for t, c in _SOURCES.items()}, counted)
+
+
+_KEY = "regexp_replace(trim(lower(strip_accents({0}))), '\\s+', ' ', 'g')"
+_VARIANT = "(SELECT k, arg_min(v, (-n, v)) AS v FROM (SELECT " + _KEY + " AS k, trim({0}) AS v, count(*) AS n FROM bronze WHERE {0} IS NOT NULL AND trim({0}) <> '' GROUP BY ALL) x GROUP BY k)"
+_ALL_TEXTS = f"""std AS (SELECT b.row_id, upper(trim(b.order_id)) AS order_id, upper(trim(b.client_id)) AS client_id, coalesce(p.v, b.payment) AS payment, coalesce(c.v, b.city) AS city,
+  CASE lower(trim(b.coupon)) WHEN 'sim' THEN 'Sim' WHEN 'não' THEN 'Não' WHEN 'nao' THEN 'Não' ELSE trim(b.coupon) END AS coupon
+  FROM bronze b LEFT JOIN {_VARIANT.format('payment')} p ON p.k = {_KEY.format('b.payment')} LEFT JOIN {_VARIANT.format('city')} c ON c.k = {_KEY.format('b.city')})"""
+
+
+def all_texts_standard(rows: DataFrame) -> DataFrame:
+    """Every text column in one spelling: ids in upper case, yes and no, and of the variants of a text the most frequent."""
+    out = rows.select("row_id", "order_id", "client_id", "payment", "city", "coupon")
+    for c in ("payment", "city"):
+        out = treat.standard_variants(out, c)
+    return out.withColumns({c: F.upper(F.trim(c)) for c in ("order_id", "client_id")} | {"coupon": silver.yes_or_no(F.col("coupon"))})
+
+
+@query("t14_all_text_columns", f"WITH {_ALL_TEXTS} SELECT * FROM std", BRONZE_SQL)
+def all_text_columns(spark, sf_dir) -> DataFrame:
+    return all_texts_standard(bronze(spark, sf_dir))
+
+
+@query("t14_all_text_changes", f"WITH {_ALL_TEXTS} SELECT field, before, after, {big('count(*)')} AS changes FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, b.{c} AS before, s.{c} AS after FROM bronze b JOIN std s ON s.row_id = b.row_id WHERE b.{c} IS DISTINCT FROM s.{c}" for c in ("order_id", "client_id", "payment", "city", "coupon")) + ") x GROUP BY ALL", BRONZE_SQL)
+def all_text_changes(spark, sf_dir) -> DataFrame:
+    """What that changes, by field and value."""
+    raw = bronze(spark, sf_dir)
+    names = ["order_id", "client_id", "payment", "city", "coupon"]
+    new = all_texts_standard(raw).select("row_id", *[F.col(c).alias(f"new_{c}") for c in names])
+    told = [F.when(~F.col(c).eqNullSafe(F.col(f"new_{c}")), F.struct(F.lit(c).alias("field"), F.col(c).alias("before"), F.col(f"new_{c}").alias("after"))) for c in names]
+    return raw.join(new, "row_id").select(F.explode(F.array_compact(F.array(*told))).alias("c")).groupBy("c.field", "c.before", "c.after").agg(F.count("*").alias("changes"))
+
+
 MONTHLY = ("order_id BIGINT", "client_sk BIGINT", "date_sk BIGINT", "net DECIMAL(28,4)", "ym INT")
 
 
