@@ -147,3 +147,45 @@ def test_scratch_needs_a_shared_folder_off_one_machine(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables._shared(Session())
     assert read(spark, SMALL, "region").count() == 5
+
+
+def test_an_exclusion_must_have_been_approved_for_what_it_is(spark):
+    from tidemark.operators import treatments as R
+    from tidemark.plans import treatments as plan
+
+    told = plan.told(spark, SMALL)
+    lost = R.excluded(told).select("order_id")
+    kept, out = R.without_approved(told, lost)
+    assert out.count() == lost.count() and kept.count() + out.count() == told.count()
+    other = told.filter("lines_of_order > 1").select("order_id").limit(1)
+    with pytest.raises(Exception, match="exclusion was approved of an order with evidence or several lines"):
+        R.without_approved(told, other)[1].collect()
+
+
+def test_treatments_of_values_that_the_source_does_not_make(spark):
+    """Ages, incomes and quantities as a person may type them, beside a client's and an item's other rows."""
+    from tidemark.operators import treatments as R
+
+    base = {"order_id": 1, "client_id": 1, "item_id": 1, "age": 30, "income": 900.0, "occupation": "Empregado", "qty": 2.0, "price": 10.0, "discount": 10.0, "value": 18.0, "coupon": "Sim", "promised": 3, "actual": 3, "late_flag": "Não", "purchase_interval": 5.0, "ticket": 18.0, "points": 1, "product": "P", "category": "C", "state": "SP", "city": "X", "education": "E", "carrier": "T", "bought_on": dt.date(2025, 1, 1)}
+    odd = [{"age": 7}, {"age": 1030}, {"income": 4.5e7}, {"qty": -3.0}, {"qty": 250.0, "value": 27.0}, {"category": None}, {"category": "D"}, {"product": "Legado 2019"}, {"city": None}, {"carrier": None}, {"coupon": None}, {"value": 20.0}, {"actual": 4}]
+    kinds = "order_id long, client_id long, item_id long, age int, income double, occupation string, qty double, price double, discount double, value double, coupon string, promised int, actual int, late_flag string, purchase_interval double, ticket double, points int, product string, category string, state string, city string, education string, carrier string, bought_on date"
+    rows = [(i, *(base | change).values()) for i, change in enumerate([{}, {}, *odd])]
+    told = R.evidence(spark.createDataFrame(rows, f"row_id long, {kinds}"))
+    cases = {r["rule_id"]: r["cases"] for r in R.matrix(told).collect()}
+    assert {k: v for k, v in cases.items() if k in ("TR001", "TR002", "TR005", "TR008", "TR010", "TR011", "TR017", "TR019", "TR020", "TR023", "TR025", "TR026")} == {
+        "TR001": 2, "TR002": 1, "TR005": 2, "TR008": 1, "TR010": 1, "TR011": 1, "TR017": 1, "TR019": 1, "TR020": 1, "TR023": 1, "TR025": 1, "TR026": 1}
+    fixed = {(r["row_id"], r["field"]): r["proposed"] for r in R.corrections(told).collect()}
+    assert fixed[2, "age"] == fixed[3, "age"] == "30" and fixed[5, "qty"] == "2.0" and fixed[6, "qty"] == "3.0" and fixed[9, "product"] == "P" and fixed[10, "city"] == "X" and fixed[11, "carrier"] == "T" and fixed[13, "value"] == "18.0"
+
+
+def test_input_validation_names_what_is_missing(spark):
+    from tidemark.operators import checks
+
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    count = df.agg(F.count("*"))
+    good = checks.validated({"t": (df, ("a",))}, {"rows": (count, count)})
+    assert checks.accepted(good).count() == 2
+    with pytest.raises(ValueError, match="colunas_ausentes_t.*c"):
+        checks.accepted(checks.validated({"t": (df, ("a", "c"))}, {}))
+    with pytest.raises(ValueError, match="rows: 1.0 != 2.0"):
+        checks.accepted(checks.validated({"t": (df, ())}, {"rows": (count, df.agg(F.count("*") + 1))}))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import ordering
 
 CORRECTION = ("row_id", "field", "original", "proposed", "rule_id", "priority")
 
@@ -35,12 +36,20 @@ def recover_jointly(df: DataFrame, row_id: str, fields: Sequence[str], group: st
 
 
 def dedup_plan(df: DataFrame, names: Sequence[str], row_id: str) -> DataFrame:
-    """Rows of repeated groups with their order in the group: keep the first, remove the rest."""
-    w = Window.partitionBy(*names).orderBy(row_id)
+    """row id, group_first, group_size and action of the rows of repeated groups: keep the first, remove the rest.
+
+    Told by the first row of the group alone, so a row repeated any number of times is no single task."""
     firsts = df.groupBy(*names).agg(F.min(row_id).alias("group_first"), F.count("*").alias("group_size")).filter("group_size > 1")
     same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(firsts[c]) for c in names])
-    inside = df.join(firsts, same).select(df["*"], "group_first", "group_size")
-    return inside.select(F.col(row_id), "group_first", "group_size", F.row_number().over(w).alias("place")).withColumn("action", F.when(F.col("place") == 1, "MANTER").otherwise("REMOVER"))
+    inside = df.join(firsts, same).select(df[row_id], "group_first", "group_size")
+    return inside.withColumn("action", F.when(F.col(row_id) == F.col("group_first"), "MANTER").otherwise("REMOVER"))
+
+
+def with_places(plan: DataFrame, row_id: str) -> DataFrame:
+    """A plan with each row's place in its group, in two phases over all groups."""
+    placed = ordering.running(plan, [F.col("group_first"), F.col(row_id)], {}, rank="__at")
+    first = placed.groupBy("group_first").agg(F.min("__at").alias("__first"))
+    return placed.join(first, "group_first").withColumn("place", (F.col("__at") - F.col("__first") + 1).cast("int")).drop("__at", "__first")
 
 
 def first_corrections(corrections: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def rule_violations(spark, sf_dir) -> DataFrame:
 
 @query("t2_dedup_plan", f"WITH w AS (SELECT row_id, min(row_id) OVER p AS group_first, {big('count(*) OVER p')} AS group_size, CAST(row_number() OVER (PARTITION BY {LISTED} ORDER BY row_id) AS INT) AS place FROM bronze WINDOW p AS (PARTITION BY {LISTED})) SELECT *, CASE WHEN place = 1 THEN 'MANTER' ELSE 'REMOVER' END AS action FROM w WHERE group_size > 1")
 def dedup_plan(spark, sf_dir) -> DataFrame:
-    return treat.dedup_plan(bronze(spark, sf_dir), COLUMNS, "row_id")
+    return treat.with_places(treat.dedup_plan(bronze(spark, sf_dir), COLUMNS, "row_id"), "row_id")
 
 
 def corrections(spark, sf_dir) -> DataFrame:
