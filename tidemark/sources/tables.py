@@ -169,6 +169,20 @@ def gate(df: DataFrame) -> DataFrame:
     return df
 
 
+def present(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """object, present, rows of the tables and views that are asked for by name."""
+    parts = []
+    for n in names:
+        if spark.catalog.tableExists(n):
+            parts.append(spark.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("object"), F.lit(True).alias("present"), "rows"))
+        else:
+            parts.append(spark.createDataFrame([(n, False, None)], "object string, present boolean, rows bigint"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table: name and rows."""
     parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in tables.items()]
