@@ -96,13 +96,6 @@ def orphans(pairs: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> Data
     return union(parts).withColumn("status", F.when(F.col("orphans") == 0, "APROVADO").otherwise("REPROVADO"))
 
 
-def unique_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df, checked to hold each key once (before an N:1 join)."""
-    if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
-        raise ValueError(f"{list(keys)} is not unique")
-    return df
-
-
 def required_columns(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> dict[str, list[str]]:
     """The required columns that each table lacks. No job runs."""
     return {name: sorted(set(columns) - set(df.columns)) for name, (df, columns) in tables.items()}

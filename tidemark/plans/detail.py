@@ -118,6 +118,17 @@ def contract_cast(spark, sf_dir) -> DataFrame:
     return bronze(spark, sf_dir).select("row_id", *[T.typed(F.col(c), k).alias(n) for n, (c, k) in kinds.items()])
 
 
+_RESULTS = {"payments": ("payment", "coupon"), "cities": ("city",), "prices": ("amount", "bought_on")}
+_RESULT_SQL = "SELECT '{0}' AS result, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER ({2}), 0) AS BIGINT) AS rows_with_null, CAST(sum(n) - count(*) AS BIGINT) AS duplicates FROM (SELECT {1}, count(*) AS n FROM bronze GROUP BY ALL) x"
+
+
+@query("io11_exported_results", " UNION ALL ".join(_RESULT_SQL.format(n, ", ".join(cs), " OR ".join(f"{c} IS NULL" for c in cs)) for n, cs in _RESULTS.items()))
+def exported_results(spark, sf_dir) -> DataFrame:
+    """Named results written out and read back: rows, rows with nulls and repeated rows of each."""
+    b = bronze(spark, sf_dir)
+    return tables.exported({n: b.select(*cs) for n, cs in _RESULTS.items()}, tables.scratch(spark)).drop("content_hash")
+
+
 star = Registry(warehouse.WAREHOUSE_SQL)
 _MEASURES = ("line_count", "units", "products", "gross", "discount", "net", "cost", "margin")
 

@@ -50,11 +50,11 @@ def release(spark: SparkSession) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def read_text(spark: SparkSession, path: str, columns: list[str], form: str = "parquet", **options) -> DataFrame:
-    """Every column as a string, in contract order."""
-    reader = spark.read.options(**options)
-    df = reader.parquet(path) if form == "parquet" else reader.schema(", ".join(f"`{c}` STRING" for c in columns)).format(form).load(path)
-    return df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+def read_text(spark: SparkSession, path: str, columns: Sequence[str], first: int = 2, name: str = "_source_row_number") -> DataFrame:
+    """A Parquet table with every column as text, in contract order, and the number of each row in its source,
+    counted from the line after a header. A column that the file lacks is an error."""
+    df = spark.read.parquet(path)
+    return numbered(df.select(*[F.col(c).cast("string").alias(c) for c in columns], "_metadata"), first, name)
 
 
 def numbered(df: DataFrame, first: int = 1, name: str = "row_number") -> DataFrame:
@@ -147,19 +147,6 @@ def guarded(df: DataFrame, manifest: Manifest) -> DataFrame:
     return df
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either table that the other lacks, with their side."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
-
-
-def in_contract(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exactly these columns, in this order."""
-    if sorted(df.columns) != sorted(columns):
-        raise ValueError(f"columns differ: {sorted(set(df.columns) ^ set(columns))}")
-    return df.select(*columns)
-
-
 def gate(df: DataFrame) -> DataFrame:
     """Raise if any status column holds a rejecting value; otherwise df."""
     status = [c for c in df.columns if c.lower().startswith("status")]
@@ -204,7 +191,7 @@ def exported(results: dict[str, DataFrame], path: str) -> DataFrame:
     for name, df in results.items():
         m = publish(df, f"{path}/{name}")
         null = F.coalesce(F.greatest(*[F.col(c).isNull().cast("int") for c in df.columns], F.lit(0)), F.lit(0))
-        one = df.agg(F.count("*").alias("rows"), F.sum(null).alias("rows_with_null"), (F.count("*") - F.countDistinct(F.struct(*df.columns))).alias("duplicates"))
+        one = df.agg(F.count("*").alias("rows"), F.sum(null).alias("rows_with_null"), (F.count("*") - F.count_distinct(F.struct(*df.columns))).alias("duplicates"))
         one = one.select(F.lit(name).alias("result"), "*", F.lit(m.content_hash).alias("content_hash"))
         out = one if out is None else out.unionByName(one)
     return out
