@@ -114,12 +114,15 @@ def repeated_anchors(texts: DataFrame, bits: int, width: int, k: int, crowded: i
     """(id, hash): anchors of each document that another document holds too, marked by a flag where
     they have more than `crowded` holders. texts: id, text.
 
-    A flush sends each of its anchors once, with the documents that hold it.
+    A flush tells the bucket of an anchor how many of its documents hold it, and keeps which. Buckets
+    answer each flush with flags, and the flush's own list is spread out where it lies: an anchor of any
+    number of documents is one number a flush on the way there and one flag on the way back.
     """
     buckets = 1 << (bits - 32)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, held = [], [], 0
+        ids, hashes, held, count = [], [], 0, 0
+        task = TaskContext.get().partitionId() << 32
 
         def out() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(hashes)
@@ -134,9 +137,12 @@ def repeated_anchors(texts: DataFrame, bits: int, width: int, k: int, crowded: i
                 a, z = cut[b], cut[b + 1]
                 if a < z:
                     own = slice(first[a], first[z] if z < len(first) else len(h))
-                    least = int(doc[own].min())
-                    rows.append((b, _pack(least, _narrow(doc[own] - least), h[first[a:z]].astype(np.uint32), _narrow(holders[a:z]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "body"])
+                    docs, which = np.unique(doc[own], return_inverse=True)
+                    many = _narrow(holders[a:z])
+                    rows.append((b, _pack(h[first[a:z]].astype(np.uint32), many), _pack(many, docs[:1], _narrow(np.diff(docs)), _narrow(which))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task | count] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]],
+                ["flush", "bucket", "anchors", "holders"])
 
         for b in batches:
             for doc, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -148,28 +154,36 @@ def repeated_anchors(texts: DataFrame, bits: int, width: int, k: int, crowded: i
                     held += len(own)
             if held > HELD:
                 yield from out()
-                ids, hashes, held = [], [], 0
+                ids, hashes, held, count = [], [], 0, count + 1
         if held:
             yield from out()
 
     def match(p: pd.DataFrame) -> pd.DataFrame:
-        h, many, doc = [], [], []
-        for least, docs, hashes, holders in map(_unpack, p["body"]):
-            h.append(hashes)
-            many.append(holders.astype(np.int64))
-            doc.append(docs.astype(np.int64) + least)
-        h, many, doc = map(np.concatenate, (h, many, doc))
+        told = [_unpack(x) for x in p["anchors"]]
+        h, many = np.concatenate([x[0] for x in told]), np.concatenate([x[1].astype(np.int64) for x in told])
         order = np.argsort(h, kind="stable")
         first = _starts(h[order])
         total = np.add.reduceat(many[order], first)
-        all_of = np.empty(len(h), np.int64)
-        all_of[order] = np.repeat(total, np.diff(np.append(first, len(h))))
-        again = np.repeat(all_of, many) > 1
-        key = np.repeat(h, many)[again].astype(np.int64) | int(p["bucket"].iloc[0]) << 32
-        return pd.DataFrame({"id": doc[again], "hash": key | np.where(np.repeat(all_of, many)[again] > crowded, _FLAG, 0)})
-
-    rows = texts.filter("id IS NOT NULL").mapInArrow(collect, "bucket int, body binary")
-    return rows.groupBy("bucket").applyInPandas(match, "id long, hash long")
+        kind = np.empty(len(h), np.uint8)  # 0: in one document, 1: in several, 2: in a crowd
+        kind[order] = np.repeat((total > 1).astype(np.uint8) + (total > crowded), np.diff(np.append(first, len(h))))
+        cut = np.cumsum([0] + [len(x[0]) for x in told])
+        answers = [_pack(kind[a:z], h[a:z][kind[a:z] > 0]) if kind[a:z].any() else None for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame({"flush": p["flush"], "bucket": p["bucket"], "kinds": answers})
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for bucket, holders, kinds in b[["bucket", "holders", "kinds"]].itertuples(index=False, name=None):
+                (many, least, steps, which), (kind, h) = _unpack(holders), _unpack(kinds)
+                docs = np.concatenate((least, least + np.cumsum(steps, dtype=np.int64)))
+                again, own = kind > 0, which[np.repeat(kind, many) > 0]
+                key = (h.astype(np.int64) | bucket << 32) | np.where(kind[again] > 1, _FLAG, 0)
+                yield pd.DataFrame({"id": docs[own], "hash": np.repeat(key, many[again])})
+
+    # written once: flushes are numbered, and their answers must meet the same rows
+    rows = materialize(texts.filter("id IS NOT NULL").mapInArrow(collect, "flush long, bucket int, anchors binary, holders binary"))
+    asked = rows.select("flush", "bucket", "anchors").groupBy("bucket").applyInPandas(match, "flush long, bucket int, kinds binary")
+    kinds = materialize(asked.filter("kinds IS NOT NULL"), free_shuffles=True)
+    return rows.select("flush", "bucket", "holders").join(kinds, ["flush", "bucket"]).mapInPandas(spread, "id long, hash long")
 
 
 def segments(docs: DataFrame, bits: int, width: int, k: int, blocks: int) -> DataFrame:
