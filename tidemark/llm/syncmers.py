@@ -183,12 +183,13 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per document: its fingerprint, that of its text with the last third replaced by the start of
     the next document (falling id, the first after the last), and both likenesses.
 
-    Rows with a null id have no place in the order and are left out; of equal ids each row is one
-    document, in any order.
+    Rows with a null id have no place in the order: nothing follows them (their edited text ends where the
+    last third began, and their next document is the empty one). Of equal ids each row is one document, in
+    any order. An empty table gives an empty result. Other columns aren't read; they can have any name.
     """
     small_batches(df.sparkSession)
 
-    def done(doc: int, text: str, sketch, follower: str, next_sketch) -> tuple:
+    def done(doc: int | None, text: str, sketch, follower: str, next_sketch) -> tuple:
         n = len(text)
         edited = text[: n - n // 3] + follower[: n // 3]
         own = sketch if edited == text else fingerprint(edited)
@@ -205,7 +206,15 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 held = None if ghost else (bucket, doc, text, sketch)
             yield pd.DataFrame(rows, columns=["id", "n", "sha", "f", "e", "ne", "nn"])
 
-    found = _in_order(df, id_col, text_col).mapInPandas(run, "id long, n long, sha string, f string, e string, ne double, nn double")
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = fingerprint("")
+        for b in batches:
+            rows = [done(None, t, fingerprint(t), "", nothing) for t in b["text"].tolist()]
+            yield pd.DataFrame(rows, columns=["id", "n", "sha", "f", "e", "ne", "nn"]).astype({"id": "Int64"})
+
+    form = "id long, n long, sha string, f string, e string, ne double, nn double"
+    rest = df.filter(F.col(id_col).isNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = _in_order(df, id_col, text_col).mapInPandas(run, form).unionByName(rest.mapInPandas(alone, form))
     return found.toDF(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
