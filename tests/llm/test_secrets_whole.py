@@ -1,10 +1,13 @@
 """Short keys, keys in paths, and what known forms leave of a run."""
 
 import hashlib
+import math
 import random
 import re
 import string
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SMALL
 from tests.llm.cases import empty, frame
 from tidemark.llm import secrets
@@ -58,6 +61,34 @@ def test_the_battery_sets_patterns_aside(spark):
     assert random_parts(spark, [f"a {KEY} b"]) == [[KEY]]
 
 
+def test_joint_p_values_of_random_tokens_are_never_too_small(spark):
+    """Share of random tokens at or under a nominal p-value, by alphabet and length; and the share set aside."""
+    rng = random.Random(5)
+    n = 12_000
+    cases = [("0123456789abcdef", 12), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20), (string.digits + string.ascii_lowercase, 16), (string.ascii_letters + string.digits, 16), (string.ascii_letters + string.digits + "+/", 40), (string.ascii_letters + string.digits, 64)]
+    rows = [(k, "".join(rng.choices(a, k=length))) for k, (a, length) in enumerate(cases) for _ in range(n)]
+    one = F.array(F.struct(F.lit(0).alias("start"), F.length("token").alias("stop"), "token", F.lit(False).alias("cut")))
+    tested = spark.createDataFrame(rows, "k int, token string").repartition(8).select("k", secrets.battery(secrets.evidence(one)).alias("tokens"), F.array().cast("array<int>").alias("without"))
+    tested = secrets.materialize(tested)
+    fit = F.col("tokens")[0]["fit"]
+    levels = (0.05, 0.01, 0.001, 2.0**-secrets.MAX_FIT)
+    got = tested.groupBy("k").agg(*[F.sum(F.when(fit <= a, 1).otherwise(0)).alias(f"p{i}") for i, a in enumerate(levels)]).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        for i, a in enumerate(levels):
+            assert r[f"p{i}"] <= a * n + 3 * (a * n) ** 0.5 + 1, (cases[r["k"]], a, r[f"p{i}"] / n)
+        assert r["p0"] >= 0.2 * levels[0] * n and r["p1"] >= 0.1 * levels[1] * n, cases[r["k"]]  # nor far too large: discrete statistics, two-fold count
+    found = secrets.thresholds(tested)
+    for r in tested.select(F.explode("tokens").alias("t")).select(secrets.length_class(F.length("t.token")).alias("c"), secrets._fit_bits(F.col("t.fit")).alias("f")).groupBy("c").agg(F.collect_list("f").alias("fs")).collect():
+        assert sum(f >= found[r["c"]][0] for f in r["fs"]) <= secrets.FDR * len(r["fs"])
+
+
+def test_tail_of_the_normal(spark):
+    points = [-3.0, -0.5, 0.0, 0.7, 2.0, 4.0, 6.5]
+    got = spark.createDataFrame([(z,) for z in points], "z double").select(secrets._upper_tail(F.col("z"))).collect()
+    assert all(abs(r[0] / (math.erfc(z / math.sqrt(2)) / 2) - 1) < 1e-6 for z, r in zip(points, got, strict=True))
+
+
 def test_query_against_plain_python(spark):
     found = {r["doc_id"]: r for r in secrets.op1_secret_scan(spark, SMALL).collect()}
     assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)

@@ -9,8 +9,14 @@ pieces the one with the most evidence stands, less CHOICE bits for the choice an
 1. Its encoding is inferred from the characters it holds (hex, base32, base36, base62, base64 and
    so on), which fixes the alphabet and its size A.
 2. Three tests take "uniformly random over that alphabet" as their null hypothesis: chi-squared of
-   the character counts, the runs test on a two-way split of the characters, and the lag-1 serial
-   correlation of their positions in the alphabet. Fisher's method joins the three p-values.
+   the character counts (two-sided: repeats or too few of them; a gamma law of the statistic's exact
+   mean, variance and third moment; no such law holds near its least value, so the lower side is the
+   chance of no repeat at least and never counts for less than EVEN), the runs test on a two-way split of the characters (halves of the alphabet, so that each change is a fair
+   coin), and the lag-1 serial correlation of their positions in the alphabet. Both serial tests see the
+   same order, so the smaller of their p-values counts twice; order and counts are independent under
+   the null, so Fisher's method joins the serial p-value with that of the counts. Both discrete
+   statistics are taken half a step nearer to their mean. A random token thus has a joint p-value of
+   a or less with probability a at most, down to 2^-MAX_FIT.
 3. Benjamini-Hochberg over the joint p-values of all tokens with any evidence (4.), apart for each class
    of token length, tells which tokens are not random: at most a share FDR of those set aside is
    expected to be random. How far a p-value may fall thus follows from what the table holds.
@@ -76,8 +82,10 @@ CHOICE = 2
 #: Bits by which a separator between words, with its two changes of class, is taken for random.
 JOINT = 7
 MAX_BITS = 400
-#: Joint p-values are told apart down to 2^-MAX_FIT.
-MAX_FIT = 20
+#: Least p-value of character counts that are too even.
+EVEN = 0.01
+#: Joint p-values are told apart down to 2^-MAX_FIT; lower ones count as that much.
+MAX_FIT = 16
 
 
 def _spans(text: Column, pattern: str, kind: str, good=None) -> Column:
@@ -108,10 +116,16 @@ def _by_encoding(token: Column, value) -> Column:
     return out
 
 
+# Coefficients of the Chebyshev fit of erfc (relative error below 1.2e-7 everywhere).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def _upper_tail(z: Column) -> Column:
-    """P(Z > z) of the standard normal, by the logistic approximation (error below 0.0002)."""
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z))
+    """P(Z > z) of the standard normal, right to seven digits far into the tail."""
+    x = F.abs(z) / math.sqrt(2)
+    t = F.lit(1.0) / (x / 2 + 1)
+    half = t * F.exp(reduce(lambda acc, c: acc * t + F.lit(c), ERFC[-2::-1], F.lit(ERFC[-1])) - x * x) / 2
+    return F.when(z >= 0, half).otherwise(1 - half)
 
 
 def _stage(tokens: Column, fields: list[str], new: dict) -> tuple[Column, list[str]]:
@@ -176,15 +190,32 @@ def battery(tokens: Column) -> Column:
         "lag": lambda t: total(pair(t["at"]), lambda p: (p["a"] - t["mean"]) * (p["b"] - t["mean"])),
     })
     two_sided = lambda z: F.least(F.lit(1.0), F.lit(2.0) * _upper_tail(F.abs(z)))
-    share = lambda t: t["ones"] * (t["n"] - t["ones"]) * 2 / t["n"]
+    half_step = lambda x: F.greatest(F.lit(0.0), F.abs(x) - 0.5)
+    free = lambda t: t["size"] - 1
+    # from the mean, half a step of 2 * size / n nearer
+    off = lambda t: F.signum(t["chi"] - free(t)) * half_step((t["chi"] - free(t)) * t["n"] / t["size"] / 2) * 2 * t["size"] / t["n"]
+    tokens, fields = _stage(tokens, fields, {
+        "deviation": lambda t: F.sqrt(free(t) * 2 * (t["n"] - 1) / t["n"]),
+        # shape of the gamma law: 4 / skewness^2
+        "shape": lambda t: F.pow(t["n"], 4) * F.pow(free(t) * 2 * (t["n"] - 1) / t["n"], 3) / F.pow(free(t) * 2 * (t["n"] - 1) * (t["size"] + t["n"] * 2 - 6), 2),
+        "z_runs": lambda t: half_step(t["runs"] - 1 - (t["n"] - 1) / 2) * 2 / F.sqrt(t["n"] - 1),
+        "z_lag": lambda t: F.when(t["spread"] > 0, (t["lag"] / t["spread"] + F.lit(1.0) / t["n"]) * t["n"] * F.sqrt(t["n"] - 1) / (t["n"] - 2)).otherwise(0.0),
+    })
     tokens, fields = _stage(tokens, fields, {
-        "p_chi": lambda t: _upper_tail(F.sqrt(F.greatest(F.lit(0.0), t["chi"] * 2)) - F.sqrt(t["size"] * 2 - 3)),
-        "p_runs": lambda t: F.when(share(t) <= 1, F.lit(1e-6)).otherwise(two_sided((t["runs"] - share(t) - 1) / F.sqrt(F.greatest(share(t) * (share(t) - 1) / F.greatest(t["n"] - 1, F.lit(1.0)), F.lit(1e-9))))),
-        "p_lag": lambda t: F.when(t["spread"] <= 0, F.lit(1e-6)).otherwise(two_sided(t["lag"] / t["spread"] * F.sqrt(t["n"]))),
+        "root": lambda t: F.cbrt(F.greatest(F.lit(0.0), F.lit(1.0) + off(t) / t["deviation"] / F.sqrt(t["shape"]))),
+        "distinct": lambda t: F.aggregate(F.sequence(F.lit(0), F.least(t["n"], t["size"] + 1).cast("int") - 1), F.lit(1.0), lambda acc, i: acc * (F.lit(1.0) - i / t["size"])),
+        "z_serial": lambda t: F.greatest(F.abs(t["z_runs"]), F.abs(t["z_lag"])),
+    })
+    tokens, fields = _stage(tokens, fields, {
+        "z_chi": lambda t: (t["root"] - 1 + F.lit(1.0) / (t["shape"] * 9)) * 3 * F.sqrt(t["shape"]),
+        "p_serial": lambda t: F.least(F.lit(1.0), two_sided(t["z_serial"]) * 2),
     })
     floor = lambda p: F.greatest(p, F.lit(1e-12))
-    tokens, fields = _stage(tokens, fields, {"x": lambda t: -(F.log(floor(t["p_chi"])) + F.log(floor(t["p_runs"])) + F.log(floor(t["p_lag"])))})
-    tokens, fields = _stage(tokens, fields, {"fit": lambda t: F.exp(-t["x"]) * (1 + t["x"] + t["x"] * t["x"] / 2)})
+    tokens, fields = _stage(tokens, fields, {
+        "p_chi": lambda t: F.least(F.lit(1.0), _upper_tail(t["z_chi"]) * 2, F.greatest(F.lit(EVEN), t["distinct"] * 2, _upper_tail(-t["z_chi"]) * 2)),
+    })
+    tokens, fields = _stage(tokens, fields, {"both": lambda t: floor(t["p_chi"]) * floor(t["p_serial"])})
+    tokens, fields = _stage(tokens, fields, {"fit": lambda t: t["both"] * (1 - F.log(t["both"]))})
     out = ("start", "stop", "token", "cut", "encoding", "fit", "bits")
     return F.transform(tokens, lambda t: F.struct(*[t[f].alias(f) for f in out]))
 
