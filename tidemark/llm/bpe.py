@@ -1,7 +1,7 @@
 """BPE encoding and decoding by batched numpy merge rounds.
 
 White space separates the pieces of this tokenizer family, so a text's ids are those of its words,
-one after another. Each Python worker keeps the words it has met; the unknown words of an Arrow
+one after another. A task keeps the words it has met; the unknown words of an Arrow
 batch are encoded together: their symbols lie in one flat array, and in each round the merge rank of
 every neighbouring pair is found by binary search over the sorted pair keys, the leftmost pair of
 lowest rank of each word is merged, and words with nothing left to merge drop out. The rank order
@@ -22,6 +22,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .common import documents, small_batches
 
-#: Words a worker keeps before it starts afresh.
+#: Words a task keeps before it starts afresh.
 CACHED_WORDS = 600_000
 #: Controls at which str.split parts a text although they are not Unicode white space.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -61,6 +62,17 @@ class Encoder:
             cls.loaded[path, texts] = cls(path, texts)
         return cls.loaded[path, texts]
 
+    @classmethod
+    @contextmanager
+    def for_task(cls, path: str, texts: bool = True) -> Iterator[Encoder]:
+        """The worker's encoder for one task. The words met go when the task ends: the worker lives on, in
+        tasks that encode nothing, and they would take memory from those."""
+        own = cls.of(path, texts)
+        try:
+            yield own
+        finally:
+            own.known, own.older = {}, {}
+
     def __init__(self, path: str, texts: bool = True):
         self.texts = texts
         with open(path, encoding="utf-8") as f:
@@ -214,12 +226,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder.of(path)
-        for b in batches:
-            rows = [*own.both(b["text"].to_pylist())]
-            ids = [np.frombuffer(x, "<i4") for x, _ in rows]
-            cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([y.decode() for _, y in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays([b["id"], *cols], ["id", "n", "ids", "decoded"])
+        with Encoder.for_task(path) as own:
+            for b in batches:
+                rows = [*own.both(b["text"].to_pylist())]
+                ids = [np.frombuffer(x, "<i4") for x, _ in rows]
+                cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([y.decode() for _, y in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays([b["id"], *cols], ["id", "n", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     thin = df.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
@@ -231,11 +243,12 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sha = Encoder.of(path), hashlib.sha256
-        for b in batches:
-            rows = [(len(x) // 4, sha(x).hexdigest(), sha(y).hexdigest()) for x, y in own.both(b["text"].to_pylist())]
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b["id"], *cols], ["id", "n", "a", "b"])
+        sha = hashlib.sha256
+        with Encoder.for_task(path) as own:
+            for b in batches:
+                rows = [(len(x) // 4, sha(x).hexdigest(), sha(y).hexdigest()) for x, y in own.both(b["text"].to_pylist())]
+                cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([b["id"], *cols], ["id", "n", "a", "b"])
 
     kind = df.schema[id_col].dataType.simpleString()
     thin = df.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")

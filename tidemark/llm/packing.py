@@ -40,17 +40,18 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end, crc = Encoder.of(path, texts=False), end_id.to_bytes(4, "little"), zlib.crc32
-        for b in batches:
-            row, rows = [], []
-            for i, ids in enumerate(own.encode(b["text"].to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    row.append(i)
-                    rows.append((start, min(capacity, n - start), crc(ids[4 * start : 4 * (start + capacity)]), n))
-            cols = [b["id"].take(pa.array(row, pa.int32())), *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)]]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "crc", "n"])
+        end, crc = end_id.to_bytes(4, "little"), zlib.crc32
+        with Encoder.for_task(path, texts=False) as own:
+            for b in batches:
+                row, rows = [], []
+                for i, ids in enumerate(own.encode(b["text"].to_pylist())):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        row.append(i)
+                        rows.append((start, min(capacity, n - start), crc(ids[4 * start : 4 * (start + capacity)]), n))
+                cols = [b["id"].take(pa.array(row, pa.int32())), *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)]]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "crc", "n"])
 
     kind = df.schema[id_col].dataType.simpleString()
     thin = df.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
