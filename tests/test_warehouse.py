@@ -7,10 +7,11 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL
+from tests.conftest import SMALL, same_rows
 from tidemark.operators import warehouse as W
 from tidemark.plans import warehouse as plans
 from tidemark.sources import loading, tables
+from tidemark.sources.commerce import order
 from tidemark.sources.commerce import read
 
 
@@ -189,3 +190,12 @@ def test_input_validation_names_what_is_missing(spark):
         checks.accepted(checks.validated({"t": (df, ("a", "c"))}, {}))
     with pytest.raises(ValueError, match="rows: 1.0 != 2.0"):
         checks.accepted(checks.validated({"t": (df, ())}, {"rows": (count, df.agg(F.count("*") + 1))}))
+
+
+def test_fingerprint_of_two_levels_follows_its_sql(spark, duck, monkeypatch):
+    """More orders than two levels bring to one digest; none at all."""
+    monkeypatch.setattr(plans, "FAN", 8)
+    sql = plans.ORACLE["io13_ordered_fingerprint"].replace("1024", "8")
+    same_rows(plans.ordered_fingerprint(spark, SMALL), duck, sql)
+    monkeypatch.setattr(plans, "order", lambda spark, sf_dir: order(spark, sf_dir).limit(0))
+    assert tuple(plans.ordered_fingerprint(spark, SMALL).first()) == (0, 1, None)
