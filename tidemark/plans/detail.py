@@ -97,7 +97,7 @@ def recoveries(spark, sf_dir) -> DataFrame:
 @query("v7_decision_summary", f"SELECT field, action, confidence, {big('count(*)')} AS rules, {big('sum(cases)')} AS cases FROM (" + " UNION ALL ".join(f"SELECT '{t[1]}' AS field, '{t[4]}' AS action, '{t[5]}' AS confidence, {treatments._COUNTED[t[7]]} AS cases FROM told WHERE {t[6]}" for t in R.TREATMENTS) + ") x GROUP BY ALL", treatments.TREATED_SQL)
 def decision_summary(spark, sf_dir) -> DataFrame:
     """What is decided for each field, over all analyses: rules and cases by action and confidence."""
-    return R.matrix(treatments.told(spark, sf_dir)).groupBy("field", "action", "confidence").agg(F.count("*").alias("rules"), F.sum("cases").alias("cases"))
+    return R.full_matrix(treatments.asked(spark, sf_dir)).groupBy("field", "action", "confidence").agg(F.count("*").alias("rules"), F.sum("cases").alias("cases"))
 
 
 _MINUTES = "(TRY_CAST(split_part(bought_at, ':', 1) AS INT) * 60 + TRY_CAST(split_part(bought_at, ':', 2) AS INT))"
