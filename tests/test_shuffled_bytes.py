@@ -8,7 +8,7 @@ from tests.conftest import SMALL
 from tidemark.plans import catalogue
 
 QUERIES = catalogue.queries()
-NAMES = ("t3_all_treatments", "t4_corrections_with_evidence", "v7_decision_summary", "t15_approved_exclusions", "t7_open_cells", "t15_excluded_orders",)
+NAMES = ("t3_all_treatments", "t4_corrections_with_evidence", "v7_decision_summary", "t15_approved_exclusions", "t7_open_cells", "t15_excluded_orders")
 
 
 def shuffled(spark, name):
