@@ -225,3 +225,19 @@ def test_queries_return_their_columns(spark):
     assert sorted(map(tuple, centroids.op11_centroids(spark, sf).collect()), key=str) == brute_clusters(rows, 64, 40, 5)
     spoken = [(0, r["text"], r["lang"]) for r in docs.collect()]
     assert sorted(map(tuple, collocations.op12_collocations(spark, sf).collect())) == brute_collocations(spoken, 5, 100, 2000)
+
+
+def test_phrases_of_a_task_are_gathered_in_a_fixed_number(spark, monkeypatch):
+    """A shard of many phrases, none of which a counter leaves out, leaves its task in blocks of a bounded size."""
+    from tidemark.llm import collocations as C
+
+    words = [f"w{i * i % 997}" for i in range(6000)]
+    seq = np.array([int(w[1:]) + 1 for w in words] + [0], np.int32)
+    listed = [b"", *[f"w{i}".encode() for i in range(997)]]
+    of_word = np.arange(998, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    monkeypatch.setattr(C, "PIECE", 100)
+    tables = list(C._phrases(C.Index(seq, 5), "en", listed, of_word, 5, lambda s, places, k: np.ones(len(places), bool)))
+    assert max(map(len, tables)) <= 100 and sum(map(len, tables)) > 1000
+    assert C._enough(0, 100) == C.COUNTERS and C._enough(1 << 32, 100) == C.MOST_COUNTERS
+    full = {k: np.full(C.COUNTERS // 8, 255, np.uint8) for k in range(1, 6)}
+    assert C._buckets(100_000_000, full, 100) >= 500

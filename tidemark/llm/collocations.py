@@ -13,9 +13,10 @@
    counts can't grow with length: if a longer phrase around it is as frequent, so is every one between.
 5. Every candidate is scored at each of its cuts by the counts of both parts, in exact decimals.
 
-Memory in a task is that of one shard plus its last document, and of the counters (4 bytes each). What
-is shuffled is what may reach the threshold, added up within each task, as arrays by bucket of phrases. Counters are of a fixed number (a parameter): where a corpus
-is so large that all counters pass the threshold, phrases are still counted exactly, by more rows.
+Memory in a task is that of one shard plus its last document, of the counters (a byte each) and of the
+phrases it gathers, a fixed number. What is shuffled is what may reach the threshold, added up within each
+task, as arrays by bucket of phrases. Counters grow with the words, up to a fixed number: where a corpus is so
+large that all counters pass the threshold, phrases are still counted exactly, by more rows and more buckets.
 
 Null text is empty, a null language is `und`; empty and white texts have no words. Repeated rows and
 ids all count (ids aren't read). Ties end in phrase order. An empty table gives an empty result. Other
@@ -25,8 +26,10 @@ columns aren't read; they can have any name.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,13 +40,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, partitions, small_batches
-from .counters import FORM, PART, parts_of, summed
+from .counters import FORM, PART, add, form, parts_of, reaching
 from .fm_index import Index
 from .shingles import mixed
 
-#: Words after which a shard ends, and counters for each length of phrase.
+#: Words after which a shard ends; counters for each length of phrase: at least, and at most.
 SHARD = 1_000_000
-COUNTERS = 1 << 22
+COUNTERS, MOST_COUNTERS = 1 << 22, 1 << 25
 #: A-Z in lower case; all that cuts pieces becomes a line feed. Fixed values.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -120,20 +123,18 @@ def _whole(seq: np.ndarray, longest: int) -> list[np.ndarray]:
 
 
 def _counted(table: DataFrame, longest: int, least: int, counters: int) -> dict[int, np.ndarray]:
-    """For each length, which counters reach the threshold."""
+    """For each length, which counters reach the threshold, as packed bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = {k: np.zeros(counters, np.uint32) for k in range(1, longest + 1)}
+        tables = {k: np.zeros(counters, form(least)) for k in range(1, longest + 1)}
         for b in batches:
             for lang, words, seq in b[["lang", "words", "seq"]].itertuples(index=False, name=None):
                 _, of_word, s = _opened(lang, words, seq)
                 for k, places in enumerate(_whole(s, longest), 1):
-                    more = np.bincount((_hashes(s, of_word, places, k) % np.uint64(counters)).astype(np.int64), minlength=counters)
-                    tables[k] = np.minimum(tables[k] + more, least).astype(np.uint32)
+                    add(tables[k], (_hashes(s, of_word, places, k) % np.uint64(counters)).astype(np.int64), least)
         yield parts_of(tables)
 
-    sums = summed(table.select("lang", "words", "seq").mapInPandas(run, FORM), range(1, longest + 1), counters, least)
-    return {k: t >= least for k, t in sums.items()}
+    return reaching(table.select("lang", "words", "seq").mapInPandas(run, FORM), range(1, longest + 1), counters, least)
 
 
 def _kept(seq: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -154,20 +155,22 @@ def _kept(seq: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 #: the hashes of the only word before and after (0: several, or none).
 _BLOCK = "bucket int, key array<string>, f array<long>, b0 array<long>, b1 array<long>, a0 array<long>, a1 array<long>"
 _SUMS = [("f", "sum"), ("b0", "min"), ("b1", "max"), ("a0", "min"), ("a1", "max")]
-#: Phrases that a task gathers before it adds them up.
-GATHERED = 2_000_000
+#: Phrases that a task gathers before it adds them up, and those that a bucket is meant to hold at most.
+GATHERED, BUCKET = 500_000, 1_000_000
+#: Phrases that are written out as text at once.
+PIECE = 100_000
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
     """One row per key."""
-    t = pa.concat_tables(tables).group_by("key").aggregate(_SUMS)
+    t = pa.concat_tables(tables).group_by("key", use_threads=False).aggregate(_SUMS)  # a table for each thread would be held
     return t.select(["key", *[f"{c}_{how}" for c, how in _SUMS]]).rename_columns(["key", *[c for c, _ in _SUMS]])
 
 
 def _in_blocks(tables: list[pa.Table], buckets: int) -> pa.RecordBatch:
     """Phrases added up, a row per bucket."""
     t = _added(tables)
-    at = np.array([zlib.crc32(k.encode()) % buckets for k in t["key"].to_pylist()], np.int64)
+    at = np.fromiter((zlib.crc32(k.as_py().encode()) % buckets for k in t["key"]), np.int64, len(t))
     order = np.argsort(at, kind="stable")
     full, first = np.unique(at[order], return_index=True)
     t = t.take(pa.array(order)).combine_chunks()
@@ -191,20 +194,38 @@ def _phrases(index: Index, lang: str, words: list[bytes], of_word: np.ndarray, l
             return
         zero = np.zeros(len(places), np.int64)
         before, after = (signed[index.only_before(p)], signed[index.only_after(p)]) if k < longest else (zero, zero)
-        keys = [head + b" ".join([words[i] for i in x]) for x in index.seq[places[:, None] + np.arange(k)].tolist()]
-        yield _table(keys, p.hi - p.lo, before, after)
+        f = p.hi - p.lo
+        for at in range(0, len(places), PIECE):
+            some = slice(at, at + PIECE)
+            keys = [head + b" ".join([words[i] for i in x]) for x in index.seq[places[some, None] + np.arange(k)].tolist()]
+            yield _table(keys, f[some], before[some], after[some])
 
 
 def _table(keys: list[bytes], f: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.Table:
     return pa.table({"key": pa.array(keys, pa.binary()).cast(pa.string()), "f": f.astype(np.int64), "b0": before, "b1": before, "a0": after, "a1": after})
 
 
-def _listed(table: DataFrame, longest: int, least: int, counters: int, buckets: int) -> DataFrame:
+def _enough(words: int, least: int) -> int:
+    """Counters for so many words: few enough words share one that by chance it stays under the threshold, as far as MOST_COUNTERS go."""
+    counters = COUNTERS
+    while counters < MOST_COUNTERS and 3 * words > least * counters:
+        counters *= 2
+    return counters
+
+
+def _buckets(words: int, passing: dict[int, np.ndarray], least: int) -> int:
+    """So many that a bucket holds BUCKET different phrases by expectation: phrases of a length pass by chance as often as
+    counters do, and those that reach the threshold are one in `least` words at most."""
+    return math.ceil(words * sum(float(np.unpackbits(b).mean()) + 1 / least for b in passing.values()) / BUCKET)
+
+
+def _listed(table: DataFrame, longest: int, passing: dict[int, np.ndarray], counters: int, buckets: int) -> DataFrame:
     """Per task the phrases of its shards, added up, in blocks by bucket."""
-    bits = table.sparkSession.sparkContext.broadcast({k: np.packbits(b) for k, b in _counted(table, longest, least, counters).items()})
+    bits = table.sparkSession.sparkContext.broadcast(passing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        count = 0
         for b in batches:
             for lang, packed, seq in zip(*(b[c].to_pylist() for c in ("lang", "words", "seq")), strict=True):
                 words, of_word, s = _opened(lang, packed, seq)
@@ -213,45 +234,53 @@ def _listed(table: DataFrame, longest: int, least: int, counters: int, buckets:
                     at = (_hashes(s, of_word, places, k) % np.uint64(counters)).astype(np.int64)
                     return (bits.value[k][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
-                count = np.bincount(s, minlength=len(words))
+                often = np.bincount(s, minlength=len(words))
                 first = np.full(len(words), -1)
                 first[s[::-1]] = np.arange(len(s))[::-1]
-                used = np.flatnonzero(count[1:]) + 1
+                used = np.flatnonzero(often[1:]) + 1
                 used = used[may(s, first[used], 1)]
                 zero = np.zeros(len(used), np.int64)
-                held.append(_table([lang.encode() + b"\n" + words[i] for i in used.tolist()], count[used], zero, zero))
+                found = [_table([lang.encode() + b"\n" + words[i] for i in used.tolist()], often[used], zero, zero)]
                 pairs = _whole(s, 2)[1]
                 s = _kept(s, pairs[may(s, pairs, 2)])
                 if len(s):
-                    held += _phrases(Index(s, longest), lang, words, of_word, longest, may)
-                if sum(map(len, held)) >= GATHERED:
-                    yield _in_blocks(held, buckets)
-                    held = []
+                    found = chain(found, _phrases(Index(s, longest), lang, words, of_word, longest, may))
+                for t in found:
+                    held.append(t)
+                    count += len(t)
+                    if count >= GATHERED:
+                        yield _in_blocks(held, buckets)
+                        held, count = [], 0
         if held:
             yield _in_blocks(held, buckets)
 
     return table.select("lang", "words", "seq").mapInArrow(run, _BLOCK)
 
 
-def counts(table: DataFrame, longest: int, least: int, counters: int = COUNTERS) -> DataFrame:
+def counts(table: DataFrame, longest: int, least: int, counters: int | None = None) -> DataFrame:
     """lang, phrase, k, f, part: every phrase of `least` or more places; part: a longer one is as frequent.
 
     Blocks of a bucket meet in one task and are added up as they come; it holds the bucket's phrases."""
-    buckets = partitions(table.sparkSession)
+    words = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counters = counters or _enough(words, least)
+    passing = _counted(table, longest, least, counters)
+    buckets = max(partitions(table.sparkSession), _buckets(words, passing, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        limit = GATHERED
+        count, limit = 0, GATHERED
         for b in batches:
             held.append(pa.table({c: b[c].flatten() for c in b.schema.names if c != "bucket"}))
-            if sum(map(len, held)) >= limit:
+            count += len(held[-1])
+            if count >= limit:
                 held = [_added(held)]
-                limit = max(GATHERED, 2 * len(held[0]))
+                count = len(held[0])
+                limit = count + GATHERED
         if held:
             t = _added(held)
             yield from t.filter(pc.greater_equal(t["f"], least)).combine_chunks().to_batches()
 
-    blocks = _listed(table, longest, least, counters, buckets)
+    blocks = _listed(table, longest, passing, counters, buckets)
     rows = blocks.repartition(buckets, "bucket").mapInArrow(run, "key string, f long, b0 long, b1 long, a0 long, a1 long")
     phrase = F.substring_index("key", "\n", -1)
     lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)")
@@ -259,9 +288,9 @@ def counts(table: DataFrame, longest: int, least: int, counters: int = COUNTERS)
     return rows.select(lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("k"), "f", (same("b0", "b1") | same("a0", "a1")).alias("part"))
 
 
-def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, top: int = 2000, shard: int = SHARD, counters: int = COUNTERS) -> DataFrame:
+def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, top: int = 2000, shard: int = SHARD, counters: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: of each language the `top` phrases by their lowest-scoring cut."""
-    if counters % PART:
+    if counters and counters % PART:
         raise ValueError(f"counters must be a multiple of {PART}")
     table = materialize(shards(df, text_col, lang_col, shard))
     found = materialize(counts(table, longest, least, counters))

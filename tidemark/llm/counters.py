@@ -47,3 +47,31 @@ def summed(parts: DataFrame, kinds: range, size: int, most: int) -> dict[int, np
     for r in parts.repartition(partitions(parts.sparkSession), "kind", "part").mapInPandas(run, FORM).collect():  # tables of fixed size
         out[r["kind"]][r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(unpack(r["counts"]), np.uint32)
     return out
+
+
+def form(most: int) -> type:
+    """The smallest kind of number that holds counts up to `most`."""
+    return np.uint8 if most < 1 << 8 else np.uint32
+
+
+def add(table: np.ndarray, at: np.ndarray, most: int) -> None:
+    """Count the places of a table, up to `most`; no second table is made."""
+    found, n = np.unique(at, return_counts=True)
+    table[found] = np.minimum(table[found] + n, most)
+
+
+def reaching(parts: DataFrame, kinds: range, size: int, most: int) -> dict[int, np.ndarray]:
+    """Which counters of the sum of all tasks' parts (of `form(most)`) reach `most`, as packed bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack, held, kept = zstandard.ZstdDecompressor().decompress, {}, form(most)
+        for b in batches:
+            for kind, part, counts in b[["kind", "part", "counts"]].itertuples(index=False, name=None):
+                have = held.setdefault((kind, part), np.zeros(PART, kept))
+                np.minimum(have.astype(np.uint64) + np.frombuffer(unpack(counts), kept), most, out=have, casting="unsafe")
+        yield pd.DataFrame([(k, p, np.packbits(t >= most).tobytes()) for (k, p), t in held.items()], columns=["kind", "part", "counts"])
+
+    out = {k: np.zeros(size // 8, np.uint8) for k in kinds}
+    for r in parts.repartition(partitions(parts.sparkSession), "kind", "part").mapInPandas(run, FORM).toLocalIterator():  # bits of fixed size
+        out[r["kind"]][r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = np.frombuffer(r["counts"], np.uint8)
+    return out
