@@ -93,3 +93,13 @@ def test_publish_guard_and_gate(spark, tmp_path):
     assert tables.reconcile({"t": df}, {"t": back}).first()["status"] == "APROVADO"
     assert checks.overall(checks.schema_checks(df, ["id", "t"])).first()["status"] == "APROVADO"
     assert checks.overall(checks.schema_checks(df, ["t", "id"])).first()["status"] == "REPROVADO"
+
+
+def test_convertibility_reads_each_value_once(spark):
+    from tidemark.operators import profile
+
+    df = spark.createDataFrame([("1", "5/2/2025", " "), ("1", "5-2-2025", None), ("2,5", "31/02/2025", "8:05"), (None, "2025-02-05 08:00", "24:00")], "a string, b string, c string")
+    got = profile.convertibility(df, ["a", "b", "c"])
+    assert {r["column"]: tuple(r)[1:] for r in got.collect()} == {"a": (100.0, 0.0, 0.0, 2, "numerico"), "b": (0.0, 75.0, 25.0, 4, "categorico"), "c": (0.0, 0.0, 50.0, 3, "categorico")}
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in profile.convertibility(df.limit(0), ["a"]).collect()] == [("a", 0.0, 0.0, 0.0, 0, "categorico")]
