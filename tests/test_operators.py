@@ -103,3 +103,18 @@ def test_convertibility_reads_each_value_once(spark):
     assert {r["column"]: tuple(r)[1:] for r in got.collect()} == {"a": (100.0, 0.0, 0.0, 2, "numerico"), "b": (0.0, 75.0, 25.0, 4, "categorico"), "c": (0.0, 0.0, 50.0, 3, "categorico")}
     assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in profile.convertibility(df.limit(0), ["a"]).collect()] == [("a", 0.0, 0.0, 0.0, 0, "categorico")]
+
+
+def test_months_without_orders_follow_the_one_before_and_are_not_shuffled(spark):
+    from tidemark.plans import univariate
+
+    day = lambda m, d: dt.date(2025, m, d)
+    cells = "client_id long, order_date date, order_id long, units int, net double, cost double, margin double, points int"
+    orders = spark.createDataFrame([(1, day(1, 5), 1, 2, 10.0, 4.0, 6.0, 7), (1, day(4, 5), 2, 1, 8.0, 5.0, 3.0, 9), (2, day(5, 1), 3, 1, 1.0, 1.0, 0.0, 1), (3, None, 4, 1, 1.0, 1.0, 0.0, 1)], cells)
+    items = spark.createDataFrame([(1, day(1, 5), 1, "a"), (1, day(1, 6), 2, "a"), (1, day(4, 5), 1, "b"), (2, day(5, 1), 1, "a")], "client_id long, order_date date, product_id long, category string")
+    months = univariate.month_rows(items, orders)
+    got = sorted(months.select("recency", "orders", "products", "net", "ticket", "orders_so_far", "mean_interval", "last_points").collect(), key=lambda r: (r["last_points"], r["recency"]))
+    assert list(map(tuple, got)) == [
+        (30, 1, 1, 1.0, 1.0, 1, None, 1), (26, 1, 2, 10.0, 10.0, 1, None, 7), (54, 0, 0, 0.0, None, 1, None, 7), (85, 0, 0, 0.0, None, 1, None, 7), (25, 1, 1, 8.0, 8.0, 2, 90.0, 9), (56, 0, 0, 0.0, None, 2, 90.0, 9)]
+    plan = months._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")
